@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import bpe, simhash, tokencount
+from scorewright.llm import bpe, neardup, packing, quality, simhash, substring, tokencount, tokenfile, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,5 +32,46 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_bpe_round_trip)}
+def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), min_bytes=0).drop("payload")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, manifest = tokenfile.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    rows = docs.select("file", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return rows.join(manifest.select("file", "base"), "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op6_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.assess(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=0, keep_ids=False)
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_token_counts,
+        op3_bpe_round_trip,
+        op4_warc_bundles,
+        op5_token_files,
+        op6_line_first_quality,
+        op7_best_fit_packing,
+        op8_embedding_near_dedup,
+        op9_substring_dedup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
