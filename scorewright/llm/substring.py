@@ -97,7 +97,8 @@ def rolling(h: np.ndarray, n: int, multiplier: np.uint64) -> np.ndarray:
             if n & width:
                 out = out[: len(h) - done - width + 1] * step + part[done : len(h) - width + 1]
                 done += width
-            part = part[: len(part) - width] * step + part[width:]
+            if 2 * width <= n:
+                part = part[: len(part) - width] * step + part[width:]
             step, width = step * step, 2 * width
     return mixed(out[:m])
 
