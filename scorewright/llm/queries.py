@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import bpe, neardup, packing, quality, simhash, substring, tokencount, tokenfile, warc
+from scorewright.llm import bpe, neardup, packing, quality, simhash, substring, tokencount, tokenfile, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    grammar = toxicity.fit(docs, labels.where(~toxicity.held_out("doc_id")))
+    found = toxicity.score(docs, grammar)
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -72,6 +79,7 @@ QUERIES: dict[str, Query] = {
         op7_best_fit_packing,
         op8_embedding_near_dedup,
         op9_substring_dedup,
+        op10_toxicity,
     )
 }
 ORACLE_SQL: dict[str, str] = {}

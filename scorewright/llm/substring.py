@@ -303,6 +303,24 @@ def repeats(docs: DataFrame, ws: str, window: int = 50) -> DataFrame:
     return found.unionByName(copies.mapInArrow(all_windows, _FOUND_SQL))
 
 
+def without(data: np.ndarray, at: list[bytes] | None, window: int, keep_spacing: bool) -> tuple[bytes, int, np.ndarray]:
+    """(text, words, removed runs of words) of a text whose covered windows start at the words `at`."""
+    start, end = word_spans(data)
+    n, raw = len(start), data.tobytes()
+    if not at:
+        return raw if keep_spacing else b" ".join(raw.split()), n, np.zeros((0, 2), np.int64)
+    p = np.frombuffer(b"".join(at), "<u4").astype(np.int64)
+    mark = np.zeros(n + 1, np.int32)
+    np.add.at(mark, p, 1)
+    np.add.at(mark, p + window, -1)
+    gone = np.cumsum(mark)[:n] > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
+    if keep_spacing:  # a kept word keeps the white space before it
+        lead = np.concatenate([[0], end[:-1]])
+        return b"".join(raw[x:y] for x, y in zip(lead[~gone].tolist(), end[~gone].tolist())), n, edges
+    return b" ".join(raw[x:y] for x, y in zip(start[~gone].tolist(), end[~gone].tolist())), n, edges
+
+
 def remove_repeats(docs: DataFrame, window: int = 50, keep_spacing: bool = False) -> DataFrame:
     """docs' rows as (doc_id, n_words, n_removed, text, spans): text without the words that a covered window covers.
 
@@ -325,30 +343,41 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_spacing: bool = False
         for b in it:
             n_words, removed, texts, spans = [], [], [], []
             for at, data, null in zip(b.column("at").to_pylist(), _bytes(b.column("text")), b.column("text").is_null().to_pylist()):
-                start, end = word_spans(data)
-                n = len(start)
+                text, n, edges = without(data, at, window, keep_spacing)
                 n_words.append(n)
-                if at:
-                    p = np.frombuffer(b"".join(at), "<u4").astype(np.int64)
-                    mark = np.zeros(n + 1, np.int32)
-                    np.add.at(mark, p, 1)
-                    np.add.at(mark, p + window, -1)
-                    gone = np.cumsum(mark)[:n] > 0
-                else:
-                    gone = np.zeros(n, bool)
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                removed.append(int(gone.sum()))
-                spans.append([{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
-                raw = data.tobytes()
-                if keep_spacing:
-                    lead = np.concatenate([[0], end[:-1]]) if n else start
-                    kept = raw if not gone.any() else b"".join(raw[x:y] for x, y in zip(lead[~gone].tolist(), end[~gone].tolist()))
-                elif not gone.any():
-                    kept = b" ".join(raw.split())
-                else:
-                    kept = b" ".join(raw[x:y] for x, y in zip(start[~gone].tolist(), end[~gone].tolist()))
-                texts.append(None if null and keep_spacing else kept)
+                removed.append(int((edges[:, 1] - edges[:, 0]).sum()))
+                spans.append([{"start": int(x), "end": int(y)} for x, y in edges])
+                texts.append(None if null and keep_spacing else text)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(spans, span)], schema=schema)
 
     both = rows.join(found, ["doc_id", "row"], "left").select("doc_id", "at", "text")
     return both.mapInArrow(cut, "doc_id long, n_words long, n_removed long, text string, spans array<struct<start int, end int>>")
+
+
+def cut_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+    """docs, columns as they are, with repeats cut out of text (n_chars recomputed where it is a column).
+
+    A text without repeats is unchanged; a row whose words all go is left out.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    ws = workspace(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    found = repeats(rows, ws, window).groupBy("doc_id", "row").agg(F.collect_list("at").alias("__at"))
+    found = found.withColumnsRenamed({"doc_id": "__id", "row": "__row"})
+    own = docs.withColumn("__text", F.xxhash64("text"))
+    both = own.join(found, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__text") == F.col("__row")), "left").select(*docs.columns, "__at")
+    schema, place = docs.schema, docs.columns.index("text")
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            kept, stay = [], []
+            for at, data, null in zip(b.column("__at").to_pylist(), _bytes(b.column(place)), b.column(place).is_null().to_pylist()):
+                text = None if null else without(data, at, window, True)[0]
+                kept.append(text)
+                stay.append(not at or bool(text.strip()))
+            cut = pa.array(kept, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([cut if i == place else b.column(i) for i in range(len(schema))], names=schema.names).filter(pa.array(stay))
+
+    out = both.mapInArrow(cut, schema)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
