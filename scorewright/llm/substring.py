@@ -255,11 +255,11 @@ def repeats(docs: DataFrame, ws: str, window: int = 50) -> DataFrame:
     near = written(moved.mapInArrow(_compare(True, False), _FOUND_SQL), ws, "anchors")
 
     # of documents with equal words the smallest stands for all
-    first = known.groupBy("words").agg(F.min("doc_id").alias("first"))
+    first = written(known.groupBy("words").agg(F.min("doc_id").alias("first")), ws, "first")
     known = known.join(first, "words").select("doc_id", "row", "n_words", "first")
     known = written(known, ws, "classes")
+    near = near.groupBy("doc_id", "row").agg(F.collect_list("at").alias("at"))
     own = near.join(known.where("doc_id = first").select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi")
-    own = own.groupBy("doc_id", "row").agg(F.collect_list("at").alias("at"))
     most = own.select(F.sum(F.aggregate("at", F.lit(0).cast("long"), lambda n, x: n + F.length(x)))).first()[0] or 0
     deal_wide = _deal(min(most // 4 * period, total), spark)
 
