@@ -148,7 +148,10 @@ def assess(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str
 
 def clean(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """docs without rejected rows and without failing lines; columns as before, n_chars recomputed where it is one."""
-    kept = assess(docs, rules).where("kept")
+    # a column that isn't deterministic keeps the optimizer from copying the rules' expressions into the filter,
+    # where each would be computed once for every use of it
+    held = assess(docs, rules).withColumn("__held", F.monotonically_increasing_id())
+    kept = held.where(F.col("kept") & (F.col("__held") >= 0))
     fresh = {"text": F.col("cleaned_text")}
     if "n_chars" in docs.columns:
         fresh["n_chars"] = F.length("cleaned_text").cast(docs.schema["n_chars"].dataType)
