@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import bpe, neardup, packing, quality, simhash, substring, tokencount, tokenfile, toxicity, warc
+from scorewright.llm import bpe, neardup, oracle, packing, quality, simhash, substring, tokencount, tokenfile, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,4 +82,10 @@ QUERIES: dict[str, Query] = {
         op10_toxicity,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The others rest on a hash, a tokenizer, packing or learnt weights that SQL lacks; tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc_bundles": oracle.WARC,
+    "op6_line_first_quality": oracle.QUALITY,
+    "op8_embedding_near_dedup": oracle.NEAR_DUPLICATES,
+    "op9_substring_dedup": oracle.REPEATS,
+}
