@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorewright.functions import instructions
 from scorewright.functions import text as T
 from scorewright.operators import aggregates as A
-from scorewright.operators import irt, ranking, ratings, retrieval
+from scorewright.operators import irt, ranking, ratings, retrieval, sampling
 from scorewright.sources import records
 from scorewright.streaming import windows
 
@@ -706,3 +707,65 @@ def rouge_l_turns(spark, d):
 @query()
 def session_windows(spark, d):
     return windows.session_scores(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "value", "6 hours")
+
+
+_DRAW = "((('0x' || substr(md5({}), 1, 8))::UBIGINT + 0.5) / 4294967296.0)"
+
+
+@query(f"SELECT vec_id, label FROM embeddings ORDER BY {_DRAW.format("'43:' || vec_id")}, vec_id LIMIT 25")
+def random_retrieval(spark, d):
+    return sampling.sample_rows(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", 25, seed=43)
+
+
+@query(f"SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0 ORDER BY round(-ln({_DRAW.format("'7:' || s_suppkey")}) / s_acctbal, 12), s_suppkey LIMIT 10")
+def weighted_model_sample(spark, d):
+    return sampling.weighted_sample(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey", "s_acctbal", 10, seed=7)
+
+
+@query(f"SELECT event_type, sum(CASE WHEN {_DRAW.format("'1:' || user_id || ':' || event_id")} < 0.9 THEN 1 ELSE 0 END)::BIGINT AS n_train, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def held_out_split(spark, d):
+    rows = sampling.split_rows(table(spark, d, "events"), 0.9, 1, "user_id", "event_id")
+    return rows.groupBy("event_type").agg(F.sum(F.col("train").cast("long")).alias("n_train"), F.count("*").alias("n"))
+
+
+@query()
+def bootstrap_mean_interval(spark, d):
+    return sampling.bootstrap_mean(table(spark, d, "orders"), "o_orderkey", "o_totalprice", rounds=50)
+
+
+@query("""
+    WITH n AS (SELECT s_suppkey, 'model' || (s_suppkey % 7) AS name FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY s_suppkey) AS n FROM n)
+    SELECT s_suppkey, name, CASE WHEN n = 1 THEN name ELSE name || '@@' || s_suppkey || '@@' || n END AS unique_name FROM r""")
+def unique_model_names(spark, d):
+    rows = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("model"), (F.col("s_suppkey") % 7).cast("string")).alias("name"))
+    return sampling.unique_names(rows, "name", "s_suppkey")
+
+
+@query("""
+    WITH r AS (SELECT l_returnflag AS v, row_number() OVER w AS n, first_value(l_returnflag) OVER w AS f FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag))
+    SELECT count(*)::BIGINT AS n_pairs, sum(CASE WHEN v = f AND v <> 'N' THEN 1 ELSE 0 END)::BIGINT AS n_biased FROM r WHERE n = 2""")
+def position_bias(spark, d):
+    return sampling.position_bias(table(spark, d, "lineitem"), "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"), "l_returnflag", "N")
+
+
+@query(r"""
+    WITH c AS (SELECT conv_id, turn, text, length(trim(text, E' \t\n\r\x0b\x0c')) > 0 AS said FROM conversations)
+    SELECT conv_id, turn, said AND NOT contains(text, ',') AS no_comma, said AND length(lower(text)) - length(replace(lower(text), 'e', '')) >= 10 AS ten_e,
+    said AND contains(lower(text), 'the') AS has_the, said AND ends_with(lower(trim(text, E' \t\n\r\x0b\x0c"')), '.') AS ends FROM c""")
+def instruction_following(spark, d):
+    c = table(spark, d, "conversations")
+    check = lambda name, **a: instructions.strict(F.col("text"), name, **a)
+    return c.select("conv_id", "turn", check("punctuation:no_comma").alias("no_comma"), check("keywords:letter_frequency", letter="e", n=10).alias("ten_e"), check("keywords:existence", words=["the"]).alias("has_the"), check("startend:end_checker", phrase=".").alias("ends"))
+
+
+@query()
+def instruction_scores(spark, d):
+    """Prompt and instruction accuracy, strict and loose, weighted by the instructions of a prompt."""
+    asked = [("punctuation:no_comma", {}), ("length_constraints:number_words", {"n": 40}), ("detectable_format:title", {})]
+    c = table(spark, d, "conversations").where("role = 'assistant'")
+    kinds = {k: F.array(*[f(F.col("text"), n, **a) for n, a in asked]) for k, f in (("strict", instructions.strict), ("loose", instructions.loose))}
+    rows = c.select("conv_id", *[x.alias(k) for k, x in kinds.items()])
+    out = []
+    for k in kinds:
+        out += [F.avg(F.forall(k, lambda v: v).cast("int")).alias(f"prompt_{k}"), (F.sum(F.size(F.filter(k, lambda v: v))) / F.sum(F.size(k))).alias(f"instruction_{k}")]
+    return rows.agg(*out, F.count("*").alias("n"))
