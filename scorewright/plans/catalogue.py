@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from scorewright.functions import instructions
 from scorewright.functions import text as T
 from scorewright.operators import aggregates as A
+from scorewright.operators import benchmarks as B
 from scorewright.operators import irt, ranking, ratings, retrieval, sampling
-from scorewright.sources import records
+from scorewright.sources import converters, records
 from scorewright.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -769,3 +770,103 @@ def instruction_scores(spark, d):
     for k in kinds:
         out += [F.avg(F.forall(k, lambda v: v).cast("int")).alias(f"prompt_{k}"), (F.sum(F.size(F.filter(k, lambda v: v))) / F.sum(F.size(k))).alias(f"instruction_{k}")]
     return rows.agg(*out, F.count("*").alias("n"))
+
+
+@query(f"""
+    WITH s AS (SELECT score, l_quantity AS w, list_distinct([l_returnflag, l_linestatus]) AS skills FROM {_HITS}), e AS (SELECT unnest(list_concat(['Overall'], skills)) AS skill, score, w FROM s)
+    SELECT skill, round(sum(score * w) / sum(w), 6) AS accuracy, count(*)::BIGINT AS n FROM e GROUP BY 1""")
+def skill_accuracy(spark, d):
+    rows = _hits(spark, d).withColumn("skills", F.array("l_returnflag", "l_linestatus"))
+    return B.skill_accuracy(rows, "skills", "score", "l_quantity").withColumn("accuracy", r6("accuracy"))
+
+
+@query("""
+    WITH s AS (SELECT unnest(list_filter(['STANDARD', 'PROMO', 'BRASS', 'TIN', 'a', 'e'], lambda s: contains(p_type, s))) AS skill, CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END AS hit FROM part)
+    SELECT skill, round(avg(hit), 6) AS accuracy, count(*)::BIGINT AS n FROM s GROUP BY 1""")
+def skill_by_name(spark, d):
+    rows = table(spark, d, "part").withColumn("hit", (F.col("p_size") > 25).cast("double"))
+    return B.skill_accuracy_by_name(rows, "p_type", ["STANDARD", "PROMO", "BRASS", "TIN", "a", "e"], "hit").withColumn("accuracy", r6("accuracy"))
+
+
+@query(f"""
+    WITH i AS (SELECT l_linestatus, l_orderkey, sum(score) AS h, count(*) AS n, min(score) AS w FROM {_HITS} GROUP BY ALL), c AS (SELECT l_linestatus, sum(h) / sum(n) AS a, avg(w) AS p FROM i GROUP BY 1)
+    SELECT l_linestatus, round(a, 6) AS acc, round(p, 6) AS acc_plus, round(a + p, 6) AS score FROM c""")
+def accuracy_plus(spark, d):
+    return B.accuracy_plus(_hits(spark, d), "l_linestatus", "l_orderkey", "score").withColumns({c: r6(c) for c in ("acc", "acc_plus", "score")})
+
+
+@query(f"""
+    WITH h AS {_HITS}, a AS (SELECT l_linestatus, avg(score) AS x FROM h GROUP BY 1), f AS (SELECT l_linestatus, avg(w) AS y FROM (SELECT l_linestatus, l_partkey, min(score) AS w FROM h GROUP BY ALL) GROUP BY 1),
+    q AS (SELECT l_linestatus, avg(w) AS z FROM (SELECT l_linestatus, l_orderkey, min(score) AS w FROM h GROUP BY ALL) GROUP BY 1)
+    SELECT l_linestatus, round(x, 6) AS a_acc, round(y, 6) AS f_acc, round(z, 6) AS q_acc FROM a JOIN f USING (l_linestatus) JOIN q USING (l_linestatus)""")
+def figure_question_accuracy(spark, d):
+    out = B.figure_question_accuracy(_hits(spark, d), "l_linestatus", "l_partkey", "l_orderkey", "score")
+    return out.withColumns({c: r6(c) for c in ("a_acc", "f_acc", "q_acc")})
+
+
+@query("""
+    WITH p AS (SELECT p_brand, sum(levenshtein(p_name, p_type)) AS e, sum(greatest(length(p_name), length(p_type))) AS n FROM part GROUP BY 1)
+    SELECT round(avg(CASE WHEN n > 0 THEN e / n ELSE 0 END), 6) AS edit_distance, count(*)::BIGINT AS n_pages FROM p""")
+def page_edit_distance(spark, d):
+    return B.page_edit(table(spark, d, "part"), "p_brand", "p_name", "p_type").withColumn("edit_distance", r6("edit_distance"))
+
+
+@query(f"""
+    WITH p AS (SELECT l_partkey, sum(score) AS s, count(*) AS c FROM {_HITS} WHERE l_suppkey % 3 = 0 GROUP BY 1), w AS {_SUBSET}
+    SELECT round(sum(weight * coalesce(s, 0)) / sum(weight * coalesce(c, 0)), 6) AS ratio, count(*)::BIGINT AS n FROM w LEFT JOIN p USING (l_partkey)""")
+def micro_ratio(spark, d):
+    pages = _hits(spark, d).where("l_suppkey % 3 = 0").groupBy("l_partkey").agg(F.sum("score").alias("s"), F.count("*").alias("c"))
+    return B.micro_ratio(_subset(spark, d), pages, "l_partkey", "s", "c").withColumn("ratio", r6("ratio"))
+
+
+@query("""
+    WITH m AS (SELECT event_type, avg(value) AS v FROM events GROUP BY 1)
+    SELECT 'front' AS part, round(avg(v) FILTER (event_type < 'n'), 6) AS score, count(*) FILTER (event_type < 'n')::BIGINT AS n_groups FROM m
+    UNION ALL SELECT 'absent', NULL, count(*) FILTER (event_type < 'n')::BIGINT FROM m""")
+def grouped_macro(spark, d):
+    e = table(spark, d, "events").withColumn("w", F.lit(1.0))
+    front = sorted(r[0] for r in e.select("event_type").distinct().collect() if r[0] < "n")  # a handful of event types
+    out = B.grouped_macro(e, "event_type", {"front": front, "absent": [*front, "no such type"]}, "value", "w")
+    return out.select("part", r6("score").alias("score"), "n_groups")
+
+
+@query(f"""
+    WITH s AS (SELECT l_orderkey, score, l_quantity AS w, l_tax < 0.07 AS sel FROM {_HITS}), p AS (SELECT l_orderkey, min(score) AS r FROM s GROUP BY 1 HAVING bool_and(sel))
+    SELECT round((SELECT sum(score * w) / sum(w) FROM s WHERE sel), 6) AS step_accuracy, round(avg(r), 6) AS problem_accuracy, count(*)::BIGINT AS n_problems FROM p""")
+def step_accuracy(spark, d):
+    out = B.step_accuracy(_hits(spark, d), "l_orderkey", F.col("l_tax") < 0.07, "score", "l_quantity")
+    return out.withColumns({c: r6(c) for c in ("step_accuracy", "problem_accuracy")})
+
+
+@query(f"""
+    WITH {_FULL_PART}, k AS (SELECT *, row_number() OVER (ORDER BY part_score DESC, l_suppkey) AS a, row_number() OVER (ORDER BY full_score DESC, l_suppkey) AS c FROM b)
+    SELECT l_suppkey, abs(a - c)::BIGINT AS rank_difference, round(abs(part_score - full_score), 6) AS score_difference FROM k""")
+def judge_agreement(spark, d):
+    return B.judge_agreement(_full_part(spark, d), "l_suppkey", "part_score", "full_score").withColumn("score_difference", r6("score_difference"))
+
+
+@query("""
+    WITH u AS (SELECT user_id, count(*) AS n, avg(CASE WHEN value >= 50 THEN 1.0 ELSE 0.0 END) AS a FROM events GROUP BY 1)
+    SELECT round(sum(log10(greatest(n, 2)) * a) / sum(log10(greatest(n, 2))), 6) AS score, count(*)::BIGINT AS n FROM u""")
+def log_weighted_score(spark, d):
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.avg((F.col("value") >= 50).cast("double")).alias("a"))
+    return B.log_weighted_mean(rows, "n", "a").withColumn("score", r6("score"))
+
+
+@query("""
+    WITH a AS (SELECT l_orderkey, list(l_returnflag) AS xs FROM lineitem GROUP BY 1), m AS (SELECT *, len(list_filter(xs, lambda x: x = 'A')) AS m FROM a)
+    SELECT l_orderkey, round(list_sum(list_transform(xs, lambda x: least(1.0::DOUBLE, (m - CASE WHEN x = 'A' THEN 1 ELSE 0 END) / 3))) / len(xs), 6) AS score FROM m""")
+def consensus_score(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("xs"))
+    return rows.select("l_orderkey", r6(B.consensus_score(F.col("xs"), F.lit("A"))).alias("score"))
+
+
+@query("""
+    WITH g AS (SELECT o_custkey, CASE o_orderpriority[1] WHEN '1' THEN 1.0 WHEN '2' THEN 0.75 WHEN '3' THEN 0.5 WHEN '4' THEN 0.25 ELSE NULL END AS a, o_orderstatus = 'O' AS b FROM orders),
+    s AS (SELECT o_custkey, coalesce(avg(CASE WHEN b THEN 1 - a ELSE a END), 0) AS score FROM g GROUP BY 1)
+    SELECT c_custkey, round(coalesce(score, 0), 6) AS score, score IS NULL AS missing FROM customer LEFT JOIN s ON c_custkey = o_custkey""")
+def judged_games_filled(spark, d):
+    verdict = F.element_at(F.create_map(*[F.lit(x) for x in ("1", "[[A>>B]]", "2", "[[A>B]]", "3", "[[A=B]]", "4", "[[B>A]]")]), F.substring("o_orderpriority", 1, 1))
+    games = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.concat(F.lit("so "), F.coalesce(verdict, F.lit("none"))).alias("text"), (F.col("o_orderstatus") == "O").alias("b"))
+    scores = converters.game_scores(games, "c_custkey", "text", "b")
+    return converters.fill_missing(scores, table(spark, d, "customer").select("c_custkey"), "c_custkey").withColumn("score", r6("score"))
