@@ -165,25 +165,36 @@ def _move(first, second, doc, row, at, buckets: int, shared: bool, salt: int) ->
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _MOVED)], schema=_MOVED)
 
 
-def _per_row(doc, row, at) -> pa.RecordBatch:
-    """One row for each document, with the positions found."""
-    order = np.lexsort((at, row, doc))
-    doc, row, at = doc[order], row[order], at[order]
-    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]))
-    ends = np.append(head[1:], len(doc))
-    return pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(row[head]), pa.array([at[a:b].tobytes() for a, b in zip(head, ends)], pa.binary())], schema=_FOUND)
+_FOR_DOC = pa.schema([("bucket", pa.int32()), ("doc", pa.binary()), ("row", pa.binary()), ("at", pa.binary())])
+_FOR_DOC_SQL = "bucket int, doc binary, row binary, at binary"
 
 
-def _compare(shared: bool, wide: bool):
-    """mapInArrow over the rows of _move: the occurrences found, by document."""
+def _by_document(parts: list[tuple], deal: int) -> pa.RecordBatch:
+    """Occurrences (doc, row, at) in a block for each of `deal` ranges of document hashes."""
+    doc, row, at = (np.concatenate(x) for x in zip(*parts))
+    bucket = ((mixed(doc.view(np.uint64)) >> np.uint64(32)) * np.uint64(deal) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    doc, row, at, bucket = doc[order], row[order], at[order], bucket[order]
+    head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = np.append(head[1:], len(bucket))
+    blocks = [[x[a:b].tobytes() for a, b in zip(head, ends)] for x in (doc, row, at)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[head].astype(np.int32)), *(pa.array(x, pa.binary()) for x in blocks)], schema=_FOR_DOC)
+
+
+def _compare(shared: bool, wide: bool, deal: int):
+    """mapInArrow over the rows of _move: the occurrences found, in blocks by document."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: list[tuple] = []
+        ready: list[tuple] = []
         for b in it:
             for settled, h, doc, row, at in zip(*(b.column(c).to_pylist() for c in ("settled", "hash", "doc", "row", "at"))):
                 own = np.frombuffer(doc, "<i8"), np.frombuffer(row, "<i8"), np.frombuffer(at, "<u4")
                 if settled:
-                    yield _per_row(*own)
+                    ready.append(own)
+                    if sum(len(x[0]) for x in ready) > COMPARED:
+                        yield _by_document(ready, deal)
+                        ready = []
                 else:
                     h = np.frombuffer(h, "<u8")
                     blocks.append((*(h.reshape(2, -1) if wide else (h, None)), *own))
@@ -191,12 +202,33 @@ def _compare(shared: bool, wide: bool):
             first, second, doc, row, at = (None if x[0] is None else np.concatenate(x) for x in zip(*blocks))
             del blocks
             found, _ = _settle(first, second, doc, shared)
-            if found.any():
-                yield _per_row(doc[found], row[found], at[found])
+            ready.append((doc[found], row[found], at[found]))
+        if sum(len(x[0]) for x in ready):
+            yield _by_document(ready, deal)
 
     return run
 
 
+def _gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over the blocks of one range of documents: a row for each document, with all its positions."""
+    parts = [tuple(np.frombuffer(x, t) for x, t in zip(r, ("<i8", "<i8", "<u4"))) for b in it for r in zip(*(b.column(c).to_pylist() for c in ("doc", "row", "at")))]
+    if parts:
+        doc, row, at = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((at, row, doc))
+        doc, row, at = doc[order], row[order], at[order]
+        head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]))
+        ends = np.append(head[1:], len(doc))
+        for i in range(0, len(head), 4096):
+            a, z = head[i : i + 4096], ends[i : i + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(row[a]), pa.array([at[x:y].tobytes() for x, y in zip(a, z)], pa.binary())], schema=_FOUND)
+
+
+def _found(moved: DataFrame, shared: bool, wide: bool, deal: int) -> DataFrame:
+    """(doc_id, row, at) of the occurrences found, a row for each document."""
+    compared = moved.repartitionById(deal, F.col("bucket")).mapInArrow(_compare(shared, wide, deal), _FOR_DOC_SQL)
+    return compared.repartitionById(deal, F.col("bucket")).mapInArrow(_gather, _FOUND_SQL)
+
+
 def _bytes(column: pa.Array) -> Iterator[np.ndarray]:
     """The UTF-8 bytes of each text, not copied; null is empty."""
     column = column.cast(pa.large_string())
@@ -251,16 +283,14 @@ def repeats(docs: DataFrame, ws: str, window: int = 50) -> DataFrame:
                 h = np.concatenate(h)
                 yield _move(h, None, np.concatenate(doc), np.concatenate(row), np.concatenate(at), deal, True, int(h[0] % np.uint64(1 << 31)))
 
-    moved = docs.mapInArrow(hashed, _MOVED_SQL).repartitionById(deal, F.col("bucket"))
-    near = written(moved.mapInArrow(_compare(True, False), _FOUND_SQL), ws, "anchors")
+    near = written(_found(docs.mapInArrow(hashed, _MOVED_SQL), True, False, deal), ws, "anchors")
 
     # of documents with equal words the smallest stands for all
     first = written(known.groupBy("words").agg(F.min("doc_id").alias("first")), ws, "first")
     known = known.join(first, "words").select("doc_id", "row", "n_words", "first")
     known = written(known, ws, "classes")
-    near = near.groupBy("doc_id", "row").agg(F.collect_list("at").alias("at"))
     own = near.join(known.where("doc_id = first").select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi")
-    most = own.select(F.sum(F.aggregate("at", F.lit(0).cast("long"), lambda n, x: n + F.length(x)))).first()[0] or 0
+    most = own.select(F.sum(F.length("at"))).first()[0] or 0
     deal_wide = _deal(min(most // 4 * period, total), spark)
 
     def extended(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +301,7 @@ def repeats(docs: DataFrame, ws: str, window: int = 50) -> DataFrame:
                 n = len(h) - window + 1
                 if n < 1:
                     continue
-                a = np.frombuffer(b"".join(near_at), "<u4").astype(np.int64)
+                a = np.frombuffer(near_at, "<u4").astype(np.int64)
                 # windows that contain an anchor: they start up to period - 1 words before it
                 mark = np.zeros(len(h) + period + 1, np.int32)
                 np.add.at(mark, np.maximum(a - period + 1, 0), 1)
@@ -287,8 +317,7 @@ def repeats(docs: DataFrame, ws: str, window: int = 50) -> DataFrame:
                 yield _move(one, np.concatenate(two), np.concatenate(doc), np.concatenate(row), np.concatenate(at), deal_wide, False, int(one[0] % np.uint64(1 << 31)))
 
     texts = docs.join(own, ["doc_id", "row"]).select("doc_id", "row", "at", "text")
-    moved = texts.mapInArrow(extended, _MOVED_SQL).repartitionById(deal_wide, F.col("bucket"))
-    found = written(moved.mapInArrow(_compare(False, True), _FOUND_SQL), ws, "windows")
+    found = written(_found(texts.mapInArrow(extended, _MOVED_SQL), False, True, deal_wide), ws, "windows")
     # every window of a copy starts in its class's first document
     copies = known.where("doc_id > first").distinct().select("doc_id", "row", "n_words")
 
