@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import packing, quality, simhash, substring, toxicity
+from scorewright.llm import packing, quality, similar, substring, toxicity
 from scorewright.llm.shared import workspace, written
 
 
@@ -26,8 +26,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group."""
-    return simhash.keep_one(docs)
+    """The document with the smallest doc_id of each group of similar five-word shingles."""
+    return similar.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,19 +28,22 @@ _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def simhash64(text: str | None, words: int = 3) -> int:
-    """The fingerprint of one text, unsigned."""
+def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
+    """The hashes of a text's shingles in their order; a text of at most `words` words is one shingle."""
     data = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, and white space is ASCII
-    if not data:
-        return 0
     joined = b" ".join(data)
     if len(data) <= words:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)] if data else [], np.uint64)
     length = np.fromiter(map(len, data), np.int64, len(data))
     start = np.cumsum(length + 1) - length - 1
     n = len(data) - words + 1
     ends = (start + length)[words - 1 :].tolist()
-    h = np.fromiter(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(start[:n].tolist(), ends)], repeat(42)), "<u8", n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, [joined[a:b] for a, b in zip(start[:n].tolist(), ends)], repeat(42)), "<u8", n)
+
+
+def folded(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: each bit as most of them have it."""
+    n = len(h)
     table = np.zeros((8, 256), np.int64)
     for i in range(0, n, 1 << 16):
         part = h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -49,6 +52,11 @@ def simhash64(text: str | None, words: int = 3) -> int:
     return int(sum(1 << k for k in np.flatnonzero(2 * ones > n).tolist()))
 
 
+def simhash64(text: str | None, words: int = 3) -> int:
+    """The fingerprint of one text, unsigned."""
+    return folded(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; fp is the 64-bit fingerprint as a signed long. A null or empty text has 0."""
     prepare(docs.sparkSession)
@@ -197,6 +205,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, tree_nodes
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its group, one row each; rows without a doc_id stay."""
     found = near_duplicates(docs, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias("__sw_id")).distinct()
+    return rows_of(docs, found)
+
+
+def rows_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is a __sw_id of found, one row each, and those without a doc_id."""
     kept = docs.join(found, docs["doc_id"] == found["__sw_id"], "left_semi")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     kept = kept.withColumn("__sw_n", F.row_number().over(one)).where("__sw_n = 1").drop("__sw_n")
