@@ -131,24 +131,35 @@ def dpp(candidates: DataFrame, query: str, item: str, relevance: str, vector: st
     return candidates.groupBy(query).applyInPandas(run, f"{query} long, rank int, {item} long")
 
 
-def vote_k(neighbours: DataFrame, select: int, discount: float = 10.0) -> DataFrame:
-    """(rank, item): items that most others have among their nearest, each vote worth less the more of a voter's
-    neighbours are chosen already.
+def vote_k(neighbours: DataFrame, items: DataFrame, item: str, select: int, threshold: float = 1.0, seed: int = 0) -> DataFrame:
+    """(rank, item): items by falling number of voters, ties by id, without those of whose voters a share of at least
+    `threshold` voted for any one earlier item, taken or not; filled up to `select` from the rest by a hash of seed and id.
 
-    neighbours: (query_id, neighbour_id), an id list of bounded width a row. The greedy choice is one sequence and runs
-    as one task on ids alone.
+    neighbours: (query_id, neighbour_id), a row for each vote; items: all that can be chosen. The order of the ranks is
+    one sequence and runs as one task on ids alone; earlier items are met through shared voters.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        voters = pdf.groupby("neighbour_id")["query_id"].apply(list).to_dict()
-        near = pdf.groupby("query_id")["neighbour_id"].apply(list).to_dict()
-        used: dict[int, int] = dict.fromkeys(near, 0)
+        voters = pdf.groupby("neighbour_id")["query_id"].apply(set).to_dict()
+        ranked = sorted(voters, key=lambda i: (-len(voters[i]), i))
+        earlier: dict[int, list[int]] = {}
         chosen: list[int] = []
-        while len(chosen) < min(select, len(voters)):
-            best = min((i for i in voters if i not in chosen), key=lambda i: (-sum(discount ** -used[q] for q in voters[i]), i))
-            chosen.append(best)
-            for q in voters[best]:
-                used[q] += 1
+        for i in ranked:
+            if len(chosen) == select:
+                break
+            shared: dict[int, int] = {}
+            for q in voters[i]:
+                for j in earlier.setdefault(q, []):
+                    shared[j] = shared.get(j, 0) + 1
+                earlier[q].append(i)
+            if max(shared.values(), default=0) < threshold * len(voters[i]):
+                chosen.append(i)
         return pd.DataFrame({"rank": range(1, len(chosen) + 1), "item": chosen})
 
-    return neighbours.select("query_id", "neighbour_id").groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: run(pdf), "rank int, item long")
+    taken = neighbours.select("query_id", "neighbour_id").groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: run(pdf), "rank int, item long")
+    # at most `select` rows of either kind: the drawn ones take the ranks after the last
+    rest = items.select(F.col(item).cast("long").alias("item")).distinct().join(taken.select("item"), "item", "left_anti")
+    rest = rest.orderBy(F.xxhash64(F.lit(seed), "item"), "item").limit(select)
+    both = taken.select("rank", "item", F.lit(0).alias("drawn")).unionByName(rest.select(F.lit(0).alias("rank"), "item", F.lit(1).alias("drawn")))
+    order = Window.orderBy("drawn", "rank", F.xxhash64(F.lit(seed), "item"), "item")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= select).select("rank", "item")

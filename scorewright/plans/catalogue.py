@@ -427,7 +427,8 @@ def dpp_topk(spark, d):
 
 @query()
 def votek(spark, d):
-    return retrieval.vote_k(_knn(spark, d, 10), 20)
+    e = table(spark, d, "embeddings")
+    return retrieval.vote_k(retrieval.knn(e, e, "vec_id", "embedding", 10), e, "vec_id", 20)  # every vector votes
 
 
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[ \\t\\n]+'), lambda w: length(w) > 0)"
