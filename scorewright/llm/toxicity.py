@@ -116,7 +116,9 @@ class Scorer:
         if len(self.machine):
             for end, n in self.machine.iter(low):
                 start = end - n + 1
-                if start == 0 or not (low[start - 1].isalpha() or low[start - 1] == "'"):
+                before = low[max(0, start - 2) : start]
+                # an apostrophe is inside a word only after a letter
+                if not before or not (before[-1].isalpha() or before[-1] == "'" and before[0].isalpha()):
                     spots.append(start)
         if not spots:
             return 0.0, 0.0, 0.0, 0.0
