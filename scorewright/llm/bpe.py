@@ -2,35 +2,24 @@
 
 The distinct words of a batch form one flat array of symbols. A round looks every neighbouring pair up by binary
 search over the sorted keys of the merge table, takes each word's lowest rank and merges its occurrences in all words
-at once; words without a pair left drop out. Only the vocabulary file is read: the library is not used.
+at once; words without a pair left drop out. The merges are this module's own; the tokenizers library only normalises
+and splits texts with code points outside the plain ones, whose classes differ between Unicode versions.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.shared import UNUSUAL, WORD_LEVEL, WordTable, byte_symbols, pattern, prepare, spans
-
-_WHITE = r"\t-\r \x85\xa0  -     　"
-
-
-class _Lower(dict):
-    """Lower case of one character at a time, without the rules that look at neighbours."""
-
-    def __missing__(self, c: int) -> str:
-        self[c] = chr(c).lower()
-        return self[c]
-
+from scorewright.llm.shared import UNUSUAL, WORD_LEVEL, byte_symbols, pattern, prepare, spans
 
 class MergeTable:
     """Merge rules as sorted pair keys with their rank and the id they make."""
@@ -62,14 +51,23 @@ class MergeTable:
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.final = np.array([vocab[s + self.suffix] for s in symbols], np.int64)
         self.find = pattern(WORD_LEVEL).findall
-        self.find_any = regex.compile(WORD_LEVEL.format(L=r"\p{L}", N=r"\p{N}", S=_WHITE)).findall
-        self.lower = _Lower()
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text without added tokens, normalised."""
+    def words(self, text: str) -> list[str | int]:
+        """The words of a text, normalised, and the ids of added tokens."""
+        if not (self.special and "<|" in text):
+            return self._words(text)
+        parts = self.special.split(text)  # added tokens at odd places
+        return [x for k, p in enumerate(parts) for x in ([self.added[p]] if k % 2 else self._words(p))]
+
+    def _words(self, text: str) -> list[str]:
         if not UNUSUAL.search(text):
             return self.find(text.lower())
-        return self.find_any(unicodedata.normalize("NFC", text).translate(self.lower))
+        normal = self.normal(text)
+        return [normal[a:b] for _, (a, b) in self.split(normal)]
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word, by merge rounds over all of them."""
@@ -120,46 +118,51 @@ class MergeTable:
             sym, word = sym[stay], word[stay]
 
 
-_tables: dict[str, tuple[MergeTable, WordTable]] = {}
+class Learnt(dict):
+    """The ids of words as bytes, learnt from `encode` a batch of words at a time; beyond `limit` words all but the
+    first `core` go. Added tokens stand for themselves. It only saves time."""
+
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = 400_000, core: int = 100_000):
+        self.encode, self.limit, self.core = encode, limit, core
+
+    def learn(self, words: set) -> None:
+        if len(self) > self.limit:
+            first = dict(itertools.islice(self.items(), self.core))
+            self.clear()
+            self.update(first)
+        new = [w for w in words if w not in self]
+        ids = [w for w in new if isinstance(w, int)]
+        self.update((i, np.int32(i).tobytes()) for i in ids)
+        if len(new) > len(ids):
+            new = [w for w in new if isinstance(w, str)]
+            self.update(zip(new, (x.astype("<i4").tobytes() for x in self.encode(new))))
+
+
+_tables: dict[str, tuple[MergeTable, Learnt]] = {}
 
 
-def _table(path: str) -> tuple[MergeTable, WordTable]:
+def _table(path: str) -> tuple[MergeTable, Learnt]:
     if path not in _tables:
         m = MergeTable(path)
-        _tables[path] = m, WordTable(m.encode_words)
+        _tables[path] = m, Learnt(m.encode_words)
     return _tables[path]
 
 
 def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, ids) of whole texts; strings of added tokens get their ids, as is the library's default."""
     merges, table = _table(path)
-    words, ends, special = [], np.zeros(len(texts), np.int64), []
-    for i, t in enumerate(texts):
-        if merges.special and "<|" in t:
-            for part in merges.special.split(t):
-                if part in merges.added:
-                    special.append((len(words), merges.added[part]))
-                    words.append("")  # holds the place
-                else:
-                    words += merges.words(part)
-        else:
-            words += merges.words(t)
-        ends[i] = len(words)
-    if not special:
-        return table.flat(words, ends)
-    place = dict(special)
-    own = [np.array([place[k]], np.int32) if k in place else None for k in range(len(words))]
-    at, ids = table.flat([w for k, w in enumerate(words) if k not in place], np.arange(1, len(words) - len(place) + 1))
-    it = iter(range(len(at) - 1))
-    parts = [x if x is not None else ids[at[j := next(it)] : at[j + 1]] for x in own]
-    size = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    return size[np.concatenate([[0], ends])], np.concatenate(parts)
+    split = [merges.words(t) for t in texts]
+    table.learn(set().union(*split))
+    parts = [b"".join(map(table.__getitem__, words)) for words in split]
+    at = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)])
+    return at, np.frombuffer(b"".join(parts), "<i4")
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every row's whole text; a null text is empty and has no ids.
 
-    Rows that repeat or lack a doc_id keep a row each; other columns are not looked at.
+    Rows that repeat or lack a doc_id keep a row each; other columns are not looked at; an empty table gives none. A very
+    long text is one row of a batch of its own: its words and ids are in memory once.
     """
     prepare(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])

@@ -78,14 +78,16 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = published(tokenizer)
+        end = np.array([end_id], "<u4").tobytes()
         for b in it:
             rows: list[tuple] = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), published(tokenizer).encode(texts_of(b, "text"))):
-                ids = np.append(ids, end_id).astype("<u4")
-                at = 0
-                for k in range(n := -(-len(ids) // size)):
-                    to = len(ids) - (n - 1 - k) * size
-                    rows.append((doc_id, k, at, to - at, ids[at:to].tobytes()))
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts_of(b, "text")):
+                ids = tok.ids(text).astype("<u4").tobytes() + end
+                at, total = 0, len(ids) // 4
+                for k in range(n := -(-total // size)):
+                    to = total - (n - 1 - k) * size
+                    rows.append((doc_id, k, at, to - at, ids[4 * at : 4 * to]))
                     at = to
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)

@@ -6,12 +6,14 @@ from __future__ import annotations
 import atexit
 import contextlib
 import itertools
+import json
 import os
 import re
 import tempfile
 import unicodedata
 import uuid
 import zipfile
+from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -138,9 +140,10 @@ def components(edges: DataFrame, ws: str) -> DataFrame:
 # --- tokenising by words ----------------------------------------------------------------------------
 
 
-#: Code points whose class no Unicode version since 5.0 has changed: there `re` with the classes spelled out
-#: splits as the tokenizers' own pattern does. Texts with others are left to the library (or to `regex`).
-_PLAIN = [c for c in map(chr, itertools.chain(range(0x250), range(0x2002, 0x2070))) if unicodedata.category(c) != "Cn"]
+#: Code points whose class no Unicode version since 5.0 has changed, and their lower case neither: there `re` with the
+#: classes spelled out splits as the tokenizers' own pattern does. Texts with others are split by the library.
+_ASSIGNED = {c for c in map(chr, itertools.chain(range(0x250), range(0x2002, 0x2070))) if unicodedata.category(c) != "Cn"}
+_PLAIN = sorted(c for c in _ASSIGNED if _ASSIGNED.issuperset(c.lower()))
 
 
 def _spelled(test: Callable[[str], bool]) -> str:
@@ -149,8 +152,22 @@ def _spelled(test: Callable[[str], bool]) -> str:
 
 _L, _N = (_spelled(lambda c, k=k: unicodedata.category(c)[0] == k) for k in "LN")
 #: White_Space of Unicode, as the tokenizers' \s has it.
-_S = r"\t-\r \x85\xa0  -     　"
-UNUSUAL = re.compile(r"[^\x00-ɏ -⁤⁪-⁯]")
+_S = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _runs(chars: list[str]) -> str:
+    """Ascending characters as the ranges of a class."""
+    out, at = [], 0
+    while at < len(chars):
+        to = at
+        while to + 1 < len(chars) and ord(chars[to + 1]) == ord(chars[to]) + 1:
+            to += 1
+        out.append(f"\\U{ord(chars[at]):08x}-\\U{ord(chars[to]):08x}")
+        at = to + 1
+    return "".join(out)
+
+
+UNUSUAL = re.compile(f"[^{_runs(_PLAIN)}]")
 #: The two patterns of the published tokenizers: byte-level, and words with white space dropped.
 BYTE_LEVEL = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 WORD_LEVEL = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
@@ -168,67 +185,34 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else next(rest) for b in range(256)]
 
 
-class WordTable:
-    """Token ids of words, learnt from `encode` as words turn up; beyond `limit` words all but the first `core` go.
+class Words(dict):
+    """The serialised ids of words, learnt one by one as they turn up.
 
     It only saves time: a word's ids don't depend on its neighbours, because the tokenizers apply BPE within each
-    match of their pattern.
+    match of their pattern. Beyond `limit` words all but the first `core`, among which are the frequent ones, go.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 300_000, core: int = 100_000):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 400_000, core: int = 100_000):
         self.encode, self.limit, self.core = encode, limit, core
-        self.at: dict[str, int] = {}
-        self.start, self.length, self.ids, self.used, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.int32), 0, 0
-
-    def shrink(self) -> None:
-        """Back to the first words seen, among which are the frequent ones."""
-        self.size = min(self.core, self.size)
-        self.used = int(self.start[self.size - 1] + self.length[self.size - 1]) if self.size else 0
-        self.at = dict(itertools.islice(self.at.items(), self.size))
-
-    def add(self, words: list[str]) -> None:
-        got = self.encode(words)
-        length = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(itertools.chain.from_iterable(got), np.int32, int(length.sum()))
-        n, m = self.size + len(got), self.used + len(flat)
-        for name, need in (("start", n), ("length", n), ("ids", m)):
-            if need > len(old := getattr(self, name)):
-                setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), old.dtype)]))
-        self.start[self.size : n] = self.used + np.cumsum(length) - length
-        self.length[self.size : n] = length
-        self.ids[self.used : m] = flat
-        self.at.update(zip(words, range(self.size, n)))
-        self.size, self.used = n, m
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        """The row of each word."""
-        if len(self.at) > self.limit:
-            self.shrink()
-        if new := list(set(words).difference(self.at)):
-            self.add(new)
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-
-    def counts(self, words: list[str], ends: np.ndarray) -> np.ndarray:
-        """The number of ids of each text; text i has the words ends[i-1]..ends[i]."""
-        rows = self.rows(words)
-        total = np.concatenate([[0], np.cumsum(self.length[rows])])
-        return np.diff(total[np.concatenate([[0], ends])])
-
-    def flat(self, words: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids) of the texts."""
-        rows = self.rows(words)
-        length = self.length[rows]
-        total = np.concatenate([[0], np.cumsum(length)])
-        ids = self.ids[np.repeat(self.start[rows] - total[:-1], length) + np.arange(total[-1])]
-        return total[np.concatenate([[0], ends])], ids
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.encode(word)
+        return ids
+
+    def joined(self, words: list[str]) -> bytes:
+        if len(self) > self.limit:
+            first = dict(itertools.islice(self.items(), self.core))
+            self.clear()
+            self.update(first)
+        return b"".join(map(self.__getitem__, words))
 
 
 class Published:
     """A tokenizer of the tokenizers library, file and all its defaults; ids equal Tokenizer.encode(text,
     add_special_tokens=False) of the whole text without truncation and padding.
 
-    Plain texts are split by the tokenizer's own pattern and the library encodes each distinct word once; other texts
-    it encodes whole.
+    Plain texts are split by the tokenizer's own pattern and each distinct word is encoded once; other texts the library
+    encodes whole. Ids are handed on in their serialised form, little-endian of 16 bits if the vocabulary allows.
     """
 
     def __init__(self, path: str):
@@ -245,45 +229,52 @@ class Published:
         self.find = pattern(WORD_LEVEL if self.lower else BYTE_LEVEL).findall
         added = self.library.get_added_tokens_decoder()
         self.special = re.compile("|".join(re.escape(t.content) for t in added.values())) if added else None
+        self.dtype = np.dtype("<u2" if max([self.library.get_vocab_size(with_added_tokens=True) - 1, *added]) < 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.symbols = dict(enumerate(byte_symbols()))
-        self.table = WordTable(self._words)
-
-    def _words(self, words: list[str]) -> list[list[int]]:
-        """The library's own BPE model on single words, whose bytes it wants as printable characters."""
-        bpe, symbols = self.library.model.tokenize, self.symbols
-        return [[t.id for t in bpe(w.encode().decode("latin-1").translate(symbols))] for w in words]
+        self.core = None if self.lower else self._ranked(path)
+        self.table = Words(self._word if self.core is None else self._piece)
+
+    def _ranked(self, path: str):
+        """A BPE over bytes with the file's merges, or none where ids don't follow the order of merges."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        back = {s: b for b, s in self.symbols.items()}
+        vocab = {bytes(back[c] for c in t): i for t, i in model["vocab"].items() if all(c in back for c in t)}
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        single = [vocab[bytes([b])] for b in range(256)]
+        if made != sorted(made) or made and made[0] < max(single) or len(made) + 256 > len(vocab):
+            return None
+        keep = {*made, *single}
+        return tiktoken.Encoding("own", pat_str=".", mergeable_ranks={t: i for t, i in vocab.items() if i in keep}, special_tokens={})._core_bpe
+
+    def _piece(self, word: str) -> bytes:
+        return array(self.code, self.core.encode_single_piece(word.encode())).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """The library's own BPE model on a single word, whose bytes it wants as printable characters."""
+        found = self.library.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))
+        return array(self.code, [t.id for t in found]).tobytes()
 
     def plain(self, text: str) -> bool:
         return not UNUSUAL.search(text) and not (self.special and "<|" in text and self.special.search(text))
 
-    def _split(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[int]]:
-        words: list[str] = []
-        ends, other = np.zeros(len(texts), np.int64), []
-        for i, t in enumerate(texts):
-            if self.plain(t):
-                words += self.find(t.lower() if self.lower else t)
-            else:
-                other.append(i)
-            ends[i] = len(words)
-        return words, ends, other
-
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def counts(self, texts: list[str]) -> np.ndarray:
-        words, ends, other = self._split(texts)
-        n = self.table.counts(words, ends)
-        for i in other:
-            n[i] = len(self.whole(texts[i]))
-        return n
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words, ends, other = self._split(texts)
-        at, ids = self.table.flat(words, ends)
-        out = [ids[at[i] : at[i + 1]] for i in range(len(texts))]
-        for i in other:
-            out[i] = np.array(self.whole(texts[i]), np.int32)
-        return out
+    def serial(self, text: str) -> bytes:
+        """The ids of a text, of `dtype`."""
+        if self.plain(text):
+            return self.table.joined(self.find(text.lower() if self.lower else text))
+        return np.array(self.whole(text), self.dtype).tobytes()
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.serial(text), self.dtype)
+
+    def count(self, text: str) -> int:
+        return len(self.serial(text)) // self.dtype.itemsize
 
 
 _published: dict[str, Published] = {}

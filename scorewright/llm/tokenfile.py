@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorewright.llm.files import binary, put, store
-from scorewright.llm.shared import prepare, published, spans, texts_of, workspace, written
+from scorewright.llm.shared import Published, prepare, published, spans, texts_of, workspace, written
 
 MAGIC, END = b"SWTOKEN1", b"1NEKOTWS"
 DICTIONARY = "shared.zdict"
@@ -39,8 +39,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_rows:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            got = published(tokenizer).encode(texts_of(b, "text"))
-            yield pa.RecordBatch.from_arrays([pa.array([_serial(x, end_id)[:sample_bytes] for x in got], pa.binary())], names=["ids"])
+            tok = published(tokenizer)
+            end = _serial(tok, end_id)
+            yield pa.RecordBatch.from_arrays([pa.array([(tok.serial(t) + end)[:sample_bytes] for t in texts_of(b, "text")], pa.binary())], names=["ids"])
 
     samples = [bytes(r[0]) for r in some.mapInArrow(run, "ids binary").limit(2 * sample_rows).collect()]
     try:
@@ -49,31 +50,30 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_rows:
         return b"".join(samples)[:size]
 
 
-def _serial(ids: np.ndarray, end_id: int) -> bytes:
-    """Little-endian 16-bit ids with the end id (32-bit where an id needs it)."""
-    whole = np.append(ids, end_id)
-    return whole.astype("<u2" if whole.max() < 1 << 16 else "<u4").tobytes()
+def _serial(tok: Published, token: int) -> bytes:
+    return np.array([token], tok.dtype).tobytes()
 
 
 class Writer:
-    """A file being written."""
+    """A file being written; width: bytes of an id."""
 
-    def __init__(self, dictionary: bytes, end_id: int, level: int):
+    def __init__(self, dictionary: bytes, end_id: int, level: int, width: int = 2):
         own = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         self.zstd = zstandard.ZstdCompressor(level=level, dict_data=own, write_content_size=True)
-        self.head = {"dictionary_sha256": hashlib.sha256(dictionary).hexdigest(), "end_id": end_id}
+        self.head = {"dictionary_sha256": hashlib.sha256(dictionary).hexdigest(), "end_id": end_id, "width": width}
+        self.width = width
         self.parts: list[bytes] = []
         self.index: list[tuple] = []
         self.size = self.tokens = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        whole = np.append(ids, self.head["end_id"])
-        wide = bool(whole.max() >= 1 << 16)
-        frame = bytes([wide]) + self.zstd.compress(_serial(ids, self.head["end_id"]))
-        self.index.append((_NULL if doc_id is None else doc_id, self.size, len(frame), len(whole)))
+    def add(self, doc_id: int | None, serial: bytes) -> None:
+        """serial: the little-endian ids of a document, end id included."""
+        frame = self.zstd.compress(serial)
+        n = len(serial) // self.width
+        self.index.append((_NULL if doc_id is None else doc_id, self.size, len(frame), n))
         self.parts.append(frame)
         self.size += len(frame)
-        self.tokens += len(whole)
+        self.tokens += n
 
     def bytes(self) -> bytes:
         head = json.dumps(self.head).encode()
@@ -101,7 +101,7 @@ class TokenFile:
         """The ids of the k-th document, with the end id."""
         e = self.index[k]
         frame = self.read(self.start + int(e["offset"]), int(e["length"]))
-        return np.frombuffer(self.zstd.decompress(frame[1:]), "<u4" if frame[0] else "<u2")
+        return np.frombuffer(self.zstd.decompress(frame), f"<u{self.head['width']}")
 
 
 def write_token_files(docs: DataFrame, folder: str, ws: str, tokenizer: str, end_id: int = 0, file_bytes: int = 1 << 24, level: int = 3) -> DataFrame:
@@ -118,19 +118,20 @@ def write_token_files(docs: DataFrame, folder: str, ws: str, tokenizer: str, end
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, out = TaskContext.get().partitionId(), 0, Writer(dictionary, end_id, level)
+        tok = published(tokenizer)
+        end, width = _serial(tok, end_id), tok.dtype.itemsize
+        part, seq, out = TaskContext.get().partitionId(), 0, Writer(dictionary, end_id, level, width)
 
         def close() -> pa.RecordBatch:
             put(folder, name := f"part-{part:06d}-{seq:05d}.tok", out.bytes())
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "n_docs": len(out.index), "n_tokens": out.tokens}], schema=schema)
 
         for b in it:
-            texts = texts_of(b, "text")
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), published(tokenizer).encode(texts)):
-                out.add(doc_id, ids)
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts_of(b, "text")):
+                out.add(doc_id, tok.serial(text) + end)
                 if out.size >= file_bytes:
                     yield close()
-                    seq, out = seq + 1, Writer(dictionary, end_id, level)
+                    seq, out = seq + 1, Writer(dictionary, end_id, level, width)
         if out.index:
             yield close()
 

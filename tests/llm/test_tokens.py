@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -25,13 +26,51 @@ def ids_of(library, path, text):
     return library[path].encode(text or "", add_special_tokens=False).ids
 
 
+def shapes():
+    """Code points by themselves, inside a word, before and after digits, marks, spaces and contractions: all of them but
+    for the large blocks of ideographs, syllables, private and unassigned ones, of which every 97th."""
+    large = [(0x3400, 0xA000), (0xAC00, 0xD7A4), (0xD800, 0xF900), (0x10000, 0x1D000), (0x20000, 0x110000)]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c % 97 == 0 or not any(a <= c < b for a, b in large))]
+    for i in range(0, len(points), 64):
+        some = points[i : i + 64]
+        yield " ".join(f"{c} a{c}B 1{c}2 !{c}? \u0130{c}x {c}'s\n{c}  {c}" for c in some)
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_words_give_the_librarys_ids(library, path):
     tok = shared.Published(path)
     tok.table.limit, tok.table.core = 20, 5  # forgets again and again
     for some in (ODD, ODD[:7], ODD[::-1]):
-        assert [x.tolist() for x in tok.encode(some)] == [ids_of(library, path, t) for t in some]
-        assert tok.counts(some).tolist() == [len(ids_of(library, path, t)) for t in some]
+        assert [tok.ids(t).tolist() for t in some] == [ids_of(library, path, t) for t in some]
+        assert [tok.count(t) for t in some] == [len(ids_of(library, path, t)) for t in some]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_every_code_point_that_counts_as_plain(library, path):
+    tok = shared.Published(path)
+    for c in shared._PLAIN:
+        for t in (c, f"a{c}B 1{c}2 !{c}? {c}'s", f"{c}ARI {c}{c} \n{c}  {c}"):
+            assert tok.plain(t)
+            assert tok.ids(t).tolist() == ids_of(library, path, t), hex(ord(c))
+
+
+def test_merge_rounds_on_every_code_point(library):
+    texts = list(shapes())
+    for i in range(0, len(texts), 512):
+        some = texts[i : i + 512]
+        at, ids = bpe.encode_texts(WORD, some)
+        want = [e.ids for e in library[WORD].encode_batch(some, add_special_tokens=False)]
+        assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(some))] == want
+
+
+def test_every_word_of_the_vocabulary_as_a_piece(library):
+    """The BPE over bytes takes a piece that is a token at once; the merges lead to it, too."""
+    tok = shared.Published(BYTE)
+    assert tok.core is not None
+    symbols = {c: i for i, c in enumerate(shared.byte_symbols())}
+    for t in library[BYTE].get_vocab(with_added_tokens=False):
+        if t != "<|endoftext|>":
+            assert tok.core.encode_single_piece(bytes(symbols[c] for c in t)) == [x.id for x in library[BYTE].model.tokenize(t)]
 
 
 def test_merge_rounds_give_the_librarys_ids(library):
@@ -44,14 +83,34 @@ def test_merge_rounds_give_the_librarys_ids(library):
     assert [x.tolist() for x in table.encode_words(words)] == [x.tolist() for x in bpe.MergeTable(WORD).encode_words(words)]
 
 
-@pytest.mark.parametrize("text", ["plain words with, punctuation. " * 200, "a" * 4000 + " tail " * 300, "日本語 テキスト " * 200, "a b<|endoftext|>" * 200, "1 2 3 " * 400, ". , ! " * 400, "x" * 5000, "Café Ó " * 300])
+@pytest.mark.parametrize("path", [WORD, BYTE])
+@pytest.mark.parametrize("text", ["plain words with, punctuation. " * 200, "日本語のテキスト、" * 300 + "漢" * 2000, "don't'x'll9's,'ll " * 200, "\u0130! a\u0301,b e\u0301=\u0338c " * 150, " \n\n  x\t\ty  " * 200, "<|endoftext|>" * 60 + "a " * 900 + "<|endoftext|>", "a" * 4000 + " tail " * 300, "日本語 テキスト " * 200, "a b<|endoftext|>" * 200, "1 2 3 " * 400, ". , ! " * 400, "x" * 5000, "Café Ó " * 300])
 @pytest.mark.parametrize("chunk, overlap", [(500, 80), (97, 5)])
-def test_chunks_splice_to_the_whole(library, text, chunk, overlap):
-    ids, starts = tokencount.chunked(shared.published(WORD), text, chunk, overlap)
-    whole = library[WORD].encode(text, add_special_tokens=False)
+def test_chunks_splice_to_the_whole(library, path, text, chunk, overlap):
+    ids, starts = tokencount.chunked(shared.published(path), text, chunk, overlap)
+    whole = library[path].encode(text, add_special_tokens=False)
     assert ids.tolist() == whole.ids and starts.tolist() == [a for a, _ in whole.offsets]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_chunks_of_random_texts(library, path):
+    rng = np.random.default_rng(5)
+    bits = ["a", "Bc", "'s", "'", "!", "..", " ", "\n ", "12", "\u0130", "\u0301", "\u0338", "=", "漢字", "。", "\u3000", "é", "\u2019", "<|endoftext|>", "\ud55c", "\u11a8", "\u0181", "\u212b", "_", "-"]
+    for _ in range(60):
+        text = "".join(rng.choice(bits, 700))
+        ids, starts = tokencount.chunked(shared.published(path), text, 120, 8)
+        whole = library[path].encode(text, add_special_tokens=False)
+        assert ids.tolist() == whole.ids and starts.tolist() == [a for a, _ in whole.offsets]
+
+
+def test_time_of_a_text_without_boundaries(library):
+    text = "".join(map(chr, np.random.default_rng(3).integers(0x4E00, 0x9FA5, 400_000)))
+    began = time.process_time()
+    ids, _ = tokencount.chunked(shared.published(WORD), text)
+    assert time.process_time() - began < 4  # doubling a text doubles the time
+    assert len(ids) == len(ids_of(library, WORD, text))
+
+
 def table(spark):
     rows = [(i, t, i) for i, t in enumerate(ODD)] + [(100, None, 1), (100, "again", 1), (None, "no id", 2)]
     return rows, spark.createDataFrame(rows, "doc_id long, text string, ids long").repartition(3)
@@ -89,7 +148,7 @@ def test_token_files(spark, library):
     assert [x.tolist() for x in tokenfile.read_document(folder, some.file, 2)] == [[*ids_of(library, BYTE, ODD[2]), 0]]
     with pytest.raises(ValueError):
         data = tokenfile.Writer(b"", 0, 3)
-        data.add(1, np.array([5, 6]))
+        data.add(1, np.array([5, 6, 0], "<u2").tobytes())
         raw = data.bytes()
         tokenfile.TokenFile(lambda a, n: raw[a : a + n], len(raw), b"other")
     assert tokenfile.round_trip(docs.limit(0), BYTE)[0].count() == 0
