@@ -3,11 +3,15 @@
 A cosine of at least t is a squared distance of at most 2 - 2t between unit vectors. A rotation keeps distances; it
 spreads them over blocks of `block_dims` coordinates. If a pair's distance is within the budget, then at least one
 block's distance is within that block's share of it, so joining every block by range and taking the union loses no
-pair. A block's join is a grid over its first two coordinates: a vector is a query in its own cell and a member of
-each cell that its range touches. Candidates are verified by their exact cosine in double precision at once, and a
-pair counts only in the first block that holds it, so sums of links need no pairs to be moved or compared again.
-Equal vectors of a label are one class first. A cell of more than `cell_rows` members is dealt into slices that all
-its queries visit.
+pair. A block's range join is nested over all its coordinates: for each coordinate the members are cut into bins by
+rank, a bitmap tells the members of all lower bins, and two of them give those within the range of a query's
+coordinate; what is left after all coordinates of the block is compared under the block's budget, once for all blocks,
+and then verified by the exact cosine in double precision.
+
+Equal vectors of a label are one class first. A label's classes are dealt into chunks and each pair of chunks is a unit
+of its own, in which a pair is met once and counts for both ends: units hand on sums of links and spanning stars, never
+pairs. A row travels to as many units as its label has chunks: one up to `chunk_rows` classes, at most 16 up to a
+million, and a sixteenth of a label's millions beyond, since every link of a dense label has to be counted.
 """
 
 from __future__ import annotations
@@ -16,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorewright.llm.shared import components, local_stars, prepare, workspace, written
 
 _SLACK = 1e-9
+#: Bins of a coordinate, queries compared at a time, and chunks of a label before chunks grow.
+_BINS, _QUERIES, _CHUNKS = 256, 256, 16
 
 
 def _rotation(dims: int) -> np.ndarray:
@@ -54,130 +60,162 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-_CELL = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("dims", pa.int32()), ("home", pa.bool_()), ("rep", pa.int64()), ("n", pa.int64()), ("vector", pa.binary())])
-_CELL_SQL = "key long, block int, dims int, home boolean, rep long, n long, vector binary"
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-
+class Ranges:
+    """The members of one block: who lies within a range in every coordinate."""
+
+    def __init__(self, part: np.ndarray):
+        """part: a row of coordinates for each member."""
+        self.n = len(part)
+        self.words = -(-self.n // 64)
+        bins = min(self.n, _BINS)
+        start = np.arange(bins) * self.n // bins
+        self.cuts, self.below = [], []
+        for x in part.T:
+            order = np.argsort(x, kind="stable")
+            self.cuts.append((x[order[start]], x[order[np.append(start[1:], self.n) - 1]]))
+            bits = np.zeros((bins + 1, self.words * 64), np.uint8)
+            bits[np.searchsorted(start, np.arange(self.n), side="right"), order] = 1
+            self.below.append(np.bitwise_or.accumulate(np.packbits(bits, axis=1, bitorder="little").view(np.uint64), axis=0))
+
+    def within(self, part: np.ndarray, radius: float, among: np.ndarray) -> np.ndarray:
+        """The bitmaps of `among`, a row for each query, without members outside the box around the query."""
+        out = among.copy()
+        for x, (low, high), below in zip(part.T, self.cuts, self.below):
+            out &= below[np.searchsorted(low, x + radius, side="right")]
+            out &= ~below[np.searchsorted(high, x - radius)]
+        return out
+
+
+def bit_pairs(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the bits that are set."""
+    row, word = np.nonzero(bits)
+    some = np.unpackbits(bits[row, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    k, place = np.nonzero(some)
+    return row[k], word[k] * 64 + place
+
+
+class Unit:
+    """The links between two chunks of a label, or within one."""
+
+    def __init__(self, threshold: float, block_dims: int):
+        self.threshold, self.block_dims = threshold, block_dims
+        #: Pairs that were compared under a block's budget, and those verified.
+        self.compared = self.verified = 0
+
+    def links(self, a: np.ndarray, b: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of a and of b (of a itself, the second behind the first, if b is None) that link."""
+        plan = Blocks(a.shape[1], self.threshold, self.block_dims)
+        ua = unit(a)
+        ub = ua if b is None else unit(b)
+        ta, tb = plan.rotated(ua), plan.rotated(ub)
+        ranges = [Ranges(tb[:, lo:hi]) for lo, hi in zip(plan.cuts, plan.cuts[1:])]
+        n = len(ub)
+        places = np.arange(ranges[0].words * 64)
+        for at in range(0, len(ua), _QUERIES):
+            q = np.arange(at, min(at + _QUERIES, len(ua)))
+            open_ = (places < n) & (places > (q[:, None] if b is None else np.full((len(q), 1), -1)))
+            left = np.packbits(open_, axis=1, bitorder="little").view(np.uint64)
+            found = []
+            for block, (lo, hi) in enumerate(zip(plan.cuts, plan.cuts[1:])):
+                radius = float(np.sqrt(plan.budget[block])) * (1 + 1e-6) + 1e-12
+                x, y = bit_pairs(ranges[block].within(ta[q, lo:hi], radius, left))
+                near = np.zeros(len(x), bool)
+                for i in range(0, len(x), 1 << 16):
+                    j = slice(i, i + (1 << 16))
+                    near[j] = ((ta[q[x[j]], lo:hi] - tb[y[j], lo:hi]) ** 2).sum(1) <= plan.budget[block] * (1 + 1e-6) + 1e-12
+                self.compared += len(x)
+                x, y = x[near], y[near]
+                found.append((x, y))
+                if len(x):  # a pair is compared no more once a block has it
+                    taken = np.zeros((len(q), len(places)), bool)
+                    taken[x, y] = True
+                    left &= ~np.packbits(taken, axis=1, bitorder="little").view(np.uint64)
+            x, y = (np.concatenate(z) for z in zip(*found))
+            self.verified += len(x)
+            for i in range(0, len(x), 1 << 16):
+                k, m = q[x[i : i + (1 << 16)]], y[i : i + (1 << 16)]
+                ok = np.einsum("ij,ij->i", ua[k], ub[m]) >= self.threshold
+                if ok.any():
+                    yield k[ok], m[ok]
 
-def _cells(threshold: float, block_dims: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            lists = b.column("embedding").to_pylist()
-            reps, ns, labels = (b.column(c).to_pylist() for c in ("rep", "n", "label"))
-            for dims in sorted({len(x) for x in lists}):
-                at = [i for i, x in enumerate(lists) if len(x) == dims]
-                raw = np.array([lists[i] for i in at], np.float64)
-                plan = Blocks(dims, threshold, block_dims)
-                turned = plan.rotated(unit(raw))
-                wide = [raw[k].tobytes() for k in range(len(at))]
-                rows: list[tuple] = []
-                for block, (lo, hi) in enumerate(zip(plan.cuts, plan.cuts[1:])):
-                    r = float(np.sqrt(plan.budget[block])) * (1 + 1e-6)
-                    xy = turned[:, lo : min(lo + 2, hi)]
-                    home = np.floor(xy / (2 * r)).astype(np.int64)
-                    low, high = np.floor((xy - r) / (2 * r)).astype(np.int64), np.floor((xy + r) / (2 * r)).astype(np.int64)
-                    for k, i in enumerate(at):
-                        cells = [()]
-                        for a, z in zip(low[k].tolist(), high[k].tolist()):
-                            cells = [(*c, v) for c in cells for v in range(a, z + 1)]
-                        own = tuple(home[k].tolist())
-                        for c in cells:
-                            key = xxhash.xxh64_intdigest(repr((labels[i], dims, block, c))) - (1 << 63)
-                            rows.append((key, block, dims, c == own, reps[i], ns[i], wide[k]))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _CELL)], schema=_CELL)
 
-    return run
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
-def _search(threshold: float, block_dims: int):
-    """mapInArrow over rows of cells sorted by key, slice and members before queries."""
-
-    def compare(block: int, dims: int, members: list, queries: list, found: list) -> None:
-        plan = Blocks(dims, threshold, block_dims)
-        lo, hi = plan.cuts[block], plan.cuts[block + 1]
-        m_rep, m_n = np.array([x[0] for x in members]), np.array([x[1] for x in members])
-        m_unit = unit(np.array([np.frombuffer(x[2]) for x in members]))
-        m_turn = plan.rotated(m_unit)
-        m_part = m_turn[:, lo:hi]
-        m_square = (m_part**2).sum(1)
-        for at in range(0, len(queries), 256):
-            some = queries[at : at + 256]
-            rep = np.array([x[0] for x in some])
-            u = unit(np.array([np.frombuffer(x[2]) for x in some]))
-            turn = plan.rotated(u)
-            part = turn[:, lo:hi]
-            near = (part**2).sum(1)[:, None] + m_square - 2 * part @ m_part.T <= plan.budget[block] * (1 + 1e-6) + 1e-12
-            q, m = np.nonzero(near)
-            for i in range(0, len(q), 1 << 15):
-                a, b = q[i : i + (1 << 15)], m[i : i + (1 << 15)]
-                ok = (np.einsum("ij,ij->i", u[a], m_unit[b]) >= threshold) & (rep[a] != m_rep[b])
-                a, b = a[ok], b[ok]
-                inside = plan.shares(turn[a], m_turn[b]) <= plan.budget
-                first = inside.argmax(1) == block
-                a, b = a[first], b[first]
-                if len(a):
-                    sums = np.bincount(a, weights=m_n[b], minlength=len(some)).astype(np.int64)
-                    has = np.flatnonzero(sums)
-                    found.append((rep[has], np.full(len(has), -1), sums[has]))
-                    x, y = local_stars(rep[a], m_rep[b])
-                    found.append((x, y, np.zeros(len(x), np.int64)))
+def _units(threshold: float, block_dims: int):
+    """mapInArrow over rows (label, dims, i, j, chunk, rep, n, embedding) sorted by the first four."""
+
+    def solve(rows: pa.Table) -> pa.RecordBatch | None:
+        dims, i, j = (rows.column(c)[0].as_py() for c in ("dims", "i", "j"))
+        chunk, rep, n = (rows.column(c).to_numpy() for c in ("chunk", "rep", "n"))
+        x = rows.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dims).astype(np.float64)
+        a = np.flatnonzero(chunk == i)
+        b = a if i == j else np.flatnonzero(chunk == j)
+        if not len(a) or not len(b):
+            return None
+        total = np.zeros(len(rep), np.int64)
+        stars = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for k, m in Unit(threshold, block_dims).links(x[a], None if i == j else x[b]):
+            k, m = a[k], b[m]
+            np.add.at(total, k, n[m])
+            np.add.at(total, m, n[k])
+            stars.append(local_stars(rep[k], rep[m]))
+        p, q = local_stars(*(np.concatenate(z) for z in zip(*stars)))
+        has = np.flatnonzero(total)
+        ends = pa.concat_arrays([pa.nulls(len(has), pa.int64()), pa.array(q, pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[has], p])), ends, pa.array(np.concatenate([total[has], np.zeros(len(p), np.int64)]))], schema=_FOUND)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members = None, []
-        for b in it:
-            found: list[tuple] = []
-            pending: list = []
-            shape = (0, 0)
-
-            def flush() -> None:
-                if pending and members:
-                    compare(*shape, members, pending, found)
-                pending.clear()
-
-            for k, part, query, block, dims, rep, n, vector in zip(*(b.column(c).to_pylist() for c in ("key", "slice", "query", "block", "dims", "rep", "n", "vector"))):
-                if (k, part, block, dims) != key:
-                    flush()
-                    key, members, shape = (k, part, block, dims), [], (block, dims)
-                shape = (block, dims)
-                (pending if query else members).append((rep, n, vector))
-            flush()
-            if found:
-                a, c, n = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64(), mask=c == -1), pa.array(n, pa.int64())], schema=_FOUND)
+        key, held = None, []
+        for batch in it:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dims", "i", "j"))))
+            at = 0
+            while at < len(keys):
+                to = at + 1
+                while to < len(keys) and keys[to] == keys[at]:
+                    to += 1
+                if keys[at] != key and held:
+                    if (out := solve(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held = []
+                key = keys[at]
+                held.append(batch.slice(at, to - at))
+                at = to
+        if held and (out := solve(pa.Table.from_batches(held))) is not None:
+            yield out
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block_dims: int = 8, cell_rows: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block_dims: int = 16, chunk_rows: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label).
 
     Rows link if their labels are equal and not null and their cosine in double precision is at least the threshold.
     n_links: rows linked to directly; component_id: the smallest vec_id reachable; kept: it is the row's own. Vectors
     that are null, empty, zero or hold null or non-finite components, and those without a label or a vec_id, link with
     nothing and are kept; vectors of different dimensions don't link; rows that repeat link with each other; other
-    columns are not looked at. The embedding is an array of floats or doubles.
+    columns are not looked at; an empty table gives an empty result. The embedding is an array of floats or doubles.
     """
     spark = vectors.sparkSession
     prepare(spark)
     ws = workspace(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast("string").alias("label"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fine, F.lit(False))
     classes = written(rows.where(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), ws, "classes")
-    cells = classes.mapInArrow(_cells(threshold, block_dims), _CELL_SQL)
-    large = cells.groupBy("key").count().where(F.col("count") > cell_rows).select("key", F.ceil(F.col("count") / cell_rows).cast("long").alias("slices"))
-    large = written(large, ws, "large_cells")
+    dealt = classes.withColumn("dims", F.size("embedding"))
+    n = F.col("count") / chunk_rows
+    large = dealt.groupBy("label", "dims").count().where(F.col("count") > chunk_rows).select("label", "dims", F.ceil(F.greatest(F.least(n, F.lit(float(_CHUNKS))), n / _CHUNKS)).cast("long").alias("chunks"))
+    large = written(large, ws, "large_labels")
     if large.isEmpty():
-        cells = cells.withColumn("slices", F.lit(1).cast("long"))
+        dealt = dealt.withColumn("chunks", F.lit(1).cast("long"))
     else:
-        cells = cells.join(large, "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    own = F.pmod(F.xxhash64("rep"), F.col("slices"))
-    member = F.array(F.struct(own.alias("slice"), F.lit(False).alias("query")))
-    query = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda s: F.struct(s.alias("slice"), F.lit(True).alias("query")))
-    dealt = cells.withColumn("to", F.explode(F.when(F.col("home"), F.concat(member, query)).otherwise(member)))
-    dealt = dealt.select("key", "to.slice", "to.query", "block", "dims", "rep", "n", "vector")
-    dealt = dealt.repartition("key", "slice").sortWithinPartitions("key", "slice", "block", "dims", "query")
-    found = written(dealt.mapInArrow(_search(threshold, block_dims), "a long, b long, n long"), ws, "links")
+        dealt = dealt.join(large, ["label", "dims"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = dealt.select("label", "dims", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "n", "embedding")
+    unit_of = ["label", "dims", "i", "j"]
+    found = written(dealt.repartition(*unit_of).sortWithinPartitions(*unit_of).mapInArrow(_units(threshold, block_dims), "a long, b long, n long"), ws, "links")
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("linked"))
     labels = components(found.where("b is not null").select("a", "b"), ws)
     known = classes.join(links.withColumnRenamed("a", "rep"), "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
