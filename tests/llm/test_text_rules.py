@@ -130,21 +130,73 @@ def test_word_hashes_across_segments(monkeypatch):
     assert len(whole) == len(cut) == 102 and (whole[:100] == cut[:100]).all() and whole[-1] == cut[-1] == whole[0]
 
 
-GRAMMAR = toxicity.Grammar(words={"idiot": 2.0}, stems={"scum": 1.0}, curve=(-2.0, 1.0, 1.0, 1.0, 0.0))
+GRAMMAR = toxicity.Grammar(words={"idiot": 2.0}, stems={"scum": 1.0}, curve=(-2.0, 1.0, 1.0, 1.0, 1.0, 0.0))
+
+
+def weight(scorer, text):
+    return sum(w * f for _, w, f in scorer.clause(text))
 
 
 def test_clauses():
     s = toxicity.Scorer(GRAMMAR)
-    plain, hits = s.clause("what an idiot")
-    assert (plain, hits) == (2.0, 1)
-    assert s.clause("he is not an idiot")[0] < plain < s.clause("you idiot")[0]
-    assert s.clause("she said that idiot")[0] < s.clause("she likes that idiot")[0]
-    assert s.clause("scummy things")[1] == 1 and s.clause("idiotic")[1] == 0
-    assert s.features("An idiot. A clean line.\nAnother idiot!")[2] == pytest.approx(1.0986, abs=1e-3)
-    assert s.features("") == s.features("calm words only") == s.features("xidiot") == (0.0, 0.0, 0.0, 0.0)
+    plain = weight(s, "what an idiot")
+    assert plain == 2.0 and len(s.clause("what an idiot")) == 1
+    assert weight(s, "he is not an idiot") < plain < weight(s, "you idiot") == weight(s, "idiot of you")
+    assert weight(s, "she said that idiot") < weight(s, "she likes that idiot")
+    assert len(s.clause("scummy things")) == 1 and not s.clause("idiotic")
+    assert s.features("An idiot. A clean line.\nAnother idiot!")[3] == pytest.approx(1.0986, abs=1e-3)
+    assert s.features("") == s.features("calm words only") == s.features("xidiot") == (0.0,) * 5
+    insult, threat, *_ = s.features("we will kill you")
+    assert insult == 0 < threat
     assert toxicity.Grammar.from_json(GRAMMAR.to_json()) == GRAMMAR
 
 
+def marks_by_positions(classes, reach=4, beside=2):
+    """What the composed machine must write, from positions alone."""
+    out = []
+    for k, x in enumerate(classes):
+        if x in "ih":
+            near = classes[max(0, k - beside) : k] + classes[k + 1 : k + beside + 1]
+            before = classes[max(0, k - reach) : k]
+            out.append(x.upper() + "+" * ("t" in near) + "-" * ("n" in before) + '"' * ("r" in before))
+    return out
+
+
+def test_composition_against_positions():
+    import random
+
+    rng = random.Random(11)
+    g = toxicity.Grammar(insult_factors=(2.0, 0.5, 0.25), threat_factors=(3.0, 0.1, 0.7))
+    m = g.machine()
+    steps = [toxicity.target(toxicity.CLASSES, 2, {"i": 2.0, "h": 3.0})]
+    for trigger, mark, f in (("n", "-", {"i": 0.5, "h": 0.1}), ("r", '"', {"i": 0.25, "h": 0.7})):
+        steps.append(toxicity.scope(steps[-1].written(), trigger, mark, 4, f))
+    for _ in range(3000):
+        classes = "".join(rng.choices(toxicity.CLASSES, (4, 1, 1, 1, 2, 2), k=rng.randrange(14)))
+        got = m.run(classes)
+        assert [x for x, _ in got] == marks_by_positions(classes)
+        factors = toxicity.cell_factors(g.insult_factors, g.threat_factors)
+        assert all(abs(v - factors[toxicity.cell(x)]) < 1e-12 for x, v in got)
+        stream = tuple((x, 1.0) for x in classes)
+        for t in steps:  # one after the other writes the same as composed
+            state, out = t.follow(t.start, stream)
+            _, tail = t.follow(state, ())
+            stream = out + t.tails[state]
+        assert [(x.upper(), v) for x, v in stream if x[0] in "ih"] == list(got)
+
+
+def test_factors_are_learnt():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 600).astype(float)
+    cells = np.zeros((600, 16))
+    cells[:, 0] = y * rng.integers(0, 3, 600)  # plain insults are toxic
+    cells[:, 2] = (1 - y) * rng.integers(0, 4, 600)  # negated ones aren't
+    insult, threat = toxicity._fit_factors(cells, y)
+    assert insult[1] == 0.0 and threat == toxicity.PRIOR
+
+
 def test_edge_rows(spark):
     docs = spark.createDataFrame([(1, None, 9.0), (2, "", 9.0), (3, "you idiot", 9.0), (3, "you idiot", 9.0), (None, "idiot", 9.0)], "doc_id long, text string, score double")
     got = toxicity.score(docs, GRAMMAR).collect()
