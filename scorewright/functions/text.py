@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,20 +26,49 @@ def empty_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+#: A number within a text, and a coefficient times a power of ten in LaTeX. Fixed values.
+NUMBER = "[-+]?((?:[0-9]+\\.?[0-9]*)|(?:\\.[0-9]+))(?:[eE][-+]?[0-9]+)?"
+LATEX_POWER = "([-+]?[0-9]{1,30}(?:\\.[0-9]{0,30})?)\\s*\\\\times\\s*10\\s*\\^\\s*\\{?\\s*[-+]?[0-9]{1,10}\\s*\\}?"
+
+
 def last_number(text: Column) -> Column:
-    """The last number of a text, thousands' commas dropped, as a double; null if there is none."""
-    found = F.regexp_extract_all(F.regexp_replace(text, "([0-9]),([0-9])", "$1$2"), F.lit("-?[0-9]+(?:\\.[0-9]+)?"), F.lit(0))
+    """The last number of a text as a double, of a LaTeX power of ten its coefficient; null if there is none."""
+    found = F.regexp_extract_all(F.regexp_replace(text, LATEX_POWER, "$1"), F.lit(NUMBER), F.lit(0))
     return F.when(F.size(found) > 0, F.element_at(found, -1).cast("double"))
 
 
+#: White space of any kind, as a class.
+SPACE = "[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def collapsed(text: Column) -> Column:
+    """Stripped, runs of white space as one space."""
+    return F.regexp_replace(stripped(text), f"{SPACE}+", " ")
+
+
+def whole_number(text: Column) -> Column:
+    """A text that is one number as a double, infinities and NaN included; null otherwise."""
+    bare = stripped(text)
+    low = F.lower(F.regexp_replace(bare, "^[-+]", ""))
+    sign = F.when(bare.startswith("-"), -1.0).otherwise(1.0)
+    plain = F.regexp_like(bare, F.lit("^[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][-+]?[0-9]+)?$"))
+    return F.when(plain, bare.try_cast("double")).when(low.isin("inf", "infinity"), sign * float("inf")).when(low == "nan", F.lit(float("nan")))
+
+
 def numeric_close(a: Column, b: Column, atol: float = 1e-8, rtol: float = 1e-5) -> Column:
     """Whether a is within atol + rtol*|b| of the reference b."""
     return F.abs(a - b) <= atol + rtol * F.abs(b)
 
 
-def choice_letter(text: Column, letters: str = "ABCD") -> Column:
-    """The first stand-alone option letter; null if there is none."""
-    return empty_null(F.regexp_extract(text, f"\\b([{letters}])\\b", 1))
+def choice_letter(text: Column, letters: str = "ABCD", default: str | None = None) -> Column:
+    """The first stand-alone option letter of either case, in upper case; the default if there is none."""
+    found = empty_null(F.upper(F.regexp_extract(text, f"(?i)\\b([{letters}])\\b", 1)))
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def last_letter(text: Column, letters: str = "ABCD") -> Column:
@@ -51,16 +81,47 @@ def first_capital(text: Column) -> Column:
     return F.regexp_extract(text, "(\\p{Lu})", 1)
 
 
+def last_capital(text: Column) -> Column:
+    """The last upper-case letter, or an empty text."""
+    return F.regexp_extract(text, "(?s)^.*(\\p{Lu})", 1)
+
+
+def first_letters(text: Column, letters: str = "A-D") -> Column:
+    """The first run of option letters, or an empty text."""
+    return F.regexp_extract(text, f"([{letters}]+)", 1)
+
+
+def first_number(text: Column) -> Column:
+    """The first number of a text as a double; null if there is none."""
+    return empty_null(F.regexp_extract(text, "(-?[0-9]*\\.?[0-9]+)", 1)).cast("double")
+
+
+def pattern_or_text(text: Column, pattern: str) -> Column:
+    """The first group of a pattern, stripped, or the text where it isn't found."""
+    return F.when(F.regexp_like(text, F.lit(pattern)), stripped(F.regexp_extract(text, pattern, 1))).otherwise(text)
+
+
+def pattern_group(text: Column, pattern: str) -> Column:
+    """The first group of a pattern, or an empty text."""
+    return F.regexp_extract(text, pattern, 1)
+
+
+def contains_any(text: Column, references: Column) -> Column:
+    """1.0 if one of the references occurs in the text, in lower case, else 0.0."""
+    return F.when(F.exists(references, lambda r: F.contains(F.lower(text), F.lower(r))), 1.0).otherwise(0.0)
+
+
 def sorted_capitals(text: Column) -> Column:
     """The distinct capitals A-Z of a text in order."""
     return F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Z]"), F.lit(0)))), "")
 
 
-def short_answer(text: Column) -> Column:
-    """The text up to its first newline, period or comma, lower-cased, without punctuation, articles and extra spaces."""
+def general_answer(text: Column) -> Column:
+    """The text up to its first newline, period or comma, without punctuation, articles in any case and extra spaces."""
     cut = F.regexp_extract(text, "^([^\\n.,]*)", 1)
-    bare = F.regexp_replace(F.lower(cut), "[!\"#$%&'()*+\\-/:;<=>?@\\[\\\\\\]^_`{|}~]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, "(?U)\\b(a|an|the)\\b", ""), "[ \\t]+", " "))
+    bare = F.regexp_replace(cut, f"[^\\p{{L}}\\p{{N}}_{SPACE[1:-1]}]", "")
+    word = "[\\p{L}\\p{N}_]"
+    return collapsed(F.regexp_replace(bare, f"(?i)(?<!{word})(a|an|the)(?!{word})", ""))
 
 
 def normal_answer(text: Column) -> Column:
@@ -75,10 +136,14 @@ def tagged(text: Column, tag: str, missing: str = "NO ANSWER FOUND") -> Column:
     return F.when(F.size(found) > 0, F.btrim(F.element_at(found, -1), F.lit(" \t\n\r"))).otherwise(F.lit(missing))
 
 
-def without_reasoning(text: Column, start: str = "<think>", end: str = "</think>") -> Column:
-    """The text after the last end token, or without an unopened block."""
-    pieces = F.split(text, end)
-    return F.trim(F.when(F.contains(text, F.lit(end)), F.element_at(pieces, -1)).otherwise(text))
+def without_reasoning(text: Column, start: str = "<think>", end: str = "</think>", strip: bool = True) -> Column:
+    """The text without its reasoning: what follows the last end tag if no start tag occurs, else all but the blocks
+    between tags."""
+    quoted = [re.escape(t) for t in (start, end)]
+    after = F.element_at(F.split(text, quoted[1]), -1)
+    only_end = ~F.contains(text, F.lit(start)) & F.contains(text, F.lit(end))
+    out = F.when(only_end, after).otherwise(F.regexp_replace(text, f"(?s){quoted[0]}.*?{quoted[1]}", ""))
+    return stripped(out) if strip else out
 
 
 def yes_or_no(text: Column) -> Column:
@@ -94,16 +159,20 @@ def question_hash(text: Column) -> Column:
 
 
 def relaxed_match(prediction: Column, target: Column, tolerance: float = 0.05) -> Column:
-    """Within a relative tolerance of a numeric, non-zero target; equal in lower case otherwise."""
-    p, t = prediction.try_cast("double"), target.try_cast("double")
-    return F.when(p.isNotNull() & t.isNotNull() & (t != 0), (F.abs(p - t) <= tolerance * F.abs(t)).cast("int")).otherwise((F.lower(prediction) == F.lower(target)).cast("int"))
+    """Within a relative tolerance of a numeric, non-zero target; equal in lower case otherwise. A percentage is a
+    hundredth of its number."""
+
+    def number(x: Column) -> Column:
+        return F.when(x.endswith("%"), whole_number(F.regexp_replace(x, "%+$", "")) / 100.0).otherwise(whole_number(x))
+
+    p, t = number(prediction), number(target)
+    return F.when(p.isNotNull() & t.isNotNull() & (t != 0), (F.abs(p - t) / F.abs(t) <= tolerance).cast("int")).otherwise((F.lower(prediction) == F.lower(target)).cast("int"))
 
 
 def anls(prediction: Column, target: Column) -> Column:
-    """Edit distance over the longer raw length, of lower-cased texts with collapsed spaces; 0 for two empty ones."""
-    norm = lambda x: F.regexp_replace(F.lower(F.trim(x)), "[ \\t\\n]+", " ")
+    """Edit distance of lower-cased texts with collapsed white space over the longer raw length; 0 for two empty ones."""
     longer = F.greatest(F.length(prediction), F.length(target))
-    return F.when(longer > 0, F.levenshtein(norm(prediction), norm(target)) / longer).otherwise(0.0)
+    return F.when(longer > 0, F.levenshtein(collapsed(F.lower(prediction)), collapsed(F.lower(target))) / longer).otherwise(0.0)
 
 
 def nearest_choice(text: Column, choices: Column) -> Column:

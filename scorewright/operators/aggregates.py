@@ -76,14 +76,19 @@ def nested_macro(rows: DataFrame, outer: str, inner: str, score: str) -> DataFra
 
 
 def summary_groups(rows: DataFrame, group: str, score: str, weight: str, expected: int | None = None) -> DataFrame:
-    """Naive, weighted, sum, population deviation and harmonic summaries; none of a group short of `expected` members.
+    """Naive, weighted, sum, population deviation and harmonic summaries.
 
-    The harmonic mean takes non-positive scores as 1.
+    The harmonic mean takes non-positive scores as 1. With `expected` a group short of so many members keeps its row,
+    without scores and with a reason in the column error.
     """
     s = F.col(score)
     floor = F.when(F.min(s) <= 0, F.count("*") / F.sum(1 / F.when(s <= 0, F.lit(1.0)).otherwise(s))).otherwise(F.count("*") / F.sum(1 / s))
     out = rows.groupBy(group).agg(F.avg(s).alias("naive_average"), mean_weighted(score, weight).alias("weighted_average"), F.sum(s).alias("total"), F.stddev_pop(s).alias("standard_deviation"), floor.alias("harmonic_mean"), F.count(s).alias("n"))
-    return out if expected is None else out.where(F.col("n") == expected)
+    if expected is None:
+        return out
+    whole = F.col("n") == expected
+    reason = F.when(~whole, F.concat(F.lit(f"of {expected} members there are "), F.col("n").cast("string")))
+    return out.select(group, *[F.when(whole, F.col(c)).alias(c) for c in out.columns if c not in (group, "n")], "n", reason.alias("error"))
 
 
 def graded_f1(rows: DataFrame, key: str, grade: str, weight: str, digits: int | None = None) -> DataFrame:

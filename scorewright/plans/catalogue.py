@@ -14,7 +14,7 @@ from scorewright.functions import instructions
 from scorewright.functions import text as T
 from scorewright.operators import aggregates as A
 from scorewright.operators import benchmarks as B
-from scorewright.operators import irt, ranking, ratings, retrieval, sampling
+from scorewright.operators import ensembles, irt, ranking, ratings, retrieval, sampling
 from scorewright.sources import converters, records
 from scorewright.streaming import windows
 
@@ -94,15 +94,18 @@ def trial_mean(spark, d):
     return A.trial_means(rows, ["user_id", "event_type"]).withColumn("score", r6("score"))
 
 
-_FEW = f"(SELECT * FROM {_SCORES} WHERE l_suppkey <= 6)"
+_USERS = "(SELECT event_type, user_id, avg(CASE WHEN value >= 50 THEN 1.0 ELSE 0.0 END) AS score FROM events GROUP BY ALL)"
+
+
+def _users(spark: SparkSession, d: str) -> DataFrame:
+    return A.trial_means(table(spark, d, "events").withColumn("score", (F.col("value") >= 50).cast("double")), ["event_type", "user_id"])
 
 
 @query(f"""
-    WITH s AS {_FEW}, g AS (SELECT * FROM (SELECT DISTINCT l_partkey FROM s) CROSS JOIN (SELECT DISTINCT l_suppkey FROM s))
-    SELECT l_partkey, l_suppkey, round(coalesce(score, 0), 6) AS score FROM g LEFT JOIN s USING (l_partkey, l_suppkey)""")
+    WITH s AS {_USERS}, g AS (SELECT * FROM (SELECT DISTINCT user_id FROM s) CROSS JOIN (SELECT DISTINCT event_type FROM s))
+    SELECT user_id, event_type, round(coalesce(score, 0), 6) AS score FROM g LEFT JOIN s USING (user_id, event_type)""")
 def response_matrix_dense(spark, d):
-    few = _scores(spark, d).where("l_suppkey <= 6")
-    return A.dense_matrix(few, "l_partkey", "l_suppkey", "score").select("l_partkey", "l_suppkey", r6("score").alias("score"))
+    return A.dense_matrix(_users(spark, d), "user_id", "event_type", "score").select("user_id", "event_type", r6("score").alias("score"))
 
 
 @query(f"SELECT l_suppkey, round(avg(score), 6) AS accuracy, count(*)::BIGINT AS n FROM {_HITS} GROUP BY 1")
@@ -120,11 +123,6 @@ def strict_common_items(spark, d):
 _PARTS = f"(SELECT l_linestatus AS split, p_brand, p_type, score, p_size::DOUBLE AS weight FROM {_HITS} JOIN part ON l_partkey = p_partkey)"
 
 
-def _ascii40() -> Column:
-    """The first 40 characters; ASCII only, since the SQL engine's edit distance counts bytes."""
-    return F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 40)
-
-
 def _parts(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("double").alias("weight"))
     return _hits(spark, d).join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_linestatus").alias("split"), "p_brand", "p_type", "score", "weight")
@@ -230,10 +228,10 @@ def circular_consistency(spark, d):
 
 
 @query(f"""
-    WITH v AS (SELECT l_partkey, count(*) AS n, sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) AS yes FROM {_SCORES} WHERE l_suppkey <= 60 GROUP BY 1)
+    WITH v AS (SELECT l_partkey, count(*) AS n, sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) AS yes FROM {_SCORES} GROUP BY 1)
     SELECT l_partkey, n::BIGINT AS n_votes, yes::BIGINT AS yes, CASE WHEN 2 * yes > n THEN 1 WHEN 2 * yes < n THEN 0 ELSE NULL END::INTEGER AS decided FROM v""")
 def majority_vote(spark, d):
-    rows = _scores(spark, d).where("l_suppkey <= 60").withColumn("vote", (F.col("score") >= 0.5).cast("int"))
+    rows = _scores(spark, d).withColumn("vote", (F.col("score") >= 0.5).cast("int"))
     out = A.majority_vote(rows, "l_partkey", "vote")
     # ties are drawn by a hash, which SQL leaves open here
     return out.select("l_partkey", "n_votes", F.col("yes").cast("long").alias("yes"), F.when(2 * F.col("yes") != F.col("n_votes"), F.col("voted")).alias("decided"))
@@ -244,20 +242,22 @@ def mean_ensemble(spark, d):
     return _scores(spark, d).groupBy("l_partkey").agg(r6(F.avg("score")).alias("mean_score"), r6(F.max("score")).alias("best_score"), F.count("*").alias("n"))
 
 
-_COMBOS = " UNION ALL ".join(f"SELECT {c} AS combo, {m} AS l_suppkey" for c in range(1, 64) for m in range(1, 7) if c >> (m - 1) & 1)
-
-
 @query(f"""
-    WITH k AS ({_COMBOS}), v AS (SELECT combo, l_partkey, CASE WHEN 2 * sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) >= count(*) THEN 1 ELSE 0 END AS voted FROM {_SCORES} JOIN k USING (l_suppkey) GROUP BY ALL),
+    WITH s AS {_USERS}, m AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS place FROM (SELECT DISTINCT event_type FROM s)), z AS (SELECT count(*) AS n FROM m),
+    c AS (SELECT range AS combo FROM range(1, 1 << 5) WHERE bit_count(range) >= 2),
+    v AS (SELECT combo, user_id, CASE WHEN 2 * sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) >= count(*) THEN 1 ELSE 0 END AS voted FROM s JOIN m USING (event_type), c, z WHERE combo & (1 << (n - 1 - place)::INTEGER) <> 0 GROUP BY ALL),
     a AS (SELECT combo, avg(voted) AS accuracy FROM v GROUP BY 1), b AS (SELECT combo, round(accuracy, 6) AS accuracy, least(floor(accuracy * 6), 5)::BIGINT AS bin FROM a),
     r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY round(abs(accuracy - (bin + 0.5) / 6), 6), combo) AS n FROM b)
     SELECT bin, combo::BIGINT AS combo, accuracy FROM r WHERE n = 1""")
 def ensemble_bins(spark, d):
-    members = [(c, m) for c in range(1, 64) for m in range(1, 7) if c >> (m - 1) & 1]  # of six models
-    combos = F.broadcast(spark.createDataFrame(members, "combo long, l_suppkey long"))
-    votes = _scores(spark, d).join(combos, "l_suppkey").groupBy("combo", "l_partkey").agg((2 * F.sum((F.col("score") >= 0.5).cast("int")) >= F.count("*")).cast("int").alias("voted"))
-    acc = votes.groupBy("combo").agg(F.avg("voted").alias("a"))
-    acc = acc.select("combo", r6("a").alias("accuracy"), ranking.uniform_bin(F.col("a"), 6).alias("bin"))
+    from pyspark.sql import Window
+
+    rows = _users(spark, d)
+    models = rows.select("event_type").distinct().withColumn("place", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("long"))  # five event types
+    votes = rows.join(F.broadcast(models), "event_type").select(F.col("user_id").alias("item"), "place", (F.col("score") >= 0.5).cast("int").alias("vote"))
+    n = models.count()
+    acc = ensembles.vote_accuracies(votes, ensembles.combinations(spark, n), n, F.lit(1))
+    acc = acc.select("combo", r6("accuracy").alias("accuracy"), ranking.uniform_bin(F.col("accuracy"), 6).alias("bin"))
     centre = F.round(F.abs(F.col("accuracy") - (F.col("bin") + 0.5) / 6), 6)
     return A.first_rows(acc, ["bin"], [centre, F.col("combo")]).select("bin", "combo", "accuracy")
 
@@ -349,10 +349,10 @@ def g_pass_at_k(spark, d):
 
 
 @query("""
-    WITH r AS (SELECT s_suppkey, 1000 + s_acctbal / 50 AS rating FROM supplier WHERE s_nationkey < 5)
-    SELECT a.s_suppkey AS model_a, b.s_suppkey AS model_b, round(1 / (1 + pow(10, (b.rating - a.rating) / 400)), 6) AS win_rate FROM r a JOIN r b ON a.s_suppkey <> b.s_suppkey""")
+    WITH r AS (SELECT s_nationkey, 1000 + avg(s_acctbal) / 50 AS rating FROM supplier GROUP BY 1)
+    SELECT a.s_nationkey AS model_a, b.s_nationkey AS model_b, round(1 / (1 + pow(10, (b.rating - a.rating) / 400)), 6) AS win_rate FROM r a JOIN r b ON a.s_nationkey <> b.s_nationkey""")
 def elo_winrate_matrix(spark, d):
-    rated = table(spark, d, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("model"), (1000 + F.col("s_acctbal") / 50).alias("rating"))
+    rated = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("model")).agg((1000 + F.avg("s_acctbal") / 50).alias("rating"))
     return ratings.win_rates(rated).withColumn("win_rate", r6("win_rate"))
 
 
@@ -462,23 +462,28 @@ def sliding_blocks(spark, d):
     return out.select("doc_id", "block", F.col("start").cast("long").alias("start"), "end", F.col("n_new").cast("long").alias("n_new"))
 
 
-@query(r"""
-    WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([0-9]),([0-9])', '\1\2', 'g'), '-?[0-9]+(?:\.[0-9]+)?') AS m FROM documents)
+_NUMBERS = r"""(SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' so 4.737 \times 10^{14}' WHEN 1 THEN ' or 1.5e-3' WHEN 2 THEN ' then +.5' ELSE '' END AS t FROM documents)"""
+
+
+@query(rf"""
+    WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(t, '([-+]?[0-9]{{1,30}}(?:\.[0-9]{{0,30}})?)\s*\\times\s*10\s*\^\s*\{{?\s*[-+]?[0-9]{{1,10}}\s*\}}?', '\1', 'g'), '[-+]?(?:(?:[0-9]+\.?[0-9]*)|(?:\.[0-9]+))(?:[eE][-+]?[0-9]+)?') AS m FROM {_NUMBERS})
     SELECT doc_id, CASE WHEN len(m) > 0 THEN m[-1]::DOUBLE END AS last_number FROM t""")
 def last_number(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.last_number(F.col("text")).alias("last_number"))
+    m = F.col("doc_id") % 4
+    more = F.when(m == 0, " so 4.737 \\times 10^{14}").when(m == 1, " or 1.5e-3").when(m == 2, " then +.5").otherwise("")
+    return table(spark, d, "documents").select("doc_id", T.last_number(F.concat("text", more)).alias("last_number"))
 
 
-@query(r"SELECT conv_id, turn, nullif(regexp_extract(text, '\b([A-D])\b', 1), '') AS letter FROM conversations")
+@query(r"SELECT conv_id, turn, upper(nullif(regexp_extract(text, '(?i)\b([A-D])\b', 1), '')) AS letter, coalesce(upper(nullif(regexp_extract(text, '(?i)\b([XYZ])\b', 1), '')), 'C') AS defaulted FROM conversations")
 def choice_letter(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", T.choice_letter(F.col("text")).alias("letter"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.choice_letter(F.col("text")).alias("letter"), T.choice_letter(F.col("text"), "XYZ", "C").alias("defaulted"))
 
 
 @query(r"""
-    SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(regexp_replace(lower(regexp_extract(text, '^([^\n.,]*)', 1)), '[!"#$%&''()*+\-/:;<=>?@\[\\\]^_`{|}~]', '', 'g'), '[\pL\pN_]+|[^\pL\pN_]+'),
-    lambda w: CASE WHEN w IN ('a', 'an', 'the') THEN '' ELSE w END), ''), '[ \t]+', ' ', 'g')) AS answer FROM documents""")
+    SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_extract(text, '^([^\n.,]*)', 1), '[^\pL\pN_\s]', '', 'g'), '[\pL\pN_]+|[^\pL\pN_]+'),
+    lambda w: CASE WHEN lower(w) IN ('a', 'an', 'the') THEN '' ELSE w END), ''), '\s+', ' ', 'g')) AS answer FROM documents""")
 def general_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.short_answer(F.col("text")).alias("answer"))
+    return table(spark, d, "documents").select("doc_id", T.general_answer(F.col("text")).alias("answer"))
 
 
 @query(r"""
@@ -494,29 +499,30 @@ def first_capital(spark, d):
 
 
 @query("""
-    WITH b AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g')[1:40] AS x FROM benchmark), c AS (SELECT list(x ORDER BY item_id) AS xs FROM b WHERE item_id IN (SELECT item_id FROM b ORDER BY 1 LIMIT 4)),
-    t AS (SELECT conv_id, turn, list_transform(xs, lambda x: levenshtein(regexp_replace(text, '[^ -~]', '', 'g')[1:40], x)) AS l FROM conversations CROSS JOIN c)
-    SELECT conv_id, turn, (list_position(l, list_min(l)) - 1)::BIGINT AS choice FROM t""")
+    WITH c AS (SELECT list(x ORDER BY x) AS xs FROM (SELECT DISTINCT p_type AS x FROM part)), t AS (SELECT p_partkey, list_transform(xs, lambda x: levenshtein(p_name, x)) AS l FROM part, c)
+    SELECT p_partkey, (list_position(l, list_min(l)) - 1)::BIGINT AS choice FROM t""")
 def edit_distance_choice(spark, d):
-    b = table(spark, d, "benchmark").orderBy("item_id").limit(4).select("item_id", _ascii40().alias("x"))  # four options
-    options = b.agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "x"))), lambda s: s["x"]).alias("xs"))
-    rows = table(spark, d, "conversations").crossJoin(F.broadcast(options))
-    return rows.select("conv_id", "turn", T.nearest_choice(_ascii40(), F.col("xs")).cast("long").alias("choice"))
+    p = table(spark, d, "part")
+    options = p.select("p_type").distinct().agg(F.array_sort(F.collect_list("p_type")).alias("xs"))  # the types, a few hundred at most
+    return p.crossJoin(F.broadcast(options)).select("p_partkey", T.nearest_choice(F.col("p_name"), F.col("xs")).cast("long").alias("choice"))
 
 
-@query("""
-    WITH t AS (SELECT p_partkey, p_name AS a, p_type AS b FROM part)
-    SELECT p_partkey, round(CASE WHEN greatest(length(a), length(b)) > 0 THEN levenshtein(lower(trim(a)), lower(trim(b))) / greatest(length(a), length(b)) ELSE 0 END, 6) AS distance FROM t""")
+@query(r"""
+    WITH t AS (SELECT p_partkey, chr(10) || ' ' || p_name || chr(9) AS a, ' ' || replace(p_type, ' ', ' ' || chr(10)) AS b FROM part)
+    SELECT p_partkey, round(CASE WHEN greatest(length(a), length(b)) > 0 THEN levenshtein(lower(trim(regexp_replace(a, '\s+', ' ', 'g'))), lower(trim(regexp_replace(b, '\s+', ' ', 'g')))) / greatest(length(a), length(b)) ELSE 0 END, 6) AS distance FROM t""")
 def anls(spark, d):
-    return table(spark, d, "part").select("p_partkey", r6(T.anls(F.col("p_name"), F.col("p_type"))).alias("distance"))
+    a, b = F.concat(F.lit("\n "), "p_name", F.lit("\t")), F.concat(F.lit(" "), F.replace("p_type", F.lit(" "), F.lit(" \n")))
+    return table(spark, d, "part").select("p_partkey", r6(T.anls(a, b)).alias("distance"))
 
 
 @query("""
-    WITH t AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS a, l_quantity * 1000 AS b FROM lineitem)
-    SELECT l_orderkey, l_linenumber, CASE WHEN b <> 0 THEN (abs(a - b) <= 0.05 * abs(b))::INTEGER ELSE 0 END AS hit FROM t""")
+    WITH t AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS a, l_quantity * 1000 AS b, l_linenumber % 2 = 0 AS percent, round(l_discount * 100) / 100.0 AS p, l_discount AS q FROM lineitem)
+    SELECT l_orderkey, l_linenumber, CASE WHEN percent AND q <> 0 THEN (abs(p - q) / abs(q) <= 0.05)::INTEGER WHEN NOT percent AND b <> 0 THEN (abs(a - b) / abs(b) <= 0.05)::INTEGER ELSE 0 END AS hit FROM t""")
 def relaxed_accuracy(spark, d):
-    rows = table(spark, d, "lineitem")
-    return rows.select("l_orderkey", "l_linenumber", T.relaxed_match(F.col("l_extendedprice").cast("string"), (F.col("l_quantity") * 1000).cast("string")).alias("hit"))
+    even = F.col("l_linenumber") % 2 == 0
+    said = F.when(even, F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%"))).otherwise(F.col("l_extendedprice").cast("string"))
+    target = F.when(even, F.col("l_discount").cast("string")).otherwise((F.col("l_quantity") * 1000).cast("string"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.relaxed_match(said, target).alias("hit"))
 
 
 _NORMAL = r"trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(regexp_replace(lower({}), '[!\"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '[\pL\pN_]+|[^\pL\pN_]+'), lambda w: CASE WHEN w IN ('a', 'an', 'the') THEN ' ' ELSE w END), ''), '[ \t\n\r]+', ' ', 'g'))"
@@ -706,9 +712,13 @@ def rouge_l_turns(spark, d):
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", r6(T.rouge_l("next", "text")).alias("rouge_l"))
 
 
-@query()
+@query("""
+    WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+    SELECT user_id, epoch_us(min(ts))::BIGINT AS start, (epoch_us(max(ts)) + 21600000000)::BIGINT AS "end", count(*)::BIGINT AS n, round(avg(value), 6) AS mean FROM s GROUP BY user_id, k""")
 def session_windows(spark, d):
-    return windows.session_scores(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "value", "6 hours")
+    out = windows.session_scores(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "value", "6 hours")
+    return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n", r6("mean").alias("mean"))
 
 
 _DRAW = "((('0x' || substr(md5({}), 1, 8))::UBIGINT + 0.5) / 4294967296.0)"
@@ -730,9 +740,14 @@ def held_out_split(spark, d):
     return rows.groupBy("event_type").agg(F.sum(F.col("train").cast("long")).alias("n_train"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"""
+    WITH d AS (SELECT r, o_totalprice AS x, {_DRAW.format("'0:' || o_orderkey || ':' || r")} AS u FROM orders, (SELECT range AS r FROM range(50))),
+    w AS (SELECT r, x, list_sum(list_transform([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183], lambda s: CASE WHEN u > s THEN 1 ELSE 0 END)) AS w FROM d),
+    m AS (SELECT r, sum(w * x) / sum(w) AS m FROM w GROUP BY 1)
+    SELECT (SELECT round(avg(o_totalprice), 4) FROM orders) AS mean, (SELECT count(*)::BIGINT FROM orders) AS n, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m""")
 def bootstrap_mean_interval(spark, d):
-    return sampling.bootstrap_mean(table(spark, d, "orders"), "o_orderkey", "o_totalprice", rounds=50)
+    out = sampling.bootstrap_mean(table(spark, d, "orders"), "o_orderkey", "o_totalprice", rounds=50)
+    return out.select(*[F.round(c, 4).alias(c) if c != "n" else F.col(c) for c in out.columns])
 
 
 @query("""
@@ -764,7 +779,7 @@ def instruction_following(spark, d):
 def instruction_scores(spark, d):
     """Prompt and instruction accuracy, strict and loose, weighted by the instructions of a prompt."""
     asked = [("punctuation:no_comma", {}), ("length_constraints:number_words", {"n": 40}), ("detectable_format:title", {})]
-    c = table(spark, d, "conversations").where("role = 'assistant'")
+    c = table(spark, d, "conversations")
     kinds = {k: F.array(*[f(F.col("text"), n, **a) for n, a in asked]) for k, f in (("strict", instructions.strict), ("loose", instructions.loose))}
     rows = c.select("conv_id", *[x.alias(k) for k, x in kinds.items()])
     out = []
@@ -813,10 +828,10 @@ def page_edit_distance(spark, d):
 
 
 @query(f"""
-    WITH p AS (SELECT l_partkey, sum(score) AS s, count(*) AS c FROM {_HITS} WHERE l_suppkey % 3 = 0 GROUP BY 1), w AS {_SUBSET}
+    WITH p AS (SELECT l_partkey, sum(score) AS s, count(*) AS c FROM {_HITS} GROUP BY 1), w AS {_SUBSET}
     SELECT round(sum(weight * coalesce(s, 0)) / sum(weight * coalesce(c, 0)), 6) AS ratio, count(*)::BIGINT AS n FROM w LEFT JOIN p USING (l_partkey)""")
 def micro_ratio(spark, d):
-    pages = _hits(spark, d).where("l_suppkey % 3 = 0").groupBy("l_partkey").agg(F.sum("score").alias("s"), F.count("*").alias("c"))
+    pages = _hits(spark, d).groupBy("l_partkey").agg(F.sum("score").alias("s"), F.count("*").alias("c"))
     return B.micro_ratio(_subset(spark, d), pages, "l_partkey", "s", "c").withColumn("ratio", r6("ratio"))
 
 
@@ -871,3 +886,6 @@ def judged_games_filled(spark, d):
     games = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.concat(F.lit("so "), F.coalesce(verdict, F.lit("none"))).alias("text"), (F.col("o_orderstatus") == "O").alias("b"))
     scores = converters.game_scores(games, "c_custkey", "text", "b")
     return converters.fill_missing(scores, table(spark, d, "customer").select("c_custkey"), "c_custkey").withColumn("score", r6("score"))
+
+
+from scorewright.plans import extended  # noqa: E402,F401  registers its queries, too

@@ -17,6 +17,12 @@ def _first(json, keys) -> F.Column:
     return F.coalesce(*[F.get_json_object(json, f"$.{k}") for k in keys])
 
 
+def _id(json) -> F.Column:
+    """A record's id; of a list its first element."""
+    value = _first(json, ID_KEYS)
+    return F.coalesce(F.get_json_object(value, "$[0]"), value)
+
+
 def _verdict(json) -> F.Column:
     """A verdict may be a list, of which the first element counts, or a map's bare value."""
     value = _first(json, VERDICT_KEYS)
@@ -37,7 +43,7 @@ def read_models(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     verdict = F.when(F.ltrim("record").startswith("{"), _verdict(F.col("record"))).otherwise(correctness(F.col("record")))
     of_map = of_map.select("model", "item", verdict.cast("double").alias("score"))
     of_list = rows.where("is_list").select("model", F.posexplode(F.from_json("body", "array<string>")).alias("pos", "record"))
-    of_list = of_list.select("model", F.coalesce(_first(F.col("record"), ID_KEYS), F.col("pos").cast("string")).alias("item"), _verdict(F.col("record")).cast("double").alias("score"))
+    of_list = of_list.select("model", F.coalesce(_id(F.col("record")), F.col("pos").cast("string")).alias("item"), _verdict(F.col("record")).cast("double").alias("score"))
     return of_map.unionByName(of_list)
 
 
@@ -116,10 +122,11 @@ def swe_bench_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def swe_bench_pro_results(spark: SparkSession, path: str) -> DataFrame:
-    """(task_id, score, errored) of a map from ids to booleans; another value is errored."""
+    """(task_id, score, errored) of a map from ids to booleans; another value raises when the rows are read."""
     rows = _text(spark, path).select(F.explode(F.from_json("json", "map<string,string>")).alias("task_id", "v"))
     score = F.when(F.col("v") == "true", 1.0).when(F.col("v") == "false", 0.0)
-    return rows.select("task_id", score.alias("score"), score.isNull().alias("errored"))
+    score = F.coalesce(score, F.raise_error(F.concat(F.lit("not a boolean: "), F.col("task_id"), F.lit(" = "), F.coalesce("v", F.lit("null")))).cast("double"))
+    return rows.select("task_id", score.alias("score"), F.lit(False).alias("errored"))
 
 
 def terminal_bench_results(spark: SparkSession, path: str, threshold: float = 1.0) -> DataFrame:

@@ -38,8 +38,11 @@ def test_harnesses(spark, tmp_path):
     assert scores(records.tau2_results(spark, str(tmp_path / "tau.json"))) == {"1": (0.5, False), "2": (None, True)}
     put(tmp_path / "swe.json", {"resolved_ids": ["a"], "unresolved_ids": ["b", "a"], "error_ids": ["c"], "empty_patch_ids": ["d"]})
     assert scores(records.swe_bench_results(spark, str(tmp_path / "swe.json"))) == {"a": (1.0, False), "b": (0.0, False), "c": (0.0, True), "d": (0.0, False)}
-    put(tmp_path / "pro.json", {"a": True, "b": False, "c": 3})
-    assert scores(records.swe_bench_pro_results(spark, str(tmp_path / "pro.json"))) == {"a": (1.0, False), "b": (0.0, False), "c": (None, True)}
+    put(tmp_path / "pro.json", {"a": True, "b": False})
+    assert scores(records.swe_bench_pro_results(spark, str(tmp_path / "pro.json"))) == {"a": (1.0, False), "b": (0.0, False)}
+    put(tmp_path / "bad.json", {"a": True, "c": 3})
+    with pytest.raises(Exception, match="not a boolean: c = 3"):
+        records.swe_bench_pro_results(spark, str(tmp_path / "bad.json")).collect()
     put(tmp_path / "tb/x/result.json", {"task_name": "t", "verifier_result": {"rewards": {"reward": 1.0}}})
     put(tmp_path / "tb/y/result.json", {"task_name": "t", "verifier_result": {"rewards": {"reward": None}}})
     put(tmp_path / "tb/z/result.json", {"task_name": "u", "verifier_result": None})
