@@ -3,7 +3,9 @@
 What decides a packing is how many pieces there are of each length, at most `size` numbers. The driver packs these
 counts: it opens a sequence with the longest length left, finds by subset sums over bitsets the fullest combination
 of the lengths left, and takes as many sequences of that pattern as the counts allow. Every pattern uses up a length,
-so the plan is bounded by `size`, not by the corpus. Pieces then find their place by their rank within their length.
+so the plan is bounded by `size`, not by the corpus. Pieces then find their place by their rank within their length:
+the task that wrote a piece numbered it among those of its length, and sums over the tasks before give the rest, so no
+task ever holds all pieces of a frequent length.
 """
 
 from __future__ import annotations
@@ -12,15 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.llm.shared import prepare, published, texts_of, workspace, written
 
-#: Rows of one length that one task ranks.
-RANKED = 250_000
-
-
 def fullest(room: int, counts: dict[int, int]) -> list[tuple[int, int]]:
     """The (length, times) of the lengths' fullest combination within room; longer ones are tried first."""
     reach, full, steps = 1, 1 << room, []
@@ -72,7 +71,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -
     """(doc_id, piece, start, length, ids) of every row of docs; ids are little-endian unsigned 32-bit integers.
 
     A document's ids end with end_id; one of more than `size` is cut into pieces of `size`, of which the first may be
-    shorter. A null text is empty: one piece with the end id.
+    shorter. A null text is empty: one piece with the end id. Rows that repeat or lack a doc_id keep their pieces; other
+    columns are not looked at; an empty table gives none; a very long text is one row of a batch of its own.
     """
     prepare(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
@@ -95,14 +95,38 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def pack(rows: DataFrame, ws: str, size: int = 2048, by: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """rows with sequence_id and offset; rows must be a stored table with a column length of 1 to size.
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with __part, the task that they pass, and __own, their number from 0 among its rows of their length."""
+    fields = rows.schema.fieldNames()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), {}
+        for b in it:
+            length = b.column(fields.index("length")).to_numpy(zero_copy_only=False)
+            order = np.argsort(length, kind="stable")
+            own = np.zeros(len(length), np.int64)
+            for group in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+                if len(group):
+                    n = int(length[group[0]])
+                    own[group] = seen.get(n, 0) + np.arange(len(group))
+                    seen[n] = seen.get(n, 0) + len(group)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(own)], names=[*fields, "__part", "__own"])
+
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", __part int, __own long"
+    return rows.mapInArrow(run, out)
+
+
+def pack(rows: DataFrame, ws: str, size: int = 2048) -> DataFrame:
+    """rows with sequence_id and offset; rows have a column length of 1 to size, and keep their other columns.
 
-    Rows of one length are interchangeable, so ranks within it need no order; a frequent length is ranked in several
-    tasks, each from the count of those before it. Rows that repeat get a place each.
+    Rows of one length are interchangeable, so ranks within it need no order. Rows that repeat or hold nulls in other
+    columns get a place each; an empty table gives an empty result. The rows are written once, numbered.
     """
     spark = rows.sparkSession
     prepare(spark)
+    fields = rows.schema.fieldNames()
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
+    rows = written(numbered(rows), ws, "numbered")
     counts = {int(r[0]): int(r[1]) for r in rows.groupBy("length").count().collect()}  # at most `size` rows
     if any(not 1 <= n <= size for n in counts):
         raise ValueError(f"lengths must be 1 to {size}")
@@ -116,15 +140,10 @@ def pack(rows: DataFrame, ws: str, size: int = 2048, by: tuple[str, ...] = ("doc
             at += n
         base += copies
     places = {n: tuple(np.array(x, np.int64) for x in zip(*s)) for n, s in slots.items()}
-    deal = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in counts.items()], "length long, __deals long")
-    dealt = rows.join(F.broadcast(deal), "length").withColumn("__deal", F.pmod(F.xxhash64(*by), F.col("__deals"))).drop("__deals")
-    first = dealt.groupBy("length", "__deal").count()
-    first = first.select("length", "__deal", (F.sum("count").over(Window.partitionBy("length").orderBy("__deal")) - F.col("count")).alias("__before"))
-    first = written(first, ws, "ranks")
-    own = F.row_number().over(Window.partitionBy("length", "__deal").orderBy(*by)) - 1
-    ranked = dealt.withColumn("__own", own).join(first, ["length", "__deal"]).withColumn("__rank", F.col("__own") + F.col("__before"))
-    ranked = ranked.select(*rows.columns, "__rank")
-    fields = rows.schema.fieldNames()
+    # a row for each length and task
+    tasks = rows.groupBy("length", "__part").count()
+    first = tasks.select("length", "__part", (F.sum("count").over(Window.partitionBy("length").orderBy("__part")) - F.col("count")).alias("__before"))
+    ranked = rows.join(first, ["length", "__part"]).select(*[F.col(f"`{c}`") for c in fields], (F.col("__own") + F.col("__before")).alias("__rank"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -138,7 +157,6 @@ def pack(rows: DataFrame, ws: str, size: int = 2048, by: tuple[str, ...] = ("doc
                     sequence[group], offset[group] = seq[k] + rank[group] - start[k], at[k]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in fields), pa.array(sequence), pa.array(offset)], names=[*fields, "sequence_id", "offset"])
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
     return ranked.mapInArrow(run, out)
 
 
@@ -151,4 +169,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: in
     rows = pieces(docs, tokenizer, size, end_id)
     if not keep_ids:
         rows = rows.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(written(rows, ws, "pieces"), ws, size)
+    return pack(rows, ws, size)

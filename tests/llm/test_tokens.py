@@ -177,13 +177,59 @@ def test_packing(spark, library):
     assert packing.pack_documents(docs.limit(0), BYTE).count() == 0
 
 
-def test_frequent_lengths_are_ranked_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(packing, "RANKED", 7)
-    rows = spark.createDataFrame([(i, 0, 30 + i % 3) for i in range(100)], "doc_id long, piece int, length long")
+def test_frequent_lengths_are_ranked_in_parts(spark):
+    rows = spark.createDataFrame([(None if i < 30 else i % 7, "x", 30 + i % 3, i) for i in range(100)], "doc_id long, rank string, length long, sequence long").repartition(7)
     ws = shared.workspace(spark)
-    got = packing.pack(shared.written(rows, ws, "rows"), ws, 64).collect()
-    assert len(got) == 100 and len({(r.sequence_id, r.offset) for r in got}) == 100
+    got = packing.pack(rows, ws, 64).collect()
+    assert len(got) == 100 and len({(r.sequence_id, r.offset) for r in got}) == 100 and len({r.sequence for r in got}) == 100
     assert len({r.sequence_id for r in got}) == 50
+    assert packing.pack(rows.limit(0), ws, 64).count() == 0
+
+
+def fewest(lengths, size):
+    """The fewest sequences, by search over all ways to fill them."""
+    best = [len(lengths)]
+
+    def place(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(bins)
+            return
+        for i in {room: i for i, room in enumerate(bins)}.values():
+            if bins[i] >= lengths[k]:
+                place(k + 1, [*bins[:i], bins[i] - lengths[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, size - lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_plan_against_the_fewest_sequences():
+    rng = np.random.default_rng(12)
+    more = 0
+    for _ in range(60):
+        size = int(rng.integers(8, 40))
+        lengths = sorted((int(n) for n in rng.integers(1, size + 1, 9)), reverse=True)
+        counts = {n: lengths.count(n) for n in lengths}
+        plan = packing.plan(counts, size)
+        held = {}
+        for copies, some in plan:
+            assert sum(some) <= size
+            for n in some:
+                held[n] = held.get(n, 0) + copies
+        assert held == counts
+        more += sum(c for c, _ in plan) - (best := fewest(lengths, size))
+        assert sum(c for c, _ in plan) <= best + 1
+    assert more <= 3
+
+
+def test_query_packs_into_the_fewest(spark):
+    from scorewright.llm import queries
+
+    rows = queries.op7_best_fit_packing(spark, "/root/testdata/sf0.01").select("sequence_id", "length", "offset").collect()
+    total = sum(r.length for r in rows)
+    assert len({r.sequence_id for r in rows}) == -(-total // 2048)  # no packing has fewer
 
 
 def test_fullest_against_enumeration():
