@@ -5,9 +5,11 @@ within `radius` bits agree on at least one of the tables' keys (the bits are cut
 `radius` of them out), so each key's fingerprints are a shard and every link lies within some shard. A shard's tree
 keeps children by their integer distance to the parent; a query follows only the edges within the radius of its own
 distance. A shard of more than `tree_nodes` fingerprints is dealt into slices with a tree each, which all its members
-visit: trees stay bounded, no link is lost, and a task emits a spanning star for each batch, never all pairs.
-The trees travel to the tasks that hold their shard's queries rather than to every executor, because the trees of a
-whole corpus have no size bound that would allow a broadcast.
+visit; one so large that this would cost more than keys of finer blocks is cut up by those first, and only what still
+agrees on them, a ball of a few bits, is dealt into slices. Trees stay bounded, no link is lost, and a task emits a
+spanning star for each batch, never all pairs.
+The trees travel to the tasks that hold their shard's queries rather than to every executor: a broadcast goes through
+the driver, and the trees of a corpus hold all its fingerprints, for which there is no size bound.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.llm.shared import components, local_stars, prepare, spans, workspace, written
@@ -149,38 +151,56 @@ def _links(radius: int):
     return run
 
 
-def _tables(n: int, radius: int) -> list[list[tuple[int, int]]]:
-    """For each table the (shift, width) of the blocks of its key.
+def _blocks(blocks: int, radius: int) -> list[list[tuple[int, int]]]:
+    """For each table the (shift, width) of its key's blocks: `radius` of the blocks are left out, in every way."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    return [[(cuts[i], cuts[i + 1] - cuts[i]) for i in c] for c in combinations(range(blocks), blocks - radius)]
 
-    More blocks give longer keys and more tables; enough are taken for shards of about 64 of n random fingerprints.
-    Any choice finds every link.
-    """
+
+def _tables(n: int, radius: int) -> list[list[tuple[int, int]]]:
+    """More blocks give longer keys and more tables; enough are taken for shards of about 64 of n random fingerprints.
+    Any choice finds every link."""
     for blocks in range(radius + 1, radius + 4):
-        cuts = [64 * i // blocks for i in range(blocks + 1)]
-        tables = [[(cuts[i], cuts[i + 1] - cuts[i]) for i in c] for c in combinations(range(blocks), blocks - radius)]
+        tables = _blocks(blocks, radius)
         if n >> min(sum(w for _, w in t) for t in tables) <= 64:
             break
     return tables
 
 
-def link_fingerprints(reps: DataFrame, ws: str, radius: int = 3, tree_nodes: int = 4096) -> DataFrame:
-    """Edges (a, b) that join the representatives of all fingerprints within `radius` bits; reps: (fp, rep)."""
-    n = reps.count()
-    keys = []
-    for t, blocks in enumerate(_tables(n, radius)):
-        parts = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1).cast("long")) for s, w in blocks]
-        keys.append(F.xxhash64(F.lit(t), *parts))
-    rows = reps.select("fp", "rep", F.explode(F.array(*keys)).alias("shard"))
-    large = rows.groupBy("shard").count().where(F.col("count") > tree_nodes).select("shard", F.ceil(F.col("count") / tree_nodes).cast("int").alias("n"))
-    large = written(large, ws, "large_shards")
-    own = F.pmod(F.xxhash64("fp"), F.lit(1)).cast("int")
-    if large.isEmpty():
-        rows = rows.select("shard", F.lit(0).alias("slice"), F.lit(1).alias("node"), "fp", "rep")
-    else:
+def _keys(tables: list[list[tuple[int, int]]], *within: Column) -> Column:
+    """The shard of a fingerprint in each table."""
+    parts = [[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1).cast("long")) for s, w in t] for t in tables]
+    return F.array(*[F.xxhash64(*within, F.lit(t), *p) for t, p in enumerate(parts)])
+
+
+def link_fingerprints(reps: DataFrame, ws: str, radius: int = 3, tree_nodes: int = 4096, finer: int = 6) -> DataFrame:
+    """Edges (a, b) that join the representatives of all fingerprints within `radius` bits; reps: (fp, rep).
+
+    finer: blocks beyond the radius that cut up a shard larger than `tree_nodes` times their number of tables. Equal
+    fingerprints are one row of reps; null ones have no links; an empty table has none.
+    """
+    rows = reps.where("fp is not null").select("fp", "rep", F.explode(_keys(_tables(reps.count(), radius))).alias("shard"))
+
+    def large(rows: DataFrame) -> DataFrame | None:
+        found = rows.groupBy("shard").count().where(F.col("count") > tree_nodes).select("shard", F.ceil(F.col("count") / tree_nodes).cast("int").alias("n"))
+        found = written(found, ws, "large_shards")
+        return None if found.isEmpty() else found
+
+    def sliced(rows: DataFrame, sizes: DataFrame | None) -> DataFrame:
+        if sizes is None:
+            return rows.select("shard", F.lit(0).alias("slice"), F.lit(1).alias("node"), "fp", "rep")
         n_of = F.coalesce("n", F.lit(1))
         own = F.pmod(F.xxhash64("fp"), n_of).cast("int")
-        rows = rows.join(large, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), n_of - 1)).alias("slice"), "fp", "rep", own.alias("own"))
-        rows = rows.select("shard", "slice", (F.col("slice") == F.col("own")).cast("int").alias("node"), "fp", "rep")
+        each = rows.join(sizes, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), n_of - 1)).alias("slice"), "fp", "rep", own.alias("own"))
+        return each.select("shard", "slice", (F.col("slice") == F.col("own")).cast("int").alias("node"), "fp", "rep")
+
+    sizes, tables = large(rows), _blocks(radius + finer, radius)
+    deep = None if sizes is None else sizes.where(F.col("n") > len(tables))
+    if deep is None or deep.isEmpty():
+        rows = sliced(rows, sizes)
+    else:
+        below = rows.join(deep.select("shard"), "shard", "left_semi").select("fp", "rep", F.explode(_keys(tables, F.col("shard"))).alias("shard"))
+        rows = sliced(rows.join(deep.select("shard"), "shard", "left_anti"), sizes).unionByName(sliced(below, large(below)))
     rows = rows.select("shard", F.col("slice").cast("long"), F.col("node").cast("long"), "fp", "rep")
     rows = rows.repartition("shard", "slice").sortWithinPartitions("shard", "slice", F.desc("node"))
     return rows.mapInArrow(_links(radius), "a long, b long")
@@ -191,7 +211,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, tree_nodes
 
     component_id is the smallest doc_id that links of at most `radius` bits reach. Texts without words have
     fingerprint zero and link like any other; rows with a null doc_id keep a row but are nobody's link; repeated rows
-    each keep theirs; an empty table gives an empty result; other columns of docs are not looked at.
+    each keep theirs; an empty table gives an empty result; other columns of docs are not looked at; a very long text
+    is hashed whole, its shingle hashes in memory once.
     """
     spark = docs.sparkSession
     ws = workspace(spark)

@@ -55,6 +55,25 @@ def test_tables_lose_no_pair(n, radius):
         assert any(all(off >> s & ((1 << w) - 1) == 0 for s, w in t) for t in tables)
 
 
+def union(ids, edges):
+    low = {i: i for i in ids}
+    for _ in ids:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
+
+
+def test_query_against_brute_force(spark):
+    from scorewright.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    fps = {i: brute(t) for i, t in texts.items()}
+    want = components(list(fps), list(fps.values()))
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in queries.op1_simhash_near_dedup(spark, folder).collect()}
+    assert got == {(i, f"{fps[i]:016x}", want[i]) for i in fps}
+
+
 @pytest.mark.parametrize("tree_nodes", [4096, 3])
 def test_links_against_brute_force(spark, tree_nodes):
     rng = np.random.default_rng(4)
@@ -68,6 +87,10 @@ def test_links_against_brute_force(spark, tree_nodes):
     fps = {i: brute(t) for i, t in rows if i is not None}
     want = components(list(fps), list(fps.values()))
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in got if r.doc_id is not None} == {(i, f"{fps[i]:016x}", want[i]) for i in fps}
+    fps_df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for f, i in {f: i for i, f in sorted(fps.items(), reverse=True)}.items()], "fp long, rep long")
+    cut_up = simhash.link_fingerprints(fps_df, shared.workspace(spark), 3, 1, finer=1).collect()  # shards cut up by finer keys
+    by_fp = {f: i for i, f in sorted(fps.items(), reverse=True)}
+    assert components(list(by_fp.values()), list(by_fp)) == {**{i: i for i in by_fp.values()}, **union(by_fp.values(), [(r.a, r.b) for r in cut_up])}
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({*want.values()})
