@@ -45,12 +45,18 @@ def prepare(spark: SparkSession) -> None:
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+    """A new folder below spark.checkpoint.dir, or the session's checkpoint folder, which driver and executors share.
 
-    Only where the session has no such setting (tests in local mode) is a folder of this machine used.
+    Only in local mode may a session have neither (tests): then a folder of this machine is used. On a cluster that
+    raises, because each executor would write to its own disk.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and (own := sc._jsc.sc().getCheckpointDir()).isDefined():
+        base = own.get()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file:" + os.path.join(tempfile.gettempdir(), "scorewright-checkpoints")
     path = f"{base.rstrip('/')}/scorewright-{uuid.uuid4().hex}"
 

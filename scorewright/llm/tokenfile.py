@@ -108,7 +108,9 @@ def write_token_files(docs: DataFrame, folder: str, ws: str, tokenizer: str, end
     """Write all rows of docs (doc_id, text) in ascending doc_id order; returns the manifest (file, n_docs, n_tokens, base).
 
     A null text is empty and holds the end id only; rows with a null doc_id come first; rows that repeat stay, side by
-    side. Files have deterministic names and contents. base: the ids in all files before.
+    side, and so many of them that they fill several partitions are dealt by their texts; other columns are not looked
+    at; an empty table gives an empty manifest; a very long text is one frame. Files have deterministic names and
+    contents. base: the ids in all files before.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -135,7 +137,8 @@ def write_token_files(docs: DataFrame, folder: str, ws: str, tokenizer: str, end
         if out.index:
             yield close()
 
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ties = [F.substring("text", 1, 16), F.xxhash64("text")]  # only which of equal ids comes first
+    ordered = rows.repartitionByRange("doc_id", *ties).sortWithinPartitions("doc_id", *ties)
     manifest = written(ordered.mapInArrow(run, "part int, seq int, file string, n_docs long, n_tokens long"), ws, "manifest")
     # one row a file
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

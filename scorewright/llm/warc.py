@@ -152,9 +152,11 @@ def write_archives(pages: DataFrame, folder: str, ws: str, min_bytes: int = 0, f
     found = revisits(pages, ws, min_bytes).withColumnsRenamed({"page_id": "__id", "sha1": "__sha1"})
     body = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("payload"), F.unhex(F.sha1(body)).alias("sha1"))
-    # rows without an id stand in no group; they are dealt by their digest
     rows = rows.join(found, (F.col("page_id") == F.col("__id")) & (F.col("sha1") == F.col("__sha1")), "left")
-    again = F.row_number().over(Window.partitionBy("page_id", "sha1").orderBy("url")) > 1
+    # rows without an id repeat nothing: each is dealt by itself, so that many of them are no hot group
+    alone = F.when(F.col("page_id").isNull(), F.monotonically_increasing_id())
+    rows = rows.withColumn("__alone", alone)
+    again = F.row_number().over(Window.partitionBy("page_id", "sha1", "__alone").orderBy("url")) > 1
     first = F.when(F.col("first").isNotNull(), F.col("first")).when(F.col("page_id").isNotNull() & (F.length("payload") >= min_bytes) & again, F.col("page_id"))
     rows = rows.select("page_id", "url", "payload", first.alias("first"))
     schema = pa.schema([("page_id", pa.int64()), ("file", pa.string()), ("frame", pa.int32()), ("offset", pa.int32()), ("length", pa.int32())])
