@@ -124,6 +124,11 @@ def general_answer(text: Column) -> Column:
     return collapsed(F.regexp_replace(bare, f"(?i)(?<!{word})(a|an|the)(?!{word})", ""))
 
 
+def short_answer(text: Column) -> Column:
+    """The general answer in lower case."""
+    return F.lower(general_answer(text))
+
+
 def normal_answer(text: Column) -> Column:
     """Lower case without ASCII punctuation, English articles and extra white space."""
     bare = F.regexp_replace(F.lower(text), "[!\"#$%&'()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]", "")

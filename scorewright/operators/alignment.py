@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 
 def require(rows: DataFrame, holds: Column, message: Column) -> DataFrame:
-    """rows; reading one for which the condition isn't true raises the message."""
-    first = rows.columns[0]
-    return rows.withColumn(first, F.when(F.coalesce(holds, F.lit(False)), F.col(first)).otherwise(F.raise_error(message).cast(rows.schema[first].dataType)))
+    """rows; reading one for which the condition isn't true raises the message. A filter, so that no choice of columns
+    drops the check."""
+    return rows.where(F.when(F.coalesce(holds, F.lit(False)), True).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def _said(text: str, value: str) -> Column:

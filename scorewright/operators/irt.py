@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.operators.lineage import cut
+
 #: Clip of the exponent of an item curve.
 CLIP = 30.0
 
@@ -36,9 +38,10 @@ def fit_2pl(responses: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFrame
 
     responses: (item, model, score in [0, 1]). Items are fitted in parallel given abilities and abilities given items;
     between rounds abilities are standardised in one aggregate, which fixes the scale. Rounds join by item and model, so no
-    group holds more than an item's or a model's responses.
+    group holds more than an item's or a model's responses; each round is checkpointed.
     """
-    data = responses.where("score is not null").groupBy("item", "model").agg(F.avg("score").alias("score")).persist()
+    data = responses.where("score is not null").groupBy("item", "model").agg(F.avg("score").alias("score"))
+    data = cut(data)
     mean = data.groupBy("model").agg(F.avg("score").alias("p"))
     squeezed = F.least(F.greatest("p", F.lit(0.02)), F.lit(0.98))
     theta = _standard(mean.select("model", F.log(squeezed / (1 - squeezed)).alias("theta")))
@@ -62,8 +65,8 @@ def fit_2pl(responses: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFrame
     kinds = dict(data.dtypes)
     items = None
     for _ in range(rounds):
-        items = data.join(theta, "model").groupBy("item").applyInPandas(item_fit, f"item {kinds['item']}, slope double, difficulty double").persist()
-        theta = _standard(data.join(items, "item").groupBy("model").applyInPandas(model_fit, f"model {kinds['model']}, theta double")).persist()
+        items = cut(data.join(theta, "model").groupBy("item").applyInPandas(item_fit, f"item {kinds['item']}, slope double, difficulty double"))
+        theta = cut(_standard(data.join(items, "item").groupBy("model").applyInPandas(model_fit, f"model {kinds['model']}, theta double")))
     return items, theta
 
 
@@ -75,9 +78,26 @@ def _standard(theta: DataFrame) -> DataFrame:
 def kmeans_anchors(items: DataFrame, task: str, item: str, features: list[str], share: float, seed: int = 42, starts: int = 10) -> DataFrame:
     """(task, item, weight): the item nearest to each of share*n centroids of a task's items, weighted by its cluster.
 
-    Weights of a task sum to 1; two centroids may share an item, which then has two rows. A task's items are one group.
+    Weights of a task sum to 1; two centroids may share an item, which then has two rows. A task's items are one group,
+    whose distances to the centroids are in memory in parts of a million.
     """
 
+    def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.maximum((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1), 0)
+
+    def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each item its centroid and the distance, and for each centroid its nearest item."""
+        at, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+        item, best = np.zeros(len(c), np.int64), np.full(len(c), np.inf)
+        step = max(1, 1_000_000 // len(c))
+        for i in range(0, len(x), step):
+            d = distances(x[i : i + step], c)
+            at[i : i + step], far[i : i + step] = d.argmin(1), d.min(1)
+            low = d.argmin(0)
+            closer = d[low, np.arange(len(c))] < best
+            item[closer], best[closer] = i + low[closer], d[low, np.arange(len(c))][closer]
+        return at, far, item
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item).reset_index(drop=True)
         x = pdf[features].to_numpy(float)
@@ -85,22 +105,23 @@ def kmeans_anchors(items: DataFrame, task: str, item: str, features: list[str],
         rng, best = np.random.default_rng(seed), None
         for _ in range(starts):
             c = [x[rng.integers(len(x))]]
+            d = ((x - c[0]) ** 2).sum(1)
             while len(c) < k:
-                d = ((x[:, None] - np.array(c)) ** 2).sum(2).min(1)
                 c.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.integers(len(x))])
+                d = np.minimum(d, ((x - c[-1]) ** 2).sum(1))
             c = np.array(c)
             for _ in range(50):
-                d = ((x[:, None] - c) ** 2).sum(2)
-                at = d.argmin(1)
-                new = np.array([x[at == j].mean(0) if (at == j).any() else c[j] for j in range(k)])
+                at, _, _ = nearest(x, c)
+                n = np.bincount(at, minlength=k)
+                sums = np.stack([np.bincount(at, weights=x[:, j], minlength=k) for j in range(x.shape[1])], axis=1)
+                new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
                 if np.allclose(new, c):
                     break
                 c = new
-            d = ((x[:, None] - c) ** 2).sum(2)
-            if best is None or d.min(1).sum() < best[0]:
-                best = d.min(1).sum(), d
-        d = best[1]
-        near, size = d.argmin(0), np.bincount(d.argmin(1), minlength=k)
+            at, far, item_of = nearest(x, c)
+            if best is None or far.sum() < best[0]:
+                best = far.sum(), at, item_of
+        near, size = best[2], np.bincount(best[1], minlength=k)
         keep = size > 0
         return pd.DataFrame({task: pdf[task].iloc[0], item: pdf[item][near[keep]].to_numpy(), "weight": size[keep] / len(x)})
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Queries compared with the index at a time: a block's vectors are broadcast, so their size is bounded.
 QUERY_BLOCK = 4096
+#: Queries whose scores against a batch of the index are in memory at a time.
+SCORE_ROWS = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,18 +37,22 @@ def knn(queries: DataFrame, index: DataFrame, id_col: str, vector: str, k: int)
 
         def run(it: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             q_ids, q = held.value
-            best: list[pd.DataFrame] = []
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # place of the query, neighbour, score
             for pdf in it:
                 if not len(pdf) or not len(q):
                     continue
-                scores = np.einsum("qd,nd->qn", q, np.stack(pdf[vector].to_numpy()).astype(np.float64))
                 own = pdf[id_col].to_numpy()
-                frame = pd.DataFrame({"query_id": np.repeat(q_ids, len(own)), "neighbour_id": np.tile(own, len(q_ids)), "score": np.round(scores.ravel(), 9)})
-                best.append(_top(frame[frame.query_id != frame.neighbour_id], k))
-                if len(best) > 8:
-                    best = [_top(pd.concat(best), k)]
-            if best:
-                yield _top(pd.concat(best), k)
+                x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+                found = [best]
+                for at in range(0, len(q), SCORE_ROWS):
+                    scores = np.round(q[at : at + SCORE_ROWS] @ x.T, 9)
+                    scores[q_ids[at : at + SCORE_ROWS, None] == own] = -np.inf
+                    cut = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.full(len(scores), -np.inf)
+                    i, j = np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))
+                    found.append((at + i, own[j], scores[i, j]))
+                best = _top(*(np.concatenate(c) for c in zip(*found)), k)
+            if len(best[0]):
+                yield pd.DataFrame({"query_id": q_ids[best[0]], "neighbour_id": best[1], "score": best[2]})
 
         found = index.select(F.col(id_col).cast("long").alias(id_col), vector).mapInPandas(run, "query_id long, neighbour_id long, score double")
         out = found if out is None else out.unionByName(found)
@@ -54,8 +60,13 @@ def knn(queries: DataFrame, index: DataFrame, id_col: str, vector: str, k: int)
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "score")
 
 
-def _top(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    return frame.sort_values(["query_id", "score", "neighbour_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+def _top(query: np.ndarray, neighbour: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest scores of each query, ties by neighbour."""
+    order = np.lexsort((neighbour, -score, query))
+    query, neighbour, score = query[order], neighbour[order], score[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    keep = rank < k
+    return query[keep], neighbour[keep], score[keep]
 
 
 def tokens(text: Column) -> Column:

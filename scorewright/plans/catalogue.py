@@ -14,7 +14,7 @@ from scorewright.functions import instructions
 from scorewright.functions import text as T
 from scorewright.operators import aggregates as A
 from scorewright.operators import benchmarks as B
-from scorewright.operators import ensembles, irt, ranking, ratings, retrieval, sampling
+from scorewright.operators import ensembles, irt, overlap, ranking, ratings, retrieval, sampling
 from scorewright.sources import converters, records
 from scorewright.streaming import windows
 
@@ -536,7 +536,7 @@ _NORMAL = r"trim(regexp_replace(array_to_string(list_transform(regexp_extract_al
 def token_f1(spark, d):
     a = table(spark, d, "conversations").select("conv_id", "turn", T.normal_answer(F.col("text")).alias("x"))
     b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y"))
-    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", r6(T.token_f1(F.col("x"), F.col("y"))).alias("f1"))
+    return overlap.token_f1(a.join(b, ["conv_id", "turn"]), ["conv_id", "turn"], "x", "y").withColumn("f1", r6("f1"))
 
 
 @query("""

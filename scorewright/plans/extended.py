@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scorewright.functions import answers, correctness, times
+from scorewright.functions import answers, correctness, prompts, times
 from scorewright.functions import text as T
-from scorewright.operators import alignment, breakdowns, ensembles, estimates, replicas, sampling
-from scorewright.plans.catalogue import _DRAW, _HITS, _SCORES, _hits, _scores, query, r6, table
+from scorewright.operators import alignment, breakdowns, ensembles, estimates, overlap, replicas, sampling
+from scorewright.plans.catalogue import _DRAW, _HITS, _NORMAL, _SCORES, _hits, _scores, query, r6, table
+from scorewright.streaming import upserts
 
 _TAGGED = """(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Start <think>' || text || '</think> End <think>x</think>' WHEN 1 THEN text || '</think> first</think>' || chr(9) || 'tail ' || chr(10)
     WHEN 2 THEN chr(10) || text ELSE 'a<think>' || text END AS t FROM documents)"""
@@ -511,3 +512,56 @@ def filled_pivot(spark, d):
 def style_features(spark, d):
     out = breakdowns.style_features(table(spark, d, "lineitem"), {"length": ("l_quantity", "l_linenumber"), "lists": ("l_tax", "l_discount")})
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("length", 5).alias("length"), F.round("lists", 5).alias("lists"))
+
+
+# --- overlaps, prompts, growing results ---------------------------------------------------------------
+
+_TURNS = "(SELECT a.conv_id, a.turn, a.text AS x, b.text AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+_SPLIT = "list_filter(regexp_split_to_array({}, '[ \\t\\n\\r]+'), lambda w: length(w) > 0)"
+
+
+def _turns(spark, d):
+    a = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("x"))
+    return a.join(a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"])
+
+
+@query(f"""
+    WITH w AS (SELECT conv_id, turn, {_SPLIT.format('x')} AS xs, {_SPLIT.format('y')} AS ys FROM {_TURNS}),
+    g AS (SELECT conv_id, turn, n, list_transform(range(1, greatest(len(xs) - n + 2, 1)::BIGINT), lambda i: array_to_string(xs[i:i + n - 1], ' ')) AS p, list_transform(range(1, greatest(len(ys) - n + 2, 1)::BIGINT), lambda i: array_to_string(ys[i:i + n - 1], ' ')) AS r FROM w, (SELECT unnest([1, 2, 3, 4]) AS n)),
+    c AS (SELECT n, conv_id, turn, gram, sum(a) AS a, sum(b) AS b FROM (SELECT n, conv_id, turn, unnest(p) AS gram, 1 AS a, 0 AS b FROM g UNION ALL SELECT n, conv_id, turn, unnest(r), 0, 1 FROM g) GROUP BY ALL),
+    t AS (SELECT n, sum(least(a, b)) / sum(a) AS p, sum(a) AS a, sum(b) AS b FROM c GROUP BY 1), u AS (SELECT list(p ORDER BY n) AS ps, max(CASE WHEN n = 1 THEN a END) AS a, max(CASE WHEN n = 1 THEN b END) AS b FROM t)
+    SELECT round(brevity * CASE WHEN list_min(ps) > 0 THEN exp(list_sum(list_transform(ps, lambda v: ln(v))) / 4) ELSE 0 END, 6) AS bleu, round(brevity, 6) AS brevity FROM (SELECT *, CASE WHEN a > b THEN 1.0::DOUBLE ELSE exp(1 - b / a) END AS brevity FROM u)""")
+def corpus_bleu(spark, d):
+    out = overlap.corpus_bleu(_turns(spark, d), ["conv_id", "turn"], "x", "y")
+    return out.select(r6("bleu").alias("bleu"), r6("brevity").alias("brevity"))
+
+
+@query(f"""
+    WITH t AS (SELECT p_partkey, {_NORMAL.format('p_name')} AS x, unnest([{_NORMAL.format('p_type')}, {_NORMAL.format("'The ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN '!' ELSE ' x' END")}]) AS y FROM part),
+    w AS (SELECT p_partkey, x, y, list_filter(string_split(x, ' '), lambda v: length(v) > 0) AS xs, list_filter(string_split(y, ' '), lambda v: length(v) > 0) AS ys FROM t),
+    s AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(xs), lambda v: least(len(list_filter(xs, lambda z: z = v)), len(list_filter(ys, lambda z: z = v))))), 0) AS same FROM w)
+    SELECT p_partkey, max((x = y)::INTEGER) AS exact, round(max(CASE WHEN same > 0 THEN 2.0 * same / (len(xs) + len(ys)) ELSE 0 END), 6) AS f1 FROM s GROUP BY 1""")
+def answer_scores(spark, d):
+    more = F.concat(F.lit("The "), "p_name", F.when(F.col("p_partkey") % 2 == 0, "!").otherwise(" x"))
+    rows = table(spark, d, "part").select("p_partkey", T.normal_answer(F.col("p_name")).alias("x"), F.array(T.normal_answer(F.col("p_type")), T.normal_answer(more)).alias("refs"))
+    return overlap.answer_scores(rows, ["p_partkey"], "x", "refs").withColumn("f1", r6("f1"))
+
+
+@query("""
+    SELECT n_nationkey, label, coalesce((SELECT string_agg('Q: ' || r_name || ' {other}', chr(10) ORDER BY r_regionkey) || chr(10) FROM region WHERE r_regionkey < n_regionkey), '') || 'Name: ' || n_name || ' is ' || label || '?' AS prompt
+    FROM nation, (SELECT unnest(['yes', 'no']) AS label)""")
+def label_prompts(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    chosen = n.join(r, F.col("r_regionkey") < F.col("n_regionkey")).select("n_nationkey", F.col("r_regionkey").alias("rank"), "r_regionkey")
+    context = prompts.in_context(n, chosen, r, "n_nationkey", "r_regionkey", "Q: {r_name} {other}", ["r_name"])
+    rows = n.join(context, "n_nationkey")
+    return prompts.label_prompts(rows, "context", "Name: {n_name} is {label}?", ["n_name"], {"yes": "yes", "no": "no"}).select("n_nationkey", "label", "prompt")
+
+
+@query("""
+    WITH n AS (SELECT user_id, value, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id % 2 = 0), o AS (SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1)
+    SELECT user_id, event_id FROM n WHERE r = 1 UNION ALL SELECT user_id, event_id FROM o WHERE user_id NOT IN (SELECT user_id FROM n)""")
+def upserted_results(spark, d):
+    e = table(spark, d, "events")
+    old = e.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    return upserts.upsert(old, e.where("event_id % 2 = 0").select("user_id", "event_id"), ["user_id"], "event_id")

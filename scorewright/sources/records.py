@@ -129,7 +129,7 @@ def swe_bench_pro_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("task_id", score.alias("score"), F.lit(False).alias("errored"))
 
 
-def terminal_bench_results(spark: SparkSession, path: str, threshold: float = 1.0) -> DataFrame:
+def terminal_bench_results(spark: SparkSession, path: str, threshold: float = 0.5) -> DataFrame:
     """(task_id, score, errored) of trial files: share of trials with a reward of at least the threshold."""
     rows = _text(spark, path).select(F.get_json_object("json", "$.task_name").alias("task_id"), F.get_json_object("json", "$.verifier_result.rewards.reward").cast("double").alias("r"))
     hit = F.when(F.col("r").isNotNull(), (F.col("r") >= threshold).cast("double"))
