@@ -15,18 +15,14 @@ from scorewright.functions import text as X
 
 #: What a grade-school solution puts before its answer, and the cut of a run-on prediction. Fixed values.
 GOLD_MARK, NEXT_QUESTION = "#### ", "Question:"
-#: Prefixes that models put before an option letter. Fixed values.
+#: Phrases that models put before an option letter; two of them stand for two phrases each. Fixed values.
 ANSWER_PREFIXES = (
     "The best answer is",
     "The correct answer is",
     "The answer is",
     "The answer",
-    "The best option is",
-    "The correct option is",
-    "Best answer:",
-    "Best option:",
-    "Answer:",
-    "Option:",
+    "The best option isThe correct option is",
+    "Best answer:Best option:",
 )
 
 
@@ -115,10 +111,14 @@ def judge_flag(value: Column) -> Column:
 
 
 def letter_after_prefix(text: Column, letters: str = "ABCDE") -> Column:
-    """The first option letter once phrases that introduce an answer are gone; empty for long texts without any."""
+    """The first option letter once phrases that introduce an answer are gone; without any, of a text of up to ten words
+    that is within "(a)", "(b)" and so on, that letter; else empty."""
     bare = reduce(lambda t, p: F.replace(t, F.lit(p), F.lit("")), ANSWER_PREFIXES, X.stripped(text))
-    lengthy = (F.size(F.split(bare, f"{X.SPACE}+")) > 10) & ~F.regexp_like(bare, F.lit(f"[{letters}]"))
-    return F.when(lengthy, "").otherwise(F.regexp_extract(bare, f"[{letters}]", 0))
+    found = F.regexp_extract(bare, f"[{letters}]", 0)
+    low = F.lower(bare)
+    within = F.coalesce(*[F.when(F.contains(F.lit(f"({x.lower()})"), low), x) for x in letters], F.lit(""))
+    lengthy = F.size(F.split(X.stripped(bare), f"{X.SPACE}+")) > 10
+    return F.when(found != "", found).when(lengthy, "").otherwise(within)
 
 
 def open_as_choice(rows_a: Column, answer: Column) -> tuple[Column, Column]:
@@ -220,40 +220,79 @@ def option_of(answers: pd.Series, choices: pd.Series) -> pd.Series:
     return pd.Series([one(a, c) for a, c in zip(answers, choices)])
 
 
-#: Patterns that introduce an option in Chinese or English, in the order tried; {0} stands for the options. Fixed values.
+#: Patterns that introduce an option in Chinese or English, in the order tried; {0} stands for the options. The one of two
+#: halves is one pattern. Fixed values.
 OPTION_PATTERNS = (
-    "答案是?\\s*([{0}])",
-    "答案是?\\s*：\\s*([{0}])",
-    "答案是?\\s*:\\s*([{0}])",
-    "答案选项应?该?是\\s*([{0}])",
-    "答案选项应?该?为\\s*([{0}])",
-    "答案应该?是\\s*([{0}])",
-    "答案应该?选\\s*([{0}])",
-    "答案为\\s*([{0}])",
-    "答案选\\s*([{0}])",
-    "选择?\\s*([{0}])",
-    "([{0}])\\s?是正确的",
-    "([{0}])\\s?是正确答案",
-    "选项\\s?([{0}])\\s?正确",
-    "所以答\\s?([{0}])",
-    "[\\s，：:,]([{0}])[。，,\\.]?$",
-    "(?i)ANSWER\\s*:\\s*([{0}])",
-    "[Tt]he answer is:?\\s+\\(?\\*?\\*?([{0}])\\*?\\*?\\)?",
-    "[Tt]he answer is option:?\\s+\\(?([{0}])\\)?",
-    "[Tt]he correct answer is:?\\s+\\(?([{0}])\\)?",
-    "[Tt]he correct answer is option:?\\s+\\(?([{0}])\\)?",
-    "[Tt]he correct answer is:?.*?boxed\\{{([{0}])\\}}",
-    "[Tt]he correct option is:?.*?boxed\\{{([{0}])\\}}",
-    "[Tt]he answer to the question is:?\\s+\\(?([{0}])\\)?",
-    "^选项\\s?([{0}])",
-    "^([{0}])\\s?选?项",
-    "(?:\\s|^)([{0}])[\\s。，,：:\\.$]",
+    r"答案是?\s*([{0}])",
+    r"答案是?\s*：\s*([{0}])",
+    r"答案是?\s*:\s*([{0}])",
+    r"答案选项应?该?是\s*([{0}])",
+    r"答案选项应?该?为\s*([{0}])",
+    r"答案应该?是\s*([{0}])",
+    r"答案应该?选\s*([{0}])",
+    r"答案选项为?\s*：\s*([{0}])",
+    r"答案选项为?\s+\(?\*?\*?([{0}])\*?\*?\)?",
+    r"答案选项是?\s*:\s*([{0}])",
+    r"答案为\s*([{0}])",
+    r"答案选\s*([{0}])",
+    r"选择?\s*([{0}])",
+    r"故选?\s*([{0}])只有选?项?\s?([{0}])\s?是?对",
+    r"只有选?项?\s?([{0}])\s?是?错",
+    r"只有选?项?\s?([{0}])\s?不?正确",
+    r"只有选?项?\s?([{0}])\s?错误",
+    r"说法不?对选?项?的?是\s?([{0}])",
+    r"说法不?正确选?项?的?是\s?([{0}])",
+    r"说法错误选?项?的?是\s?([{0}])",
+    r"([{0}])\s?是正确的",
+    r"([{0}])\s?是正确答案",
+    r"选项\s?([{0}])\s?正确",
+    r"所以答\s?([{0}])",
+    r"所以\s?([{0}][.。$]?$)",
+    r"所有\s?([{0}][.。$]?$)",
+    r"[\s，：:,]([{0}])[。，,\.]?$",
+    r"[\s，,：:][故即]([{0}])[。\.]?$",
+    r"[\s，,：:]因此([{0}])[。\.]?$",
+    r"[是为。]\s?([{0}])[。\.]?$",
+    r"因此\s?([{0}])[。\.]?$",
+    r"显然\s?([{0}])[。\.]?$",
+    r"答案是\s?(\S+)(?:。|$)",
+    r"答案应该是\s?(\S+)(?:。|$)",
+    r"答案为\s?(\S+)(?:。|$)",
+    r"(?i)ANSWER\s*:\s*([{0}])",
+    r"[Tt]he answer is:?\s+\(?([{0}])\)?",
+    r"[Tt]he answer is:?\s+\(?\*?\*?([{0}])\*?\*?\)?",
+    r"[Tt]he answer is option:?\s+\(?([{0}])\)?",
+    r"[Tt]he correct answer is:?\s+\(?([{0}])\)?",
+    r"[Tt]he correct answer is option:?\s+\(?([{0}])\)?",
+    r"[Tt]he correct answer is:?.*?boxed\{{([{0}])\}}",
+    r"[Tt]he correct option is:?.*?boxed\{{([{0}])\}}",
+    r"[Tt]he correct answer option is:?.*?boxed\{{([{0}])\}}",
+    r"[Tt]he answer to the question is:?\s+\(?([{0}])\)?",
+    r"^选项\s?([{0}])",
+    r"^([{0}])\s?选?项",
+    r"(\s|^)[{0}][\s。，,：:\.$]",
+    r"1.\s?(.*?)$",
+    r"1.\s?([{0}])[.。$]?$",
 )
 CUSHION_PATTERNS = ("([{0}]):", "([{0}])")
 
 
 def first_option(text: Column, options: str = "ABCD", cushion: bool = True) -> Column:
-    """The option of the first pattern that a text has, in their order; empty if none. With the cushion any letter counts."""
+    """The option within what the first pattern finds that holds any, in the patterns' order; of several the first of the
+    options. Empty if none. With the cushion any letter counts."""
     bare = X.stripped(text)
-    patterns = [p.format(options) for p in (*OPTION_PATTERNS, *(CUSHION_PATTERNS if cushion else ()))]
-    return F.coalesce(*[X.empty_null(F.regexp_extract(bare, f"(?s){p}", 1)) for p in patterns], F.lit(""))
+    found = []
+    for p in (*OPTION_PATTERNS, *(CUSHION_PATTERNS if cushion else ())):
+        group = F.regexp_extract(bare, f"(?sU){p.format(options)}", 1)
+        found.append(F.when(group != "", group).otherwise(F.regexp_extract(bare, f"(?sU){p.format(options)}", 0)))
+    named = F.filter(F.transform(F.array(*found), lambda x: F.coalesce(*[F.when(F.contains(x, F.lit(o)), o) for o in options])), lambda o: o.isNotNull())
+    return F.coalesce(F.try_element_at(named, F.lit(1)), F.lit(""))
+
+
+#: Punctuation that Chinese answers are compared without, beside ASCII's. Fixed value.
+CHINESE_MARKS = "！？｡。＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､、〃》「」『』【】〔〕〖〗〘〙〚〛〜〝〞〟〰〾〿–—‘’‛“”„‟…‧﹏."
+
+
+def chinese_answer(text: Column) -> Column:
+    """Lower case without punctuation of either kind and without white space."""
+    return F.regexp_replace(F.translate(F.lower(text), CHINESE_MARKS + "!\"#$%&'()*+,-/:;<=>?@[\\]^_`{|}~", ""), X.SPACE, "")

@@ -19,6 +19,52 @@ def item_curve(theta: Column, slope: Column, difficulty: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+def response_probability(kind: str, ability: Column, difficulty: Column, slope: Column | None = None, limit: Column | None = None) -> Column:
+    """The chance of a right answer of the one- to four-parameter models, 1pl to 4pl, as their predictions are defined: in
+    3pl one less limit over the curve's denominator is added to the limit, and in 4pl the limit scales the curve."""
+    if kind == "1pl":
+        return 1 / (1 + F.exp(-(ability - difficulty)))
+    curve = 1 + F.exp(-slope * (ability - difficulty))
+    if kind == "2pl":
+        return 1 / curve
+    if kind == "3pl":
+        return limit + (1 - limit / curve)
+    if kind == "4pl":
+        return limit / curve
+    raise ValueError(f"unknown model {kind!r}")
+
+
+def item_accuracies(responses: DataFrame) -> DataFrame:
+    """(item, accuracy, n) of responses (item, model, score); unknown scores don't count."""
+    return responses.where("score is not null").groupBy("item").agg(F.avg("score").alias("accuracy"), F.count("*").alias("n"))
+
+
+def starting_difficulties(responses: DataFrame, magnitude: float = 3.0, n: int = 4) -> DataFrame:
+    """(item, difficulty): the magnitude for the n items of the lowest accuracy, minus it for the n highest, 0 for others;
+    an item among both is easy. Ties by item."""
+    acc = item_accuracies(responses)
+    ends = acc.orderBy("accuracy", "item").limit(n).select("item", F.lit(magnitude).alias("d"), F.lit(0).alias("o"))
+    ends = ends.unionByName(acc.orderBy(F.desc("accuracy"), F.desc("item")).limit(n).select("item", F.lit(-magnitude).alias("d"), F.lit(1).alias("o")))
+    chosen = ends.groupBy("item").agg(F.max_by("d", "o").alias("d"))
+    return acc.join(F.broadcast(chosen), "item", "left").select("item", F.coalesce("d", F.lit(0.0)).alias("difficulty"))
+
+
+def ability_1pl(responses: DataFrame, difficulties: DataFrame, low: float = -4.0, high: float = 4.0, steps: int = 801) -> DataFrame:
+    """(model, theta): on a grid of abilities the one under which a model's responses to items of known difficulty are
+    likeliest; the lowest of equal ones. Only sums by difficulty and ability are shuffled."""
+    rows = responses.join(difficulties, "item").groupBy("model", "difficulty").agg(F.sum("score").alias("right"), F.count("score").alias("n"))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.lit(low) + k * ((high - low) / (steps - 1)))
+    each = rows.withColumn("theta", F.explode(grid))
+    z = F.col("theta") - F.col("difficulty")
+    loss = F.col("n") * F.log1p(F.exp(z)) - F.col("right") * z
+    return each.groupBy("model", "theta").agg(F.round(F.sum(loss), 9).alias("loss")).groupBy("model").agg(F.min_by("theta", F.struct("loss", "theta")).alias("theta"))
+
+
+def difficulty_threshold(share: Column, ability: Column) -> Column:
+    """The difficulty at which an ability answers the share right."""
+    return F.log(1 / share - 1) + ability
+
+
 def _solve(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray, mean: np.ndarray, precision: np.ndarray) -> np.ndarray:
     """A penalised logistic regression by Newton's method."""
     b = start.copy()

@@ -174,3 +174,18 @@ def vote_k(neighbours: DataFrame, items: DataFrame, item: str, select: int, thre
     both = taken.select("rank", "item", F.lit(0).alias("drawn")).unionByName(rest.select(F.lit(0).alias("rank"), "item", F.lit(1).alias("drawn")))
     order = Window.orderBy("drawn", "rank", F.xxhash64(F.lit(seed), "item"), "item")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= select).select("rank", "item")
+
+
+def fixed_k(queries: DataFrame, query: str, items: list[int]) -> DataFrame:
+    """(query, rank, item): the same items for every query; none of them for an empty list."""
+    each = F.array(*[F.struct(F.lit(k + 1).alias("rank"), F.lit(i).cast("long").alias("item")) for k, i in enumerate(items)])
+    if not items:
+        return queries.select(query, F.lit(0).alias("rank"), F.lit(0).cast("long").alias("item")).limit(0)
+    return queries.select(query, F.explode(each).alias("x")).select(query, "x.rank", "x.item")
+
+
+def least_description(candidates: DataFrame, query: str, subset: str, loss: str) -> DataFrame:
+    """(query, subset, loss): of a query's candidate subsets of examples the one under which a language model's loss, given
+    as a column, is least; ties by subset."""
+    best = candidates.groupBy(query).agg(F.min_by(F.struct(subset, loss), F.struct(F.col(loss), F.col(subset))).alias("b"))
+    return best.select(query, f"b.{subset}", f"b.{loss}")

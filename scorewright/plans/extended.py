@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scorewright.functions import answers, correctness, prompts, times
 from scorewright.functions import text as T
-from scorewright.operators import alignment, breakdowns, ensembles, estimates, overlap, replicas, sampling
+from scorewright.operators import alignment, breakdowns, ensembles, estimates, irt, overlap, replicas, retrieval, sampling
 from scorewright.plans.catalogue import _DRAW, _HITS, _NORMAL, _SCORES, _hits, _scores, query, r6, table
 from scorewright.streaming import upserts
 
@@ -565,3 +565,38 @@ def upserted_results(spark, d):
     e = table(spark, d, "events")
     old = e.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
     return upserts.upsert(old, e.where("event_id % 2 = 0").select("user_id", "event_id"), ["user_id"], "event_id")
+
+
+@query(f"""
+    WITH s AS {_EVENTS}, a AS (SELECT item, avg(score) AS accuracy, count(*)::BIGINT AS n FROM s GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY accuracy, item) AS lo, row_number() OVER (ORDER BY accuracy DESC, item DESC) AS hi FROM a)
+    SELECT item, round(accuracy, 6) AS accuracy, n, CASE WHEN hi <= 4 THEN -3.0 WHEN lo <= 4 THEN 3.0 ELSE 0.0 END::DOUBLE AS difficulty FROM r""")
+def starting_difficulties(spark, d):
+    rows = _by_user(spark, d)
+    return irt.item_accuracies(rows).join(irt.starting_difficulties(rows), "item").withColumn("accuracy", r6("accuracy"))
+
+
+@query(f"""
+    WITH s AS {_EVENTS}, c AS (SELECT model, (item % 5) - 2.0 AS b, sum(score) AS y, count(*) AS n FROM s GROUP BY ALL), g AS (SELECT -4.0 + range * 0.01 AS theta FROM range(801)),
+    l AS (SELECT model, theta, round(sum(n * ln(1 + exp(theta - b)) - y * (theta - b)), 9) AS loss FROM c, g GROUP BY ALL)
+    SELECT model, round(first(theta ORDER BY loss, theta), 6)::DOUBLE AS theta FROM l GROUP BY 1""")
+def abilities_1pl(spark, d):
+    rows = _by_user(spark, d)
+    return irt.ability_1pl(rows, rows.select("item").distinct().withColumn("difficulty", ((F.col("item") % 5) - 2).cast("double"))).withColumn("theta", r6("theta"))
+
+
+@query("""
+    WITH p AS (SELECT p_partkey, p_size / 10.0 - 2 AS t, (p_partkey % 7) / 2.0 - 1 AS b, 0.5 + (p_partkey % 3) AS a, 0.25 AS l FROM part)
+    SELECT p_partkey, round(1 / (1 + exp(-(t - b))), 6) AS p1, round(1 / (1 + exp(-a * (t - b))), 6) AS p2, round(l + (1 - l / (1 + exp(-a * (t - b)))), 6) AS p3, round(l / (1 + exp(-a * (t - b))), 6) AS p4, round(ln(1 / 0.3 - 1) + t, 6) AS cut FROM p""")
+def response_probabilities(spark, d):
+    k = F.col("p_partkey")
+    args = (F.col("p_size") / 10.0 - 2, (k % 7) / 2.0 - 1, 0.5 + (k % 3), F.lit(0.25))
+    each = [r6(irt.response_probability(f"{n}pl", *args)).alias(f"p{n}") for n in (1, 2, 3, 4)]
+    return table(spark, d, "part").select("p_partkey", *each, r6(irt.difficulty_threshold(F.lit(0.3), args[0])).alias("cut"))
+
+
+@query("""
+    SELECT c_custkey, o_orderkey AS subset, round(o_totalprice, 6) AS loss, x.i::BIGINT AS item, x.k::INTEGER AS rank FROM (SELECT o_custkey AS c_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS r FROM orders), (SELECT unnest([{'k': 1, 'i': 7}, {'k': 2, 'i': 3}]) AS x) WHERE r = 1""")
+def chosen_examples(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("subset"), F.col("o_totalprice").alias("loss"))
+    best = retrieval.least_description(o, "c_custkey", "subset", "loss").withColumn("loss", r6("loss"))
+    return best.join(retrieval.fixed_k(best, "c_custkey", [7, 3]), "c_custkey")
