@@ -4,8 +4,10 @@ Texts with the same set of shingles form one node first, so that exact copies co
 of nodes: SimHash fingerprints within `radius` bits, and bands of MinHash values, because copies of similarity 0.8 lie
 too many bits apart to be found by blocks of a 64-bit fingerprint. Every proposed pair is checked exactly; nothing is
 linked on a fingerprint or a band alone. A pair of similarity s shares a band with probability 1 - (1 - s**5)**24, which
-is 0.99993 at 0.8 and more above. A band's members are checked against their first member, then against each other
-where that left them in different components: members that are linked already need no further check.
+is 0.99993 at 0.8 and more above. A band's members are checked against its hub, the member that most other members of
+all its bands meet, and then against each other where that left them in different components, unless their shingles
+rule a link out: an overlap is at most the number of a text's shingles that occur in some other component's text.
+So a large group of near copies costs a star and the few pairs that may still be similar, not all of its pairs.
 """
 
 from __future__ import annotations
@@ -81,8 +83,10 @@ def similar_pairs(docs: DataFrame, words: int, radius: int, similarity: float, w
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("bands").alias("bands"))
     nodes = written(nodes, ws, "nodes")
     rows = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("first")).where("size > 1").select("band", "first")
+    shared = rows.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = written(rows.join(shared, "band"), ws, "members")
+    met = members.groupBy("node").agg(F.sum("size").alias("met"))
+    hubs = members.join(met, "node").groupBy("band").agg(F.max_by(F.struct("node", "n"), F.struct(F.col("met"), -F.col("node"))).alias("hub"))
 
     same = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")), ws, "classes")
     near = nodes.join(same, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
@@ -92,7 +96,7 @@ def similar_pairs(docs: DataFrame, words: int, radius: int, similarity: float, w
         """Sets of these sizes can be similar enough."""
         return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
-    first = members.where(F.col("node") != F.col("first.node")).where(fits(F.col("n"), F.col("first.n"))).select(F.col("node").alias("a"), F.col("first.node").alias("b"))
+    first = members.join(hubs, "band").where(F.col("node") != F.col("hub.node")).where(fits(F.col("n"), F.col("hub.n"))).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     tried = written(near.unionByName(first).where("a <> b").select(*ordered).distinct(), ws, "pairs")
 
@@ -111,8 +115,14 @@ def similar_pairs(docs: DataFrame, words: int, radius: int, similarity: float, w
     at = members.join(labels, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = at.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     at = written(at.join(mixed, "band", "left_semi"), ws, "mixed")
-    other = at.select("band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    rest = at.withColumnRenamed("node", "a").join(other, "band").where("a < b and component <> other").where(fits(F.col("n"), F.col("m"))).select("a", "b").distinct()
+    parts = sets.join(at.select("node", "component").distinct(), "node").select("node", "component", F.explode("shingles").alias("shingle"))
+    common = parts.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    most = parts.join(common, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("most"))
+    at = at.join(most, "node")  # texts that share nothing with another component link with none
+    other = at.select("band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("most").alias("also"))
+    both = F.least("most", "also")
+    may = both >= similarity * (F.col("n") + F.col("m") - both) - 1e-9
+    rest = at.withColumnRenamed("node", "a").join(other, "band").where("a < b and component <> other").where(fits(F.col("n"), F.col("m")) & may).select("a", "b").distinct()
     more = written(checked(rest.join(tried, ["a", "b"], "left_anti")), ws, "links")
     return nodes.select("node", "doc_id"), links.unionByName(more)
 
@@ -121,7 +131,8 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 3, similarity: float
     """The rows of docs whose doc_id is the smallest of its group, one row each; rows without a doc_id stay.
 
     A group is a component of links between texts whose sets of `words`-word shingles have at least `similarity`.
-    Texts without words have the same empty set.
+    Texts without words have the same empty set. Null texts are empty, of rows that repeat a doc_id one stays, other
+    columns are handed on, an empty table gives none, and a very long text's shingle hashes are in memory once.
     """
     prepare(docs.sparkSession)
     ws = workspace(docs.sparkSession)
