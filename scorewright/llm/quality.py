@@ -105,7 +105,8 @@ def assess(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str
 
     Words are [^\\x20\\x09-\\x0D]+; a null or empty text has none and fails the base rules. cleaned_text keeps the lines
     that don't fail, as they are; kept is false if base_failed or if more than max_lost of the words go with lines.
-    Columns of docs with one of these names are replaced; rows that repeat are judged alike.
+    Columns of docs with one of these names are replaced, others handed on; rows that repeat are judged alike; an empty
+    table gives an empty result. Whole texts are read: a text's words are arrays of one row, in one executor's memory.
     """
     k = rules.window
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
