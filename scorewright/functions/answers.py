@@ -280,13 +280,14 @@ CUSHION_PATTERNS = ("([{0}]):", "([{0}])")
 def first_option(text: Column, options: str = "ABCD", cushion: bool = True) -> Column:
     """The option within what the first pattern finds that holds any, in the patterns' order; of several the first of the
     options. Empty if none. With the cushion any letter counts."""
-    bare = X.stripped(text)
-    found = []
-    for p in (*OPTION_PATTERNS, *(CUSHION_PATTERNS if cushion else ())):
-        group = F.regexp_extract(bare, f"(?sU){p.format(options)}", 1)
-        found.append(F.when(group != "", group).otherwise(F.regexp_extract(bare, f"(?sU){p.format(options)}", 0)))
-    named = F.filter(F.transform(F.array(*found), lambda x: F.coalesce(*[F.when(F.contains(x, F.lit(o)), o) for o in options])), lambda o: o.isNotNull())
-    return F.coalesce(F.try_element_at(named, F.lit(1)), F.lit(""))
+    patterns = [f"(?sU){p.format(options)}" for p in (*OPTION_PATTERNS, *(CUSHION_PATTERNS if cushion else ()))]
+    letter = lambda x: F.coalesce(*[F.when(F.contains(x, F.lit(o)), o) for o in options])
+
+    def first(bare: Column) -> Column:
+        found = F.array(*[F.coalesce(X.empty_null(F.regexp_extract(bare, p, 1)), F.regexp_extract(bare, p, 0)) for p in patterns])
+        return F.coalesce(F.try_element_at(F.array_compact(F.transform(found, letter)), F.lit(1)), F.lit(""))
+
+    return X.bound(X.stripped(text), first)
 
 
 #: Punctuation that Chinese answers are compared without, beside ASCII's. Fixed value.

@@ -1,6 +1,7 @@
 """Whether a record is right, by its dataset: rules over JSON records as columns, in a registry.
 
-A record is a JSON object in a string column. A rule gives 1, 0 or null where the record doesn't tell.
+A record is a JSON object in a string column, which is parsed once into a map of texts that the rules read. A rule gives
+1, 0 or null where the record doesn't tell.
 """
 
 from __future__ import annotations
@@ -25,14 +26,9 @@ EXPLICIT = "swe_bench_verified swe_bench_multilingual swe_bench_pro livecodebenc
 TRUSTED = "osworld_verified ocrbench_v2 terminal_bench omnidocbench_text_edit omnidocbench_tab_edit omnidocbench_tab_teds omnidocbench_formula_edit omnidocbench_formula_cdm omnidocbench_read_order_edit arenahard".split()
 
 
-def fields(record: Column) -> Column:
-    return F.from_json(record, "map<string,string>")
-
-
 def field(record: Column, *names: str) -> Column:
     """The first of the fields that isn't null, as text."""
-    m = fields(record)
-    return F.coalesce(*[F.try_element_at(m, F.lit(n)) for n in names])
+    return F.coalesce(*[F.try_element_at(record, F.lit(n)) for n in names])
 
 
 def first_of_list(value: Column) -> Column:
@@ -46,10 +42,10 @@ def verdict(value: Column) -> Column:
 
 def explicit(record: Column) -> Column:
     """The first verdict field that tells, by its name and then by its name in any case."""
-    m = fields(record)
-    any_case = F.filter(F.map_entries(m), lambda e: F.lower(e["key"]).isin(*VERDICT_FIELDS))
-    named = lambda n: F.try_element_at(F.filter(any_case, lambda e: F.lower(e["key"]) == n), F.lit(1))["value"]
-    return F.coalesce(*[verdict(F.try_element_at(m, F.lit(n))) for n in VERDICT_FIELDS], *[verdict(named(n)) for n in VERDICT_FIELDS])
+    any_case = F.filter(F.map_entries(record), lambda e: F.lower(e["key"]).isin(*VERDICT_FIELDS))
+    places = F.transform(any_case, lambda e: F.struct(F.array_position(F.array(*map(F.lit, VERDICT_FIELDS)), F.lower(e["key"])).alias("place"), verdict(e["value"]).alias("flag")))
+    known = F.array_sort(F.filter(places, lambda x: x["flag"].isNotNull()))
+    return F.coalesce(*[verdict(F.try_element_at(record, F.lit(n))) for n in VERDICT_FIELDS], F.try_element_at(known, F.lit(1))["flag"])
 
 
 def trusted(record: Column) -> Column:
@@ -87,10 +83,9 @@ def names_answer(record: Column) -> Column:
 @RULES.add("simplevqa")
 def judged(record: Column) -> Column:
     """An explicit verdict, else the judge's own words."""
-    m = fields(record)
-    said = F.try_element_at(m, F.lit("judge_res"))
+    said = field(record, "judge_res")
     inner = F.coalesce(F.get_json_object(said, "$.model_response"), first_of_list(said))
-    return F.coalesce(explicit(record), A.judge_flag(inner), A.judge_flag(F.try_element_at(m, F.lit("judge_res.model_response"))))
+    return F.coalesce(explicit(record), A.judge_flag(inner), A.judge_flag(field(record, "judge_res.model_response")))
 
 
 @RULES.add("mathvista")
@@ -133,4 +128,4 @@ def normal_name(dataset: str) -> str:
 def dataset_correctness(record: Column, dataset: str) -> Column:
     """1, 0 or null by the dataset's rule; an unknown dataset raises."""
     name = normal_name(dataset)
-    return RULES["tau2_bench" if name.startswith("tau2_bench") else name](record)
+    return X.bound(F.from_json(record, "map<string,string>"), RULES["tau2_bench" if name.startswith("tau2_bench") else name])

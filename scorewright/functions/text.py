@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +22,11 @@ def correctness(value: Column) -> Column:
     return F.when(low.isin(*TRUE_WORDS), 1).when(low.isin(*FALSE_WORDS), 0).when(number.isNotNull(), (number != 0).cast("int"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def empty_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
