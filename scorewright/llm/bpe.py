@@ -122,7 +122,7 @@ class Learnt(dict):
     """The ids of words as bytes, learnt from `encode` a batch of words at a time; beyond `limit` words all but the
     first `core` go. Added tokens stand for themselves. It only saves time."""
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = 400_000, core: int = 100_000):
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], limit: int = 200_000, core: int = 80_000):
         self.encode, self.limit, self.core = encode, limit, core
 
     def learn(self, words: set) -> None:
