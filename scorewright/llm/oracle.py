@@ -45,3 +45,29 @@ REPEATS = rf"""
     u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM t),
     k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM u ANTI JOIN g USING (doc_id, p) GROUP BY 1)
     SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)"""
+
+EXACT = """
+    WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(x) AS text_sha256 FROM t WINDOW w AS (PARTITION BY x)"""
+
+AUDIT = rf"""
+    WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS.format('text')} AS w FROM documents),
+    f AS (SELECT part, doc_id, len(w) < 200 AS "A", 100 * len(list_distinct(w)) < 50 * len(w) AS "B", 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS "C",
+        regexp_matches(text, '[#$%&*|]') AS "D", doc_id > min(doc_id) OVER (PARTITION BY text) AS "E" FROM t),
+    d AS (SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad, concat(CASE WHEN "A" THEN 'A' END, CASE WHEN "B" THEN 'B' END, CASE WHEN "C" THEN 'C' END, CASE WHEN "D" THEN 'D' END, CASE WHEN "E" THEN 'E' END) AS fails
+        FROM f LEFT JOIN labels USING (doc_id)),
+    g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS toxic FROM d GROUP BY ALL),
+    o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || c FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE NOT contains(filter_order, c)),
+    s AS (SELECT filter_order, i::INTEGER AS step, filter_order[i] AS filter, filter_order[1:i - 1] AS earlier FROM o, range(1, 6) r(i) WHERE length(filter_order) = 5),
+    x AS (SELECT *, contains(fails, filter) AS hit, length(translate(fails, earlier, '')) < length(fails) AS gone FROM g, s),
+    m AS (SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fails = filter), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
+    SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM m"""
+
+FILL_IN_MIDDLE = """
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS x FROM documents),
+    h AS (SELECT *, ('0x' || x[1:8])::BIGINT % (n + 1) AS a, ('0x' || x[9:16])::BIGINT % (n + 1) AS b, ('0x' || x[17:24])::BIGINT % 100 AS c, ('0x' || x[25:32])::BIGINT % 100 AS d FROM t),
+    f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form,
+        substr(text, 1, least(a, b)) AS p, substr(text, least(a, b) + 1, abs(a - b)) AS m, substr(text, greatest(a, b) + 1) AS s FROM h)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(a - b) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM f"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import bpe, neardup, oracle, packing, quality, simhash, substring, tokencount, tokenfile, toxicity, warc
+from scorewright.llm import audit, bpe, exact, fim, neardup, oracle, packing, quality, simhash, substring, tokencount, tokenfile, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.drop("filter")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = fim.restore(fim.transform(_table(spark, sf_dir, "documents"), plain=10, spm=20, seed=1))
+    return both.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -80,6 +94,9 @@ QUERIES: dict[str, Query] = {
         op8_embedding_near_dedup,
         op9_substring_dedup,
         op10_toxicity,
+        op11_exact_dedup,
+        op12_filter_audit,
+        op13_fill_in_middle,
     )
 }
 #: The others rest on a hash, a tokenizer, packing or learnt weights that SQL lacks; tests compare them with brute force.
@@ -88,4 +105,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_line_first_quality": oracle.QUALITY,
     "op8_embedding_near_dedup": oracle.NEAR_DUPLICATES,
     "op9_substring_dedup": oracle.REPEATS,
+    "op11_exact_dedup": oracle.EXACT,
+    "op12_filter_audit": oracle.AUDIT,
+    "op13_fill_in_middle": oracle.FILL_IN_MIDDLE,
 }
