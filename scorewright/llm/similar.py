@@ -5,9 +5,9 @@ of nodes: SimHash fingerprints within `radius` bits, and bands of MinHash values
 too many bits apart to be found by blocks of a 64-bit fingerprint. Every proposed pair is checked exactly; nothing is
 linked on a fingerprint or a band alone. A pair of similarity s shares a band with probability 1 - (1 - s**5)**24, which
 is 0.99993 at 0.8 and more above. A band's members are checked against its hub, the member that most other members of
-all its bands meet, and then against each other where that left them in different components, unless their shingles
-rule a link out: an overlap is at most the number of a text's shingles that occur in some other component's text.
-So a large group of near copies costs a star and the few pairs that may still be similar, not all of its pairs.
+all its bands meet. Members that this leaves in different components meet again only at rare shingles, by a prefix
+filter that misses no similar pair, whether it shares a band or not, and places and bitmaps rule most of those out. So a
+large group of near copies costs a star and the pairs that are nearly similar, not all of its pairs.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.llm import simhash
 from scorewright.llm.shared import components, prepare, workspace, written
 
 BANDS, ROWS = 24, 5
+#: Words of 64 bits in a bitmap of shingles.
+_WORDS = 8
 _RNG = np.random.default_rng(42)
 _XOR = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
 _ODD = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
@@ -77,6 +79,36 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
 
 
+def sharing_rare(rows: DataFrame, similarity: float, ws: str) -> DataFrame:
+    """(a, b): pairs of rows (node, n, component, shingles) of different components, all of those with `similarity` among
+    them; n is the number of shingles.
+
+    What two components share are shingles that more than one component has. A similar pair shares at least
+    ceil(similarity * n) of a node's, so that in any order of them all it also shares one of the node's first
+    `most` - ceil(similarity * n) + 1, `most` being how many the node has; nodes with fewer have no pair. Rare ones come
+    first. Of the pairs that meet at one, those go that the places of it or the bitmaps rule out: a bit of one node that
+    the other lacks stands for a shingle at least that they don't share.
+    """
+    parts = rows.select("node", "n", "component", F.explode("shingles").alias("shingle"))
+    common = parts.groupBy("shingle").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", "k")
+    shared = written(parts.join(common, "shingle"), ws, "common")
+    word, bit = F.shiftright("shingle", 6).bitwiseAND(_WORDS - 1), F.expr("shiftleft(1L, cast(shingle & 63 AS int))")
+    maps = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(_WORDS)]
+    need = F.ceil(similarity * F.col("n") - 1e-9)
+    able = shared.groupBy("node").agg(F.count("*").alias("most"), F.first("n").alias("m"), *maps).where(F.col("most") >= F.ceil(similarity * F.col("m") - 1e-9)).drop("m")
+    ranked = shared.select("node", "n", "component", "shingle", F.row_number().over(Window.partitionBy("node").orderBy("k", "shingle")).alias("at"))
+    first = written(ranked.join(able, "node").where(F.col("at") <= F.col("most") - need + 1), ws, "rare")
+    x, y = first.alias("x"), first.alias("y")
+    of = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
+    overlap = F.ceil(similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+    sizes = F.least(*of("n")) >= similarity * F.greatest(*of("n")) - 1e-9
+    places = F.least(*of("at")) + F.least(F.col("x.most") - F.col("x.at"), F.col("y.most") - F.col("y.at")) >= overlap
+    lacks = lambda p, q: sum(F.bit_count(F.col(f"{p}.w{k}").bitwiseAND(F.bitwise_not(F.col(f"{q}.w{k}")))) for k in range(_WORDS))
+    maps = F.least(F.col("x.most") - lacks("x", "y"), F.col("y.most") - lacks("y", "x")) >= overlap
+    return x.join(y, met & sizes & places & maps).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def similar_pairs(docs: DataFrame, words: int, radius: int, similarity: float, ws: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, links): nodes (node, doc_id: the smallest with these shingles), links (a, b) of at least `similarity`."""
     found = written(sketches(docs, words), ws, "sketches")
@@ -114,15 +146,8 @@ def similar_pairs(docs: DataFrame, words: int, radius: int, similarity: float, w
     labels = components(links, ws)
     at = members.join(labels, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = at.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    at = written(at.join(mixed, "band", "left_semi"), ws, "mixed")
-    parts = sets.join(at.select("node", "component").distinct(), "node").select("node", "component", F.explode("shingles").alias("shingle"))
-    common = parts.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    most = parts.join(common, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("most"))
-    at = at.join(most, "node")  # texts that share nothing with another component link with none
-    other = at.select("band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("most").alias("also"))
-    both = F.least("most", "also")
-    may = both >= similarity * (F.col("n") + F.col("m") - both) - 1e-9
-    rest = at.withColumnRenamed("node", "a").join(other, "band").where("a < b and component <> other").where(fits(F.col("n"), F.col("m")) & may).select("a", "b").distinct()
+    at = written(at.join(mixed, "band", "left_semi").select("node", "n", "component").distinct(), ws, "mixed")
+    rest = sharing_rare(at.join(sets, "node"), similarity, ws)
     more = written(checked(rest.join(tried, ["a", "b"], "left_anti")), ws, "links")
     return nodes.select("node", "doc_id"), links.unionByName(more)
 

@@ -55,3 +55,26 @@ def test_stage_against_all_pairs(spark):
 def test_stage_on_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 0
+
+
+def test_rare_shingles_find_every_similar_pair(spark):
+    """Of sets in components of their own, all pairs of 0.8 or more are among those proposed, and few others."""
+    from pyspark.sql import functions as F
+
+    from scorewright.llm import shared, similar
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(1 << 62), 1 << 62, (6, 60))
+    sets = []
+    for k in range(240):
+        own = base[k % 6].copy()
+        edits = rng.choice(60, int(rng.integers(0, 16)), replace=False)
+        own[edits] = rng.integers(-(1 << 62), 1 << 62, len(edits))
+        sets.append(set(map(int, own[: int(rng.integers(50, 61))])))
+    sets += [{1}, {1, 2}, {3}, set(range(9)), set(range(10))]
+    rows = spark.createDataFrame([(i, len(x), i % 97, sorted(x)) for i, x in enumerate(sets)], "node long, n long, component long, shingles array<long>")
+    shared.prepare(spark)
+    found = {tuple(r) for r in similar.sharing_rare(rows, 0.8, shared.workspace(spark)).collect()}
+    want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and i % 97 != j % 97 and len(x & y) >= 0.8 * len(x | y)}
+    assert len(want) > 100 and want <= found and len(found) < 3 * len(want)
+    assert similar.sharing_rare(rows.where(F.lit(False)), 0.8, shared.workspace(spark)).count() == 0
