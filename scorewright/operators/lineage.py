@@ -19,4 +19,7 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = os.path.join(tempfile.gettempdir(), "scorewright-checkpoints")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    kept = df.persist()  # else the plan would run once for the rows and once for the checkpoint
+    out = kept.checkpoint()
+    kept.unpersist()
+    return out
