@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.llm.shared import prepare, published, texts_of, workspace, written
+from scorewright.llm.shared import lean, prepare, published, texts_of, workspace, written
 
 def fullest(room: int, counts: dict[int, int]) -> list[tuple[int, int]]:
     """The (length, times) of the lengths' fullest combination within room; longer ones are tried first."""
@@ -80,7 +80,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = published(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        for b in it:
+        for b in lean(it):
             rows: list[tuple] = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), texts_of(b, "text")):
                 ids = tok.ids(text).astype("<u4").tobytes() + end

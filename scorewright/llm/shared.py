@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import itertools
 import json
 import os
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of one Arrow batch sent to Python: bounds a worker's memory whatever the partition's size.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 _shipped: set[str] = set()
+#: Of glibc; other C libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -77,6 +80,16 @@ def written(df: DataFrame, ws: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with what each left free handed back to the system: idle workers otherwise hold on to their peak."""
+    for b in it:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+        if _TRIM is not None:
+            _TRIM(0)
+
+
 def batches(columns: dict[str, object], schema: pa.Schema, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """Record batches of at most `rows` rows from whole columns."""
     arrays = [pa.array(columns[f.name], type=f.type) for f in schema]

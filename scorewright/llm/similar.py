@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.llm import simhash
-from scorewright.llm.shared import components, prepare, workspace, written
+from scorewright.llm.shared import components, lean, prepare, workspace, written
 
 BANDS, ROWS = 24, 5
 #: Words of 64 bits in a bitmap of shingles.
@@ -51,7 +51,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, node, fp, n, bands) of every row with a doc_id; n is the number of different shingles."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in lean(it):
             node, fp, n, keys = [], [], [], []
             for text in b.column(1).to_pylist():
                 h = simhash.shingle_hashes(text, words)
@@ -71,7 +71,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(node, shingles) of every row of docs (text)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in lean(it):
             own = [np.unique(simhash.shingle_hashes(t, words)) for t in b.column(0).to_pylist()]
             node = np.array([node_of(x) for x in own], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], schema=_SET)
