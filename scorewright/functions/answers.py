@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorewright.functions import similarity
 from scorewright.functions import text as X
 
 #: What a grade-school solution puts before its answer, and the cut of a run-on prediction. Fixed values.
@@ -141,11 +142,16 @@ def scaled_box(box: Column, width: Column, height: Column) -> Column:
 
 
 def code_similarity(prediction: Column, reference: Column) -> Column:
-    """One minus the edit distance over the longer length of the first line of code and the reference."""
+    """How alike the first line of code and the reference are, in hundredths: twice their longest common subsequence over
+    the sum of their lengths; both empty are alike, and one of them alone isn't."""
     lines = F.filter(F.split(F.ltrim(prediction, F.lit("\n")), "\n"), lambda x: ~F.contains(x, F.lit("`")) & ~F.contains(x, F.lit("#")) & ~F.contains(x, F.lit("//")))
-    line = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
-    longer = F.greatest(F.length(line), F.length(reference))
-    return F.when(longer > 0, 1.0 - F.levenshtein(line, reference) / longer).otherwise(1.0)
+    return F.rint(100 * similarity.indel_ratio(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit("")), reference)) / 100
+
+
+def best_code_similarity(prediction: Column, references: Column, most: int = 8) -> Column:
+    """The best of the first `most` references; 0 without any."""
+    each = [F.coalesce(code_similarity(prediction, F.try_element_at(references, F.lit(k + 1))), F.lit(0.0)) for k in range(most)]
+    return F.greatest(*each)
 
 
 def count_share(prediction: Column, reference: Column) -> Column:
@@ -160,10 +166,20 @@ def retrieval_share(prediction: Column, reference: Column, mark: str = "Paragrap
 
 
 def class_share(prediction: Column, reference: Column, classes: Column) -> Column:
-    """1 over the number of classes that a prediction names if the reference is among them, else 0; a class within the
-    reference's name doesn't count against it."""
-    named = F.filter(classes, lambda c: F.contains(prediction, c) & ~(F.contains(reference, c) & (c != reference)))
-    return F.when(F.array_contains(named, reference), 1.0 / F.size(named)).otherwise(0.0)
+    """1 over the number of classes that a prediction names if the reference is among them, else 0.
+
+    A class within the reference's name doesn't count against it, but the one listed after such a class always stays: the
+    published rule drops from the list that it walks through.
+    """
+    named = F.filter(classes, lambda c: F.contains(prediction, c))
+    start = F.struct(F.filter(named, lambda c: F.lit(False)).alias("kept"), F.lit(False).alias("skip"))
+
+    def walk(state: Column, c: Column) -> Column:
+        drop = ~state["skip"] & F.contains(reference, c) & (c != reference)
+        return F.struct(F.when(drop, state["kept"]).otherwise(F.array_append(state["kept"], c)).alias("kept"), F.coalesce(drop, F.lit(False)).alias("skip"))
+
+    kept = F.aggregate(named, start, walk, lambda state: state["kept"])
+    return F.when(F.array_contains(kept, reference), 1.0 / F.size(kept)).otherwise(0.0)
 
 
 def _latex(text: str) -> str:
@@ -194,23 +210,37 @@ def latex_form(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: None if x is None else _latex(x))
 
 
+#: What stands for no answer, and refusals. Fixed values.
+UNANSWERED = "Failed to obtain answer via API"
+REFUSALS = (
+    "Sorry, I can't help with images of people yet.",
+    "I can't process this file.",
+    "I'm sorry, but without the image provided",
+    "Cannot determine the answer",
+)
+_MARKS = str.maketrans({c: " " for c in ".()[],:;!*#{}"})
+
+
 @F.pandas_udf(T.StringType())
 def option_of(answers: pd.Series, choices: pd.Series) -> pd.Series:
-    """The option that an answer names: its only stand-alone letter, else the only option text within a short answer.
+    """The option that an answer names: its only option letter if that is first met among the last four words, else the
+    only option text within a short answer.
 
-    choices: a map from letters to texts. Null if none or several are named.
+    choices: a map from letters to texts. Z stands for a refusal; null if none or several are named, or without an answer.
     """
 
     def one(answer: str | None, options) -> str | None:
-        if answer is None or options is None:
+        if answer is None or options is None or UNANSWERED in answer:
             return None
+        if any(r in answer for r in REFUSALS):
+            return "Z"
         options = dict(options)
-        words = re.sub(r"[.()\[\],:;!*#{}]", " ", answer).split()
-        letters = {k for k in options if k in words}
-        if "A" in letters and len(words) > 8 and words.count("A") == 1 and len(letters) == 1:
-            letters = set()  # an article rather than an option
-        if len(letters) == 1:
-            return letters.pop()
+        words = answer.translate(_MARKS).split()
+        said = [k for k in options if k in words]
+        if len(said) == 1 and words.index(said[0]) > len(words) - 5:
+            return said[0]
+        if not said and "Z" in words:
+            return "Z"
         low = answer.lower()
         if len(low) > 2 * sum(len(str(v)) for v in options.values()):
             return None

@@ -15,11 +15,13 @@ TRUE_WORDS = ("true", "1", "yes", "y", "success", "correct")
 FALSE_WORDS = ("false", "0", "no", "n", "fail", "failed", "incorrect")
 
 
-def correctness(value: Column) -> Column:
-    """1, 0 or null of a string that says whether an answer is right; numbers count by whether they are 0."""
-    low = F.lower(F.trim(value))
+def correctness(value: Column, numbers: bool = False) -> Column:
+    """1, 0 or null of a string that says in words whether an answer is right; with `numbers` also one that is a number,
+    by whether it is 0."""
+    low = F.lower(stripped(value))
+    told = F.when(low.isin(*TRUE_WORDS), 1).when(low.isin(*FALSE_WORDS), 0)
     number = low.try_cast("double")
-    return F.when(low.isin(*TRUE_WORDS), 1).when(low.isin(*FALSE_WORDS), 0).when(number.isNotNull(), (number != 0).cast("int"))
+    return told.when(number.isNotNull(), (number != 0).cast("int")) if numbers else told
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

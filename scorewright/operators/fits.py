@@ -81,6 +81,12 @@ def fit_multidim(responses: DataFrame, dims: int = 5, rounds: int = 40, toleranc
     return items.select("item", F.slice("w", 1, dims).alias("slope"), F.col("w")[dims].alias("difficulty")), models.select("model", "theta")
 
 
+def fit_2pl(responses: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+    """`fit_multidim` of one dimension as plain columns: items (item, slope, difficulty), models (model, theta)."""
+    items, models = fit_multidim(responses, 1, rounds)
+    return items.select("item", F.col("slope")[0].alias("slope"), "difficulty"), models.select("model", F.col("theta")[0].alias("theta"))
+
+
 #: Parameters that each kind of item has: slope, difficulty, logit of the lower and of the upper limit; prior means and
 #: precisions; and the values of those that a kind lacks.
 KINDS = {"1pl": (1,), "2pl": (0, 1), "3pl": (0, 1, 2), "4pl": (0, 1, 3)}

@@ -7,8 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.operators.lineage import cut
-
 #: Clip of the exponent of an item curve.
 CLIP = 30.0
 
@@ -65,62 +63,6 @@ def difficulty_threshold(share: Column, ability: Column) -> Column:
     return F.log(1 / share - 1) + ability
 
 
-def _solve(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray, mean: np.ndarray, precision: np.ndarray) -> np.ndarray:
-    """A penalised logistic regression by Newton's method."""
-    b = start.copy()
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -CLIP, CLIP)))
-        grad = x.T @ (w * (p - y)) + precision * (b - mean)
-        hess = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(precision)
-        step = np.linalg.solve(hess, grad)
-        b -= np.clip(step, -1.5, 1.5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return b
-
-
-def fit_2pl(responses: DataFrame, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Two-parameter logistic model by alternating maximum a posteriori fits: (items, subjects).
-
-    responses: (item, model, score in [0, 1]). Items are fitted in parallel given abilities and abilities given items;
-    between rounds abilities are standardised in one aggregate, which fixes the scale. Rounds join by item and model, so no
-    group holds more than an item's or a model's responses; each round is checkpointed.
-    """
-    data = responses.where("score is not null").groupBy("item", "model").agg(F.avg("score").alias("score"))
-    data = cut(data)
-    mean = data.groupBy("model").agg(F.avg("score").alias("p"))
-    squeezed = F.least(F.greatest("p", F.lit(0.02)), F.lit(0.98))
-    theta = _standard(mean.select("model", F.log(squeezed / (1 - squeezed)).alias("theta")))
-
-    def item_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([pdf.theta.to_numpy(float), -np.ones(len(pdf))])
-        a, b = _solve(x, pdf.score.to_numpy(float), np.ones(len(pdf)), np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.array([1.0, 0.25]))
-        return pd.DataFrame({"item": [pdf["item"].iloc[0]], "slope": [a], "difficulty": [b]})
-
-    def model_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf.slope.to_numpy(float), pdf.difficulty.to_numpy(float)
-        t = 0.0
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(a * t - b, -CLIP, CLIP)))
-            step = (np.sum(a * (p - pdf.score.to_numpy(float))) + t) / (np.sum(a * a * p * (1 - p)) + 1)
-            t -= float(np.clip(step, -1.5, 1.5))
-            if abs(step) < 1e-9:
-                break
-        return pd.DataFrame({"model": [pdf["model"].iloc[0]], "theta": [t]})
-
-    kinds = dict(data.dtypes)
-    items = None
-    for _ in range(rounds):
-        items = cut(data.join(theta, "model").groupBy("item").applyInPandas(item_fit, f"item {kinds['item']}, slope double, difficulty double"))
-        theta = cut(_standard(data.join(items, "item").groupBy("model").applyInPandas(model_fit, f"model {kinds['model']}, theta double")))
-    return items, theta
-
-
-def _standard(theta: DataFrame) -> DataFrame:
-    s = theta.agg(F.avg("theta").alias("m"), F.stddev_pop("theta").alias("d"))
-    return theta.crossJoin(F.broadcast(s)).select("model", ((F.col("theta") - F.col("m")) / F.when(F.col("d") > 0, F.col("d")).otherwise(1.0)).alias("theta"))
-
-
 def kmeans_anchors(items: DataFrame, task: str, item: str, features: list[str], share: float, seed: int = 42, starts: int = 10) -> DataFrame:
     """(task, item, weight): the item nearest to each of share*n centroids of a task's items, weighted by its cluster.
 

@@ -14,7 +14,7 @@ from scorewright.functions import instructions
 from scorewright.functions import text as T
 from scorewright.operators import aggregates as A
 from scorewright.operators import benchmarks as B
-from scorewright.operators import ensembles, irt, overlap, ranking, ratings, retrieval, sampling
+from scorewright.operators import ensembles, fits, irt, overlap, ranking, ratings, retrieval, sampling
 from scorewright.sources import converters, records
 from scorewright.streaming import windows
 
@@ -393,7 +393,7 @@ def elo_online(spark, d):
 @query()
 def irt_2pl_fit(spark, d):
     rows = table(spark, d, "events").select(F.col("event_type").alias("item"), F.col("user_id").alias("model"), (F.col("value") >= 50).cast("double").alias("score"))
-    return irt.fit_2pl(rows, rounds=4)[0]
+    return fits.fit_2pl(rows, rounds=4)[0]
 
 
 @query()
@@ -888,4 +888,4 @@ def judged_games_filled(spark, d):
     return converters.fill_missing(scores, table(spark, d, "customer").select("c_custkey"), "c_custkey").withColumn("score", r6("score"))
 
 
-from scorewright.plans import extended  # noqa: E402,F401  registers its queries, too
+from scorewright.plans import extended, fitted  # noqa: E402,F401  register their queries, too

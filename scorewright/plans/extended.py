@@ -152,7 +152,7 @@ def record_answers(spark, d):
     simple = F.when(n % 3 == 0, _record(prediction=F.lit("(A) yes"))).when(n % 3 == 1, _record(prediction=F.lit("b"))).otherwise(_record(prediction=F.lit("none of these")))
     judged = F.when(n % 2 == 0, _record(judge_res=F.struct(F.lit("正确").alias("model_response")))).otherwise(_record(judge_res=F.lit("未尝试")))
     rule = correctness.dataset_correctness
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rule(record, "MathVista").alias("hit"), rule(simple, "simpleqa").alias("simple"), rule(judged, "simplevqa").alias("judged"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rule(record, "MathVista_mini").alias("hit"), rule(simple, "simpleqa").alias("simple"), rule(judged, "simplevqa").alias("judged"))
 
 
 @query("""

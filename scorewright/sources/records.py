@@ -27,7 +27,7 @@ def _verdict(json) -> F.Column:
     """A verdict may be a list, of which the first element counts, or a map's bare value."""
     value = _first(json, VERDICT_KEYS)
     head = F.coalesce(F.get_json_object(value, "$[0]"), value)
-    return correctness(F.regexp_replace(head, '^"|"$', ""))
+    return F.when(F.ltrim(head).startswith('"'), correctness(F.regexp_replace(head, '^"|"$', ""))).otherwise(correctness(head, numbers=True))
 
 
 def read_models(spark: SparkSession, root: str, dataset: str) -> DataFrame:
@@ -40,7 +40,7 @@ def read_models(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     rows = files.select("model", body.alias("body")).withColumn("is_list", F.ltrim("body").startswith("["))
     of_map = rows.where("not is_list").select("model", F.explode(F.from_json("body", "map<string,string>")).alias("item", "record"))
     of_map = of_map.where(~F.lower("item").isin(*META_KEYS))
-    verdict = F.when(F.ltrim("record").startswith("{"), _verdict(F.col("record"))).otherwise(correctness(F.col("record")))
+    verdict = F.when(F.ltrim("record").startswith("{"), _verdict(F.col("record"))).otherwise(correctness(F.col("record"), numbers=True))
     of_map = of_map.select("model", "item", verdict.cast("double").alias("score"))
     of_list = rows.where("is_list").select("model", F.posexplode(F.from_json("body", "array<string>")).alias("pos", "record"))
     of_list = of_list.select("model", F.coalesce(_id(F.col("record")), F.col("pos").cast("string")).alias("item"), _verdict(F.col("record")).cast("double").alias("score"))

@@ -58,9 +58,9 @@ def test_rules(spark):
     assert one('{"correct": true}', "tau2_bench_airline") == 1
     assert one('{"predictions": ["so 2.001"], "gold": "2"}', "scibench") == 1 and one('{"prediction": "Paris."  , "answer": "paris"}', "scibench") == 1
     assert one('{"judge_res": {"model_response": "未尝试"}}', "simplevqa") == 0 and one('{"judge_res.model_response": "正确"}', "simplevqa") == 1
-    assert one('{"question_type": "multi_choice", "res": "x", "answer_option": "A"}', "mathvista") == 0
-    assert one('{"answer_type": "integer", "res": "-2.7", "answer": "-2"}', "mathvista") == 1
-    assert one('{"prediction": ["(b)"], "answer": "B"}', "multiple_choice") == 1 and one('{"pred": "?"}', "simpleqa") == 0
+    assert one('{"question_type": "multi_choice", "res": "x", "answer_option": "A"}', "mathvista_mini") == 0
+    assert one('{"answer_type": "integer", "res": "-2.7", "answer": "-2"}', "mathvista_mini") == 1
+    assert one('{"prediction": ["(b)"], "reference": "B"}', "openbookqa") == 1 and one('{"pred": "?"}', "simpleqa") == 0
     with pytest.raises(KeyError):
         one("{}", "no such set")
 
