@@ -5,6 +5,7 @@ Models are suppliers, items are parts, a line's score is 1 unless it was returne
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from scorewright.functions import text as T
 from scorewright.operators import aggregates as A
 from scorewright.operators import benchmarks as B
 from scorewright.operators import ensembles, fits, irt, overlap, ranking, ratings, retrieval, sampling
+from scorewright.shipping import ship
 from scorewright.sources import converters, records
 from scorewright.streaming import windows
 
@@ -23,11 +25,22 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def shipped(f: Query) -> Query:
+    """f, for which executors get this package first."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        ship(spark)
+        return f(spark, d)
+
+    return run
+
+
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
         if f.__name__ in QUERIES:
             raise ValueError(f"two queries are called {f.__name__}")
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = shipped(f)
         if sql:
             SQL[f.__name__] = sql
         return f

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.functions import answers, similarity
-from scorewright.operators import breakdowns, fits, irt
+from scorewright.operators import breakdowns, fits, irt, steps
 from scorewright.plans.catalogue import query, table
 
 
@@ -100,3 +100,22 @@ def table_similarity(spark, d):
     tables = rows.select("l_orderkey", F.concat(F.lit("<table>"), F.concat_ws("", F.col("rows.row")), F.lit("</table>")).alias("html"))
     after = tables.select((F.col("l_orderkey") - 1).alias("l_orderkey"), F.col("html").alias("next"))
     return tables.join(after, "l_orderkey").select("l_orderkey", F.round(similarity.teds()("next", "html"), 6).alias("teds"), F.round(similarity.teds(True)("next", "html"), 6).alias("teds_structure"))
+
+
+@query("""
+    WITH r AS (SELECT o_custkey AS c, o_orderkey AS p, o_orderstatus = 'F' AS whole, l_linenumber AS step, l_tax < 0.06 AS hit FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+    s AS (SELECT p, whole, step, min(hit::INTEGER) AS hit FROM r GROUP BY ALL),
+    g AS (SELECT p, any_value(whole) AS whole, max(step) AS steps, count(*) AS n, min(step) AS first, max(hit) = 1 AS held, min(hit) = 0 AS failed FROM s GROUP BY p),
+    f AS (SELECT *, n = steps AND NOT failed AS all_right, n = steps AND NOT held AS all_wrong FROM g WHERE first = 1),
+    a AS (SELECT count(*) AS n, count(*) FILTER (NOT whole AND failed) AS insufficient, count(*) FILTER (NOT whole AND all_right) AS inadequate, count(*) FILTER (whole AND all_right) AS mastery_strict,
+        count(*) FILTER (whole AND held) AS mastery_loose, count(*) FILTER (whole AND failed) AS rote_strict, count(*) FILTER (whole AND all_wrong) AS rote_loose FROM f)
+    SELECT *, round(CASE WHEN mastery_strict + rote_strict > 0 THEN rote_strict / (mastery_strict + rote_strict) ELSE 0 END, 6) AS rote_rate_strict, round((n - 0.5 * inadequate - rote_strict - insufficient) / n, 6) AS score_strict,
+        round(CASE WHEN mastery_loose + rote_loose > 0 THEN rote_loose / (mastery_loose + rote_loose) ELSE 0 END, 6) AS rote_rate_loose, round((n - 0.5 * inadequate - rote_loose - insufficient) / n, 6) AS score_loose FROM a""")
+def knowledge_steps(spark, d):
+    """Orders as problems whose lines are steps: chains of unequal length, the order's status as the whole."""
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("problem"), F.col("l_linenumber").cast("int").alias("step"), (F.col("l_tax") < 0.06).alias("hit"))
+    whole = table(spark, d, "orders").select(F.col("o_orderkey").alias("problem"), F.lit(None).cast("int").alias("step"), (F.col("o_orderstatus") == "F").alias("hit"))
+    length = line.groupBy("problem").agg(F.max("step").alias("steps"))
+    rows = line.unionByName(whole).join(length, "problem")
+    out = steps.knowledge_classes(steps.step_outcomes(rows, "problem", "steps", "step", "hit"))
+    return out.select(*[F.round(c, 6).alias(c) if c.startswith(("rote_rate", "score")) else c for c in out.columns])

@@ -62,7 +62,8 @@ def subset_faults(subset: DataFrame, universe: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """A table by its suffix: csv and tsv (cells stay strings, quotes may span lines), json, jsonl or parquet."""
+    """A table by its suffix: csv and tsv (cells stay strings, quotes may span lines), json, jsonl, parquet or xlsx
+    (the active sheet)."""
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1]
     if kind in ("csv", "tsv"):
         return spark.read.csv(path, sep="\t" if kind == "tsv" else ",", header=True, multiLine=True, escape='"')
@@ -72,6 +73,10 @@ def read_table(spark: SparkSession, path: str, kind: str | None = None) -> DataF
         return spark.read.json(path, multiLine=True)
     if kind == "parquet":
         return spark.read.parquet(path)
+    if kind == "xlsx":
+        from scorewright.sources.workbooks import read_xlsx
+
+        return read_xlsx(spark, path)
     raise ValueError(f"no reader for {path}")
 
 
