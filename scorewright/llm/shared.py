@@ -13,19 +13,18 @@ import re
 import tempfile
 import unicodedata
 import uuid
-import zipfile
 from array import array
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorewright.shipping import ship
+
 #: Rows and bytes of one Arrow batch sent to Python: bounds a worker's memory whatever the partition's size.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
-_shipped: set[str] = set()
 #: Of glibc; other C libraries have none.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -34,17 +33,7 @@ def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches and let executors import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="scorewright")
-    archive = Path(folder) / "scorewright.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(archive.resolve()))
+    ship(spark)
 
 
 def workspace(spark: SparkSession) -> str:
