@@ -1,7 +1,7 @@
 """Results of agent harnesses, from their files and folders, as (task_id, score, errored).
 
 A score is the mean over a task's trials; a task of which no trial has a score is errored, with a null score. Files that
-aren't what the harness writes raise when the rows are read.
+aren't what the harness writes raise when the rows are read, but for files of no bytes, which Spark's readers pass over.
 """
 
 from __future__ import annotations
