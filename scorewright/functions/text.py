@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorewright.functions.similarity import lcs_length
+
 #: Spellings of yes and no that records use. Fixed values.
 TRUE_WORDS = ("true", "1", "yes", "y", "success", "correct")
 FALSE_WORDS = ("false", "0", "no", "n", "fail", "failed", "incorrect")
@@ -223,12 +225,7 @@ def rouge_l(prediction: pd.Series, reference: pd.Series) -> pd.Series:
 
     def one(p: str | None, r: str | None) -> float:
         a, b = (p or "").split(), (r or "").split()
-        row = [0] * (len(b) + 1)
-        for x in a:
-            last = 0
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], (last + 1 if x == y else max(row[j], row[j - 1]))
-        return 2.0 * row[-1] / (len(a) + len(b)) if row[-1] else 0.0
+        return 2.0 * lcs_length(a, b) / (len(a) + len(b)) if a and b else 0.0
 
     return pd.Series([one(p, r) for p, r in zip(prediction, reference)])
 

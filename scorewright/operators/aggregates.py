@@ -137,16 +137,33 @@ def fit_thresholds(rows: DataFrame, task: str, model: str, score: str, start: fl
     """(task, threshold, loss): the cut that brings each model's share of scores strictly above it closest to its
     mean score, on average over models; the first of equal ones.
 
-    Scores are first counted by the grid step they exceed, so rows aren't multiplied by the grid.
+    Scores are counted by how many cuts they exceed. A running sum over a model's counts, from the highest, is the number
+    above every cut down to the next count, so that each model has one row a cut.
     """
     step = (end - start) / (num - 1)
     grid = [start + step * k for k in range(num)]
     cuts = F.array(*[F.lit(x) for x in grid])
-    above = F.size(F.filter(cuts, lambda c: F.col(score) > c))
-    counts = rows.groupBy(task, model, above.alias("above")).agg(F.count("*").alias("n"), F.sum(score).alias("s"))
-    # a score above k cuts is above the first k, since the grid ascends
-    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("threshold")) for k, x in enumerate(grid)])
-    each = counts.withColumn("c", F.explode(steps)).groupBy(task, model, "c.k", "c.threshold").agg(F.sum(F.when(F.col("above") > F.col("c.k"), F.col("n")).otherwise(0)).alias("over"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    guess = F.least(F.greatest(F.floor((F.col(score) - start) / step) - 1, F.lit(0)), F.lit(num)).cast("int")
+    # the cuts below the guess are exceeded; rounding can be off by one, so three more are compared
+    more = [F.coalesce((F.col(score) > F.try_element_at(cuts, F.col("__g") + i)).cast("int"), F.lit(0)) for i in (1, 2, 3, 4)]
+    counts = rows.withColumn("__g", guess).groupBy(task, model, (F.col("__g") + sum(more)).alias("above")).agg(F.count("*").alias("n"), F.sum(score).alias("s"))
+    down, whole = Window.partitionBy(task, model).orderBy(F.desc("above")), Window.partitionBy(task, model)
+    runs = counts.select(
+        task,
+        "above",
+        F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("over"),
+        F.lead("above", 1, 0).over(down).alias("low"),
+        F.lag("above").over(down).isNull().alias("top"),
+        F.sum("n").over(whole).alias("n"),
+        F.sum("s").over(whole).alias("s"),
+    )
+
+    def cut_rows(on: Column, low: Column, high: Column, over: Column) -> Column:
+        return F.when(on, F.transform(F.sequence(low, high), lambda k: F.struct(k.alias("k"), over.cast("long").alias("over")))).otherwise(F.array().cast("array<struct<k:int,over:bigint>>"))
+
+    above_all = cut_rows(F.col("top") & (F.col("above") < num), F.least("above", F.lit(num - 1)), F.lit(num - 1), F.lit(0))
+    own = cut_rows(F.col("above") > F.col("low"), F.col("low"), F.greatest(F.col("above") - 1, F.col("low")), F.col("over"))
+    each = runs.select(task, "n", "s", F.explode(F.concat(above_all, own)).alias("c")).select(task, "n", "s", "c.k", "c.over", F.element_at(cuts, F.col("c.k") + 1).alias("threshold"))
     loss = each.groupBy(task, "k", "threshold").agg(F.avg(F.abs(F.col("over") / F.col("n") - F.col("s") / F.col("n"))).alias("loss"))
     best = loss.groupBy(task).agg(F.min_by(F.struct("k", "threshold", "loss"), F.struct(F.round("loss", 12), "k")).alias("b"))
     return best.select(task, "b.threshold", "b.loss")

@@ -168,3 +168,15 @@ def test_empty_tables(spark):
     assert A.group_breakdown(none, "k", "s", "w").count() == 0
     assert A.macro_micro(none, "k", "s", "w").first().macro is None
     assert ranking.merge_intervals(none, "k", "s", "w").count() == 0
+
+
+def test_thresholds_against_every_cut(spark):
+    rng = np.random.default_rng(3)
+    grid = [0.01 + 0.98 / 99 * k for k in range(100)]
+    rows = [(f"t{i % 3}", f"m{i % 7}", float(rng.choice([0.0, 1.0, -5.0, 7.0, rng.random(), rng.choice(grid)]))) for i in range(500)] + [("low", "m", 0.0), ("high", "m", 1.0), ("none", "m", None)]
+    got = {r.t: (r.threshold, r.loss) for r in A.fit_thresholds(spark.createDataFrame(rows, "t string, m string, x double"), "t", "m", "x").collect()}
+    for t in ("t0", "t1", "t2", "low", "high"):
+        by = {m: np.array([x for u, v, x in rows if (u, v) == (t, m)]) for m in {v for u, v, _ in rows if u == t}}
+        losses = [round(float(np.mean([abs((x > c).mean() - x.mean()) for x in by.values()])), 12) for c in grid]
+        assert got[t] == pytest.approx((grid[int(np.argmin(losses))], min(losses)))
+    assert got["none"][1] is None
