@@ -9,55 +9,116 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries compared with the index at a time: a block's vectors are broadcast, so their size is bounded.
-QUERY_BLOCK = 4096
-#: Queries whose scores against a batch of the index are in memory at a time.
+from scorewright.operators.lineage import cut
+from scorewright.shipping import ship
+
+#: Rows of a block of queries or of the index, on average; a unit compares one block of each.
+BLOCK = 4096
+#: Clusters of the index at most: their centres and radii are all that the driver holds of it.
+CLUSTERS = 256
+#: Queries whose scores against a block of the index are in memory at a time.
 SCORE_ROWS = 256
+#: Documents a salt of a word's postings, on average, and tiers of weight within a salt.
+SALT_DOCS, TIERS = 65_536, 16
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(queries: DataFrame, index: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
+def knn(queries: DataFrame, index: DataFrame, id_col: str, vector: str, k: int, block: int = BLOCK, clusters: int = CLUSTERS) -> DataFrame:
     """(query_id, rank, neighbour_id, score): the k largest inner products of each query, itself left out, ties by id.
 
-    Queries go in blocks of bounded size; each partition of the index keeps its own k for each query before the
-    shuffle, so k rows a query and partition travel.
+    The index falls into at most `clusters` clusters around vectors drawn by a hash of their ids. A query meets its own
+    cluster first; its k-th score there rules out every cluster whose inner products cannot reach it (that with the
+    centre, plus the query's length times the cluster's radius). Queries and index meet in blocks of about `block` rows,
+    however many a cluster has, and each block of queries keeps k rows a query of each block of the index.
+
+    Rows without an id, and vectors that are null or hold a null or non-finite component, are left out on both sides.
     """
-    spark = index.sparkSession
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
-    for block in range(n_blocks):
-        some = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64(id_col), F.lit(n_blocks)) == block)
-        rows = some.select(F.col(id_col).cast("long"), vector).collect()  # at most about QUERY_BLOCK rows
-        ids = np.array([r[0] for r in rows], np.int64)
-        data = np.array([r[1] for r in rows], np.float64)
-        held = spark.sparkContext.broadcast((ids, data))
-
-        def run(it: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            q_ids, q = held.value
-            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # place of the query, neighbour, score
-            for pdf in it:
-                if not len(pdf) or not len(q):
-                    continue
-                own = pdf[id_col].to_numpy()
-                x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                found = [best]
-                for at in range(0, len(q), SCORE_ROWS):
-                    scores = np.round(q[at : at + SCORE_ROWS] @ x.T, 9)
-                    scores[q_ids[at : at + SCORE_ROWS, None] == own] = -np.inf
-                    cut = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.full(len(scores), -np.inf)
-                    i, j = np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))
-                    found.append((at + i, own[j], scores[i, j]))
-                best = _top(*(np.concatenate(c) for c in zip(*found)), k)
-            if len(best[0]):
-                yield pd.DataFrame({"query_id": q_ids[best[0]], "neighbour_id": best[1], "score": best[2]})
-
-        found = index.select(F.col(id_col).cast("long").alias(id_col), vector).mapInPandas(run, "query_id long, neighbour_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "score")
+    ship(index.sparkSession)
+
+    def rows(df: DataFrame) -> DataFrame:
+        x = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        return x.where(F.col("id").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
+
+    asked, held = rows(queries), rows(index)
+    n = max(1, min(clusters, -(-held.count() // block)))
+    centres = np.unique(np.array([r.v for r in held.orderBy(F.xxhash64("id"), "id").limit(n).collect()], np.float64), axis=0)
+    asked, held = _clustered(asked, centres), _clustered(held, centres)
+    sizes = cut(held.groupBy("cluster").agg(F.count("*").alias("n"), F.max("off").alias("radius")))  # at most `clusters` rows
+    near = cut(_nearest(asked, held, sizes, k, block))
+    if len(centres) > 1:
+        radius = np.full(len(centres), -1.0)
+        for r in sizes.collect():
+            radius[r.cluster] = r.radius
+        least = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+        far = asked.join(least, asked["id"] == least["query_id"], "left").select("id", "v", "cluster", "least")
+        far = far.mapInPandas(lambda it: _reachable(it, centres, radius), "id long, v array<double>, cluster int")
+        near = _ranked(near.drop("rank").unionByName(_nearest(far, held, sizes, k, block).drop("rank")), k)
+    return near.select("query_id", "rank", "neighbour_id", "score")
+
+
+def _clustered(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """rows (id, v) with their nearest centre and their distance from it."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy())
+                # einsum, not BLAS: a vector's cluster is the same in whichever batch it is
+                at = ((centres**2).sum(1) - 2 * np.einsum("ij,kj->ik", x, centres)).argmin(1)
+                yield pdf.assign(cluster=at.astype(np.int32), off=np.sqrt(((x - centres[at]) ** 2).sum(1)))
+
+    return rows.mapInPandas(run, "id long, v array<double>, cluster int, off double")
+
+
+def _reachable(it: Iterator[pd.DataFrame], centres: np.ndarray, radius: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A row of each query for each cluster, its own left out, that may hold a score of its `least` or more."""
+    for pdf in it:
+        if len(pdf):
+            q = np.stack(pdf["v"].to_numpy())
+            length = np.sqrt((q**2).sum(1))[:, None]
+            slack = 1e-9 * (1 + length * (np.sqrt((centres**2).sum(1)) + radius)) + 1e-9
+            bound = q @ centres.T + length * radius + slack
+            open_ = (radius >= 0) & ~(bound < pdf["least"].to_numpy(float)[:, None])  # without a least score, any
+            open_[np.arange(len(q)), pdf["cluster"]] = False
+            i, c = np.nonzero(open_)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "v": pdf["v"].to_numpy()[i], "cluster": c.astype(np.int32)})
+
+
+def _nearest(asked: DataFrame, held: DataFrame, sizes: DataFrame, k: int, block: int) -> DataFrame:
+    """The k best rows of held for each row of asked among those of its clusters, block by block."""
+    slots = lambda n: F.ceil(F.col(n) / block).cast("int")
+    both = sizes.join(asked.groupBy("cluster").agg(F.count("*").alias("m")), "cluster").select("cluster", slots("m").alias("a"), slots("n").alias("b"))
+    unit = ["cluster", "qs", "xs"]
+
+    def dealt(rows: DataFrame, own: str, slots: str, other: str, other_slots: str) -> DataFrame:
+        at = F.pmod(F.xxhash64("id"), F.col(slots)).cast("int").alias(own)
+        # one row a cluster, at most CLUSTERS of them, is broadcast
+        return rows.join(F.broadcast(both), "cluster").select("cluster", "id", "v", at, F.explode(F.sequence(F.lit(0), F.col(other_slots) - 1)).alias(other))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(a) and len(b):
+            q_ids, own = a["id"].to_numpy(), b["id"].to_numpy()
+            q, x = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+            for at in range(0, len(q), SCORE_ROWS):
+                scores = np.round(q[at : at + SCORE_ROWS] @ x.T, 9)
+                scores[q_ids[at : at + SCORE_ROWS, None] == own] = -np.inf
+                least = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.full(len(scores), -np.inf)
+                i, j = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+                found.append(_top(q_ids[at + i], own[j], scores[i, j], k))
+        query, neighbour, score = (np.concatenate(c) for c in zip(*found))
+        return pd.DataFrame({"query_id": query, "neighbour_id": neighbour, "score": score})
+
+    pairs = dealt(asked, "qs", "a", "xs", "b").groupBy(*unit).cogroup(dealt(held, "xs", "b", "qs", "a").groupBy(*unit))
+    return _ranked(pairs.applyInPandas(run, "query_id long, neighbour_id long, score double"), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _top(query: np.ndarray, neighbour: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,25 +134,72 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[ \\t\\n]+"), lambda w: F.length(w) > 0)
 
 
-def bm25(queries: DataFrame, index: DataFrame, query_id: str, doc_id: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, index: DataFrame, query_id: str, doc_id: str, text: str, k: int, k1: float = 1.5, b: float = 0.75, rare: int = 4096, salt_docs: int = SALT_DOCS) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of each query by Okapi BM25, ties by id.
 
-    Only the postings of query words are joined; document frequencies and lengths cover all documents. A query word
-    counts as often as it occurs.
+    Document frequencies and lengths cover all documents. A query word counts as often as it occurs. A null text has no
+    words.
+
+    The postings of query words are written once, as blocks: a word's documents by salt (about `salt_docs` documents
+    each, so that a frequent word is many rows) and tier of weight, with the block's highest weight. Words of at most
+    `rare` documents are scored first; the k-th score they give a query is a floor under its k-th score of all, and so is
+    any one word's weight that k documents reach. Frequent words whose highest contributions together stay below the floor cannot bring a document in by themselves; they are
+    looked up for the documents that other words brought, by word and document. Of the remaining frequent words only
+    blocks are read whose highest weight, with all other words at theirs, reaches the floor.
     """
-    docs = index.select(F.col(doc_id).alias("d"), tokens(F.col(text)).alias("w")).withColumn("len", F.size("w"))
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    docs = index.select(F.col(doc_id).alias("d"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("w")).withColumn("len", F.size("w"))
+    salts = F.ceil(F.count("*") / salt_docs)
+    stats = F.broadcast(docs.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), salts.alias("salts")))  # one row
     asked = queries.select(F.col(query_id).alias("q"), F.explode(tokens(F.col(text))).alias("word")).groupBy("q", "word").agg(F.count("*").alias("qf"))
-    # words of queries reach the documents as a semi join before anything is counted
     post = docs.select("d", "len", F.explode("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("word", "d", "len").agg(F.count("*").alias("tf"))
-    df = post.groupBy("word").agg(F.count("*").alias("df"))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    salt = F.pmod(F.xxhash64("d"), F.col("salts"))
+    post = post.crossJoin(stats).select("word", "d", salt.alias("salt"), weight.alias("g"))
+    post = post.withColumn("tier", F.floor(F.col("g") / (k1 + 1) * TIERS).cast("int"))
+    heads = cut(post.groupBy("word", "salt", "tier").agg(F.count("*").alias("n"), F.max("g").alias("top"), F.collect_list(F.struct("d", "g")).alias("rows")))
+    # at most TIERS rows a word: the highest tier that, with those above it, has k documents gives a weight that k documents reach
+    tiers = heads.groupBy("word", "tier").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    above = F.sum("n").over(Window.partitionBy("word").orderBy(F.desc("tier")))
+    sure = F.max(F.when(F.col("above") >= k, F.col("tier"))) / TIERS * (k1 + 1)
+    words = tiers.withColumn("above", above).groupBy("word").agg(F.sum("n").alias("df"), F.max("top").alias("peak"), sure.alias("sure")).crossJoin(stats)
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = post.join(df, "word").join(asked, "word").crossJoin(F.broadcast(stats)).groupBy("q", "d").agg(F.round(F.sum(part), 6).alias("score"))
+    u, of_query = F.col("qf") * idf, Window.partitionBy("q")
+    asked = asked.join(words, "word").select("q", "word", "df", u.alias("u"), (u * F.col("peak")).alias("most"), (u * F.col("sure")).alias("sure"))
+    # floors are a little low, for the order in which floating-point sums are taken and the rounding of scores
+    asked = cut(asked.withColumn("all", F.sum("most").over(of_query)).withColumn("floor", F.max("sure").over(of_query) - 2e-6))
+    total = lambda df: df.groupBy("q", "d").agg(F.sum("part").alias("part"))
+    first = total(_scored(asked.where(F.col("df") <= rare), heads))
+    often = asked.where(F.col("df") > rare)
+    if not often.isEmpty():
+        first = cut(first)
+        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("part"), "d"))
+        floor = first.withColumn("__n", place).where(F.col("__n") == k).select("q", (F.col("part") - 2e-6).alias("met"))
+        often = often.join(floor, "q", "left").withColumn("floor", F.greatest("floor", "met")).drop("met")
+        so_far = F.sum("most").over(of_query.orderBy("most", "word").rowsBetween(Window.unboundedPreceding, 0))
+        often = cut(often.withColumn("optional", F.coalesce(so_far < F.col("floor"), F.lit(False))))
+        optional = often.where("optional")
+        brought = total(first.unionByName(_scored(often.where("not optional"), heads)))
+        spare = optional.groupBy("q").agg(F.sum("most").alias("spare"), F.first("floor").alias("floor"))
+        brought = brought.join(spare, "q", "left").where(F.coalesce(F.col("part") + F.col("spare") >= F.col("floor"), F.lit(True))).select("q", "d", "part")
+        brought = cut(brought)
+        post = heads.join(optional.select("word").distinct(), "word", "left_semi").select("word", F.explode("rows").alias("r")).select("word", "r.d", "r.g")
+        rest = brought.select("q", "d").join(optional.select("q", "word", "u"), "q").join(post, ["word", "d"]).select("q", "d", (F.col("u") * F.col("g")).alias("part"))
+        first = total(brought.unionByName(rest))
+    scored = first.withColumn("score", F.round("part", 6))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_id), "rank", F.col("d").alias(doc_id), "score")
 
 
+def _scored(asked: DataFrame, heads: DataFrame) -> DataFrame:
+    """(q, d, part): the contributions of words asked (q, word, u, most, all, floor) from the blocks that may matter: a
+    block's row without its postings meets the queries first."""
+    blocks = asked.join(heads.select("word", "salt", "tier", "top"), "word")
+    reach = F.col("u") * F.col("top") + F.col("all") - F.col("most")
+    blocks = blocks.where(F.coalesce(reach >= F.col("floor"), F.lit(True))).select("q", "u", "word", "salt", "tier")
+    met = blocks.join(heads.select("word", "salt", "tier", "rows"), ["word", "salt", "tier"])
+    return met.select("q", "u", F.explode("rows").alias("r")).select("q", "r.d", (F.col("u") * F.col("r.g")).alias("part"))
+
+
 def previous_k(rows: DataFrame, key: str, order: str, value: str, k: int) -> DataFrame:
     """rows with the k values before each, oldest first; the first ones are padded from the end of their key."""
     w = Window.partitionBy(key).orderBy(order)
@@ -146,33 +254,25 @@ def vote_k(neighbours: DataFrame, items: DataFrame, item: str, select: int, thre
     """(rank, item): items by falling number of voters, ties by id, without those of whose voters a share of at least
     `threshold` voted for any one earlier item, taken or not; filled up to `select` from the rest by a hash of seed and id.
 
-    neighbours: (query_id, neighbour_id), a row for each vote; items: all that can be chosen. The order of the ranks is
-    one sequence and runs as one task on ids alone; earlier items are met through shared voters.
+    neighbours: (query_id, neighbour_id), a vote each; rows that repeat are one vote. items: all that can be chosen. Since
+    every earlier item counts, an item is judged by itself: it meets others only through the few votes of each voter it has.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        voters = pdf.groupby("neighbour_id")["query_id"].apply(set).to_dict()
-        ranked = sorted(voters, key=lambda i: (-len(voters[i]), i))
-        earlier: dict[int, list[int]] = {}
-        chosen: list[int] = []
-        for i in ranked:
-            if len(chosen) == select:
-                break
-            shared: dict[int, int] = {}
-            for q in voters[i]:
-                for j in earlier.setdefault(q, []):
-                    shared[j] = shared.get(j, 0) + 1
-                earlier[q].append(i)
-            if max(shared.values(), default=0) < threshold * len(voters[i]):
-                chosen.append(i)
-        return pd.DataFrame({"rank": range(1, len(chosen) + 1), "item": chosen})
-
-    taken = neighbours.select("query_id", "neighbour_id").groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: run(pdf), "rank int, item long")
+    votes = neighbours.select("query_id", "neighbour_id").distinct()
+    many = votes.groupBy("neighbour_id").agg(F.count("*").alias("voters"))
+    own = votes.join(many, "neighbour_id")
+    # a voter's votes, each with the items voted for more often; their number is what retrieval gave a query
+    ballots = own.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("voters")).alias("order"), "neighbour_id"))).alias("votes"))
+    placed = ballots.select("votes", F.posexplode("votes").alias("at", "v"))
+    shared = placed.select("v.neighbour_id", F.explode(F.slice("votes", F.lit(1), F.col("at"))).alias("before"))
+    shared = shared.groupBy("neighbour_id", "before.neighbour_id").count().toDF("item", "before", "shared")
+    most = shared.groupBy("item").agg(F.max("shared").alias("shared"))
+    voted = many.withColumnRenamed("neighbour_id", "item").join(most, "item", "left")
+    taken = voted.where(F.coalesce("shared", F.lit(0)) < threshold * F.col("voters")).orderBy(F.desc("voters"), "item").limit(select)
     # at most `select` rows of either kind: the drawn ones take the ranks after the last
     rest = items.select(F.col(item).cast("long").alias("item")).distinct().join(taken.select("item"), "item", "left_anti")
     rest = rest.orderBy(F.xxhash64(F.lit(seed), "item"), "item").limit(select)
-    both = taken.select("rank", "item", F.lit(0).alias("drawn")).unionByName(rest.select(F.lit(0).alias("rank"), "item", F.lit(1).alias("drawn")))
-    order = Window.orderBy("drawn", "rank", F.xxhash64(F.lit(seed), "item"), "item")
+    both = taken.select("voters", "item", F.lit(0).alias("drawn")).unionByName(rest.select(F.lit(0).alias("voters"), "item", F.lit(1).alias("drawn")))
+    order = Window.orderBy("drawn", F.desc("voters"), F.when(F.col("drawn") == 1, F.xxhash64(F.lit(seed), "item")), "item")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= select).select("rank", "item")
 
 

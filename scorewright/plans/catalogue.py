@@ -438,7 +438,12 @@ def dpp_topk(spark, d):
     return retrieval.dpp(near, "query_id", "neighbour_id", "score", "embedding", 8)
 
 
-@query()
+@query(f"""
+    WITH p AS (SELECT q.vec_id AS voter, e.vec_id AS item, round(array_inner_product(q.{_VEC}, e.{_VEC}), 9) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id),
+    v AS (SELECT voter, item FROM p QUALIFY row_number() OVER (PARTITION BY voter ORDER BY score DESC, item) <= 10), n AS (SELECT item, count(*) AS voters FROM v GROUP BY 1),
+    s AS (SELECT a.item, b.item AS other, count(*) AS shared FROM v a JOIN v b USING (voter) GROUP BY ALL),
+    gone AS (SELECT s.item FROM s JOIN n a ON s.item = a.item JOIN n b ON s.other = b.item WHERE (b.voters > a.voters OR (b.voters = a.voters AND b.item < a.item)) AND s.shared >= a.voters)
+    SELECT row_number() OVER (ORDER BY voters DESC, item)::INTEGER AS rank, item FROM n WHERE item NOT IN (SELECT item FROM gone) QUALIFY rank <= 20""")
 def votek(spark, d):
     e = table(spark, d, "embeddings")
     return retrieval.vote_k(retrieval.knn(e, e, "vec_id", "embedding", 10), e, "vec_id", 20)  # every vector votes
