@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorewright.operators.lineage import cut
+
 
 def require(rows: DataFrame, holds: Column, message: Column) -> DataFrame:
     """rows; reading one for which the condition isn't true raises the message. A filter, so that no choice of columns
@@ -83,13 +85,18 @@ def joined_scores(tables: Sequence[DataFrame], key: str, complete: bool = True)
 def id_order(rows: DataFrame, item: str) -> DataFrame:
     """rows with item_order: ids by number if all of them are numbers, else by text.
 
-    Whether all are numbers is one aggregate; ranks come from a window over distinct ids of one data set.
+    Distinct ids are dealt into ranges of that order and written; a range's first rank is the number of ids before it, so
+    windows run within ranges, and only the counts of ranges, a row a partition, are summed in one place.
     """
     number = F.col(item).cast("string").try_cast("double")
     ids = rows.select(item).distinct()
-    all_numbers = ids.agg(F.min(number.isNotNull()).alias("__all"))
-    order = Window.orderBy(F.when(F.col("__all"), number), F.col(item).cast("string"))
-    ranked = ids.crossJoin(F.broadcast(all_numbers)).select(item, (F.row_number().over(order) - 1).cast("long").alias("item_order"))
+    all_numbers = F.broadcast(ids.agg(F.min(number.isNotNull()).alias("__all")))  # one row
+    keyed = ids.crossJoin(all_numbers).select(item, F.when(F.col("__all"), number).alias("__x"), F.col(item).cast("string").alias("__y"))
+    dealt = cut(keyed.repartitionByRange("__x", "__y").withColumn("__range", F.spark_partition_id()))
+    before = F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")
+    first = F.broadcast(dealt.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", before.alias("__first")))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy("__x", "__y")) - 1
+    ranked = dealt.join(first, "__range").select(item, (F.col("__first") + place).cast("long").alias("item_order"))
     return rows.join(ranked, item)
 
 

@@ -134,13 +134,13 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[ \\t\\n]+"), lambda w: F.length(w) > 0)
 
 
-def bm25(queries: DataFrame, index: DataFrame, query_id: str, doc_id: str, text: str, k: int, k1: float = 1.5, b: float = 0.75, rare: int = 4096, salt_docs: int = SALT_DOCS) -> DataFrame:
+def bm25(queries: DataFrame, index: DataFrame, query_id: str, doc_id: str, text: str, k: int, k1: float = 1.5, b: float = 0.75, rare: int = SALT_DOCS, salt_docs: int = SALT_DOCS) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of each query by Okapi BM25, ties by id.
 
     Document frequencies and lengths cover all documents. A query word counts as often as it occurs. A null text has no
     words.
 
-    The postings of query words are written once, as blocks: a word's documents by salt (about `salt_docs` documents
+    The postings of query words are written once and fall into blocks: a word's documents by salt (about `salt_docs` documents
     each, so that a frequent word is many rows) and tier of weight, with the block's highest weight. Words of at most
     `rare` documents are scored first; the k-th score they give a query is a floor under its k-th score of all, and so is
     any one word's weight that k documents reach. Frequent words whose highest contributions together stay below the floor cannot bring a document in by themselves; they are
@@ -149,14 +149,14 @@ def bm25(queries: DataFrame, index: DataFrame, query_id: str, doc_id: str, text:
     """
     docs = index.select(F.col(doc_id).alias("d"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("w")).withColumn("len", F.size("w"))
     salts = F.ceil(F.count("*") / salt_docs)
-    stats = F.broadcast(docs.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), salts.alias("salts")))  # one row
+    stats = F.broadcast(cut(docs.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), salts.alias("salts"))))  # one row
     asked = queries.select(F.col(query_id).alias("q"), F.explode(tokens(F.col(text))).alias("word")).groupBy("q", "word").agg(F.count("*").alias("qf"))
     post = docs.select("d", "len", F.explode("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("word", "d", "len").agg(F.count("*").alias("tf"))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     salt = F.pmod(F.xxhash64("d"), F.col("salts"))
     post = post.crossJoin(stats).select("word", "d", salt.alias("salt"), weight.alias("g"))
-    post = post.withColumn("tier", F.floor(F.col("g") / (k1 + 1) * TIERS).cast("int"))
-    heads = cut(post.groupBy("word", "salt", "tier").agg(F.count("*").alias("n"), F.max("g").alias("top"), F.collect_list(F.struct("d", "g")).alias("rows")))
+    post = cut(post.withColumn("tier", F.floor(F.col("g") / (k1 + 1) * TIERS).cast("int")))
+    heads = post.groupBy("word", "salt", "tier").agg(F.count("*").alias("n"), F.max("g").alias("top"))  # a row a block
     # at most TIERS rows a word: the highest tier that, with those above it, has k documents gives a weight that k documents reach
     tiers = heads.groupBy("word", "tier").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
     above = F.sum("n").over(Window.partitionBy("word").orderBy(F.desc("tier")))
@@ -168,7 +168,7 @@ def bm25(queries: DataFrame, index: DataFrame, query_id: str, doc_id: str, text:
     # floors are a little low, for the order in which floating-point sums are taken and the rounding of scores
     asked = cut(asked.withColumn("all", F.sum("most").over(of_query)).withColumn("floor", F.max("sure").over(of_query) - 2e-6))
     total = lambda df: df.groupBy("q", "d").agg(F.sum("part").alias("part"))
-    first = total(_scored(asked.where(F.col("df") <= rare), heads))
+    first = total(_scored(asked.where(F.col("df") <= rare), heads, post))
     often = asked.where(F.col("df") > rare)
     if not often.isEmpty():
         first = cut(first)
@@ -178,26 +178,24 @@ def bm25(queries: DataFrame, index: DataFrame, query_id: str, doc_id: str, text:
         so_far = F.sum("most").over(of_query.orderBy("most", "word").rowsBetween(Window.unboundedPreceding, 0))
         often = cut(often.withColumn("optional", F.coalesce(so_far < F.col("floor"), F.lit(False))))
         optional = often.where("optional")
-        brought = total(first.unionByName(_scored(often.where("not optional"), heads)))
+        brought = total(first.unionByName(_scored(often.where("not optional"), heads, post)))
         spare = optional.groupBy("q").agg(F.sum("most").alias("spare"), F.first("floor").alias("floor"))
         brought = brought.join(spare, "q", "left").where(F.coalesce(F.col("part") + F.col("spare") >= F.col("floor"), F.lit(True))).select("q", "d", "part")
         brought = cut(brought)
-        post = heads.join(optional.select("word").distinct(), "word", "left_semi").select("word", F.explode("rows").alias("r")).select("word", "r.d", "r.g")
-        rest = brought.select("q", "d").join(optional.select("q", "word", "u"), "q").join(post, ["word", "d"]).select("q", "d", (F.col("u") * F.col("g")).alias("part"))
+        rest = brought.select("q", "d").join(optional.select("q", "word", "u"), "q").join(post.select("word", "d", "g"), ["word", "d"]).select("q", "d", (F.col("u") * F.col("g")).alias("part"))
         first = total(brought.unionByName(rest))
     scored = first.withColumn("score", F.round("part", 6))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_id), "rank", F.col("d").alias(doc_id), "score")
 
 
-def _scored(asked: DataFrame, heads: DataFrame) -> DataFrame:
+def _scored(asked: DataFrame, heads: DataFrame, post: DataFrame) -> DataFrame:
     """(q, d, part): the contributions of words asked (q, word, u, most, all, floor) from the blocks that may matter: a
-    block's row without its postings meets the queries first."""
-    blocks = asked.join(heads.select("word", "salt", "tier", "top"), "word")
+    block's one row in heads meets the queries before its postings do."""
+    block = ["word", "salt", "tier"]
     reach = F.col("u") * F.col("top") + F.col("all") - F.col("most")
-    blocks = blocks.where(F.coalesce(reach >= F.col("floor"), F.lit(True))).select("q", "u", "word", "salt", "tier")
-    met = blocks.join(heads.select("word", "salt", "tier", "rows"), ["word", "salt", "tier"])
-    return met.select("q", "u", F.explode("rows").alias("r")).select("q", "r.d", (F.col("u") * F.col("r.g")).alias("part"))
+    blocks = asked.join(heads, "word").where(F.coalesce(reach >= F.col("floor"), F.lit(True))).select("q", "u", *block)
+    return post.select(*block, "d", "g").join(blocks, block).select("q", "d", (F.col("u") * F.col("g")).alias("part"))
 
 
 def previous_k(rows: DataFrame, key: str, order: str, value: str, k: int) -> DataFrame:
