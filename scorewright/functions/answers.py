@@ -314,8 +314,9 @@ def first_option(text: Column, options: str = "ABCD", cushion: bool = True) -> C
     letter = lambda x: F.coalesce(*[F.when(F.contains(x, F.lit(o)), o) for o in options])
 
     def first(bare: Column) -> Column:
-        found = F.array(*[F.coalesce(X.empty_null(F.regexp_extract(bare, p, 1)), F.regexp_extract(bare, p, 0)) for p in patterns])
-        return F.coalesce(F.try_element_at(F.array_compact(F.transform(found, letter)), F.lit(1)), F.lit(""))
+        # a pattern is tried where none before it holds an option
+        found = [F.coalesce(X.empty_null(F.regexp_extract(bare, p, 1)), F.regexp_extract(bare, p, 0)) for p in patterns]
+        return F.coalesce(*[X.bound(f, letter) for f in found], F.lit(""))
 
     return X.bound(X.stripped(text), first)
 

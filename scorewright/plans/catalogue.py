@@ -906,4 +906,4 @@ def judged_games_filled(spark, d):
     return converters.fill_missing(scores, table(spark, d, "customer").select("c_custkey"), "c_custkey").withColumn("score", r6("score"))
 
 
-from scorewright.plans import extended, fitted  # noqa: E402,F401  register their queries, too
+from scorewright.plans import extended, fitted, texts  # noqa: E402,F401  register their queries, too
