@@ -74,9 +74,11 @@ def numeric_close(a: Column, b: Column, atol: float = 1e-8, rtol: float = 1e-5)
     return F.abs(a - b) <= atol + rtol * F.abs(b)
 
 
-def choice_letter(text: Column, letters: str = "ABCD", default: str | None = None) -> Column:
-    """The first stand-alone option letter of either case, in upper case; the default if there is none."""
-    found = empty_null(F.upper(F.regexp_extract(text, f"(?i)\\b([{letters}])\\b", 1)))
+def choice_letter(text: Column, letters: str = "ABCD", default: str | None = None, plain_edges: bool = False) -> Column:
+    """The first stand-alone option letter of either case, in upper case; the default if there is none. With plain edges
+    only ASCII letters, digits and underscores next to a letter make it part of a word."""
+    before, after = ("(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])") if plain_edges else ("\\b", "\\b")
+    found = empty_null(F.upper(F.regexp_extract(text, f"(?i){before}([{letters}]){after}", 1)))
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
