@@ -5,6 +5,8 @@ Each is a pandas UDF over Arrow batches; a row's table is in memory while it is
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -176,21 +178,133 @@ def tree_distance(a: tuple, b: tuple, structure_only: bool = False) -> float:
     return float(tree[-1, -1])
 
 
+#: Tables of rows and cells alone, which need no parser.
+_PLAIN = re.compile("<table>(?:<tr>(?:<td>[^<&\\0]*</td>)*</tr>)*</table>")
+#: Numbers that the batched tables of one group of pairs hold at a time.
+_CELLS = 2_000_000
+
+
+@lru_cache(maxsize=4096)
+def _plain_shape(cells: tuple[int, ...]) -> tuple:
+    """(leftmost leaves, labels) of a table with so many cells in its rows."""
+    left, labels = [], []
+    for n in cells:
+        first = len(left)
+        left += range(first, first + n)
+        labels += [("td", 1, 1)] * n
+        left.append(first)
+        labels.append(("tr", None, None))
+    return (*left, 0), (*labels, ("table", None, None))
+
+
+def _flat(html: str | None) -> tuple[tuple, list, int] | None:
+    """((leftmost leaves, labels), contents of the td, elements) of `table_tree`; contents are texts where they are
+    characters alone, so equal ones are equal."""
+    if html and _PLAIN.fullmatch(html):
+        rows = [r[4:-5].split("</td><td>") if r else [] for r in html[11:-13].split("</tr><tr>")] if html != "<table></table>" else []
+        shape = _plain_shape(tuple(map(len, rows)))
+        return shape, [c for r in rows for c in r], len(shape[0]) - 1
+    tree = table_tree(html)
+    if tree is None:
+        return None
+    nodes, left, elements = tree
+    contents = ["".join(n[3]) if all(len(t) == 1 for t in n[3]) else n[3] for n in nodes if n[0] == "td"]
+    return (tuple(left.tolist()), tuple(n[:3] for n in nodes)), contents, elements
+
+
+@lru_cache(maxsize=4096)
+def _shape_distance(a: tuple, b: tuple) -> float:
+    return tree_distance(*[([(*x, ()) for x in labels], np.array(left), 0) for left, labels in (a, b)], True)
+
+
+@lru_cache(maxsize=65_536)
+def _content_share(a, b) -> float:
+    return float(_edit_share(tuple(a), tuple(b)))
+
+
+def _distances(a: tuple, b: tuple, x: list[list], y: list[list]) -> np.ndarray:
+    """`tree_distance` of pairs of tables that have the same two shapes, side by side: x and y are their contents."""
+    (la, na), (lb, nb) = a, b
+    tds_a, tds_b = ([i for i, t in enumerate(names) if t[0] == "td"] for names in (na, nb))
+    codes: dict = {}
+    u, v = (np.array([[codes.setdefault(c, len(codes)) for c in row] for row in side], np.int64).reshape(len(side), -1) for side in (x, y))
+    names = list(codes)
+    pairs, at = np.unique(u[:, :, None] * len(names) + v[:, None, :], return_inverse=True)
+    shares = np.array([_content_share(names[p // len(names)], names[p % len(names)]) for p in pairs.tolist()])
+    share = np.ascontiguousarray(shares[at.reshape(len(x), len(tds_a), len(tds_b))].transpose(1, 2, 0)) if len(pairs) else None
+    cost = np.array([[float(p != q) for q in nb] for p in na])[:, :, None].repeat(len(x), 2)
+    both = np.array([[na[i] == nb[j] for j in tds_b] for i in tds_a], bool).reshape(len(tds_a), len(tds_b))
+    if both.any():
+        rows, columns = np.array(tds_a)[np.nonzero(both)[0]], np.array(tds_b)[np.nonzero(both)[1]]
+        cost[rows, columns] = share[both]
+    tree = np.zeros((len(la), len(lb), len(x)))
+    for shape, p in _roots(la):
+        for other, q in _roots(lb):
+            rel, width = np.array(other), len(other)
+            spine, places = np.flatnonzero(rel == 0), np.arange(width + 1)[:, None]
+            forest = np.zeros((len(shape) + 1, len(p), len(q), width + 1, len(x)))
+            forest[0] = places
+            columns = q[:, None] + np.arange(width)
+            for r, first in enumerate(shape):
+                rows = (p + r)[:, None, None]
+                change = forest[first][:, :, rel] + tree[rows, columns]
+                if first == 0:
+                    change[:, :, spine] = forest[r][:, :, spine] + cost[rows, columns[:, spine]]
+                row = forest[r + 1]
+                row[:, :, 0] = r + 1
+                row[:, :, 1:] = np.minimum(change, forest[r][:, :, 1:] + 1)
+                row[:] = np.minimum.accumulate(row - places, axis=2) + places  # insertions, one after the other
+                if first == 0:
+                    tree[rows, columns[:, spine]] = row[:, :, spine + 1]
+    return tree[-1, -1]
+
+
+def _roots(left: tuple[int, ...]) -> list[tuple[tuple[int, ...], np.ndarray]]:
+    """Subtrees that are not the first of their parents, by shape, smaller ones first: (leftmost leaves from the subtree's
+    first node on, first nodes of those of this shape)."""
+    found: dict = {}
+    for first, root in {v: i for i, v in enumerate(left)}.items():
+        found.setdefault(tuple(v - first for v in left[first : root + 1]), []).append(first)
+    return [(shape, np.array(found[shape])) for shape in sorted(found, key=len)]
+
+
+def _both_teds(prediction: pd.Series, truth: pd.Series, contents: bool = True, structures: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(TEDS, TEDS of structures) of a batch, 0 where not asked for; pairs of the same two shapes are compared together."""
+    full, structure = np.zeros(len(prediction)), np.zeros(len(prediction))
+    groups: dict = {}
+    for k, (s, t) in enumerate(zip(prediction, truth)):
+        a, b = _flat(s), _flat(t)
+        if a is not None and b is not None:
+            groups.setdefault((a[0], b[0]), []).append((k, a[1], b[1], max(a[2], b[2], 1)))
+    for (a, b), found in groups.items():
+        step = max(1, _CELLS // (len(a[0]) * len(b[0])))
+        for i in range(0, len(found), step):
+            at, x, y, size = zip(*found[i : i + step])
+            at, size = np.array(at), np.array(size)
+            if contents:
+                full[at] = 1.0 - _distances(a, b, list(x), list(y)) / size
+            if structures:
+                structure[at] = 1.0 - _shape_distance(a, b) / size
+    return full, structure
+
+
 def teds(structure_only: bool = False):
     """A column function (prediction, truth): 1 less the tree edit distance of their first tables over the larger number of
     elements below the root; 0 if a text is null, empty or without a table."""
 
     @F.pandas_udf(T.DoubleType())
     def run(prediction: pd.Series, truth: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(prediction, truth):
-            a, b = table_tree(x), table_tree(y)
-            out.append(0.0 if a is None or b is None else 1.0 - tree_distance(a, b, structure_only) / max(a[2], b[2], 1))
-        return pd.Series(out, dtype="float64")
+        return pd.Series(_both_teds(prediction, truth, not structure_only, structure_only)[int(structure_only)], dtype="float64")
 
     return run
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("teds", "teds_structure")]))
+def both_teds(prediction: pd.Series, truth: pd.Series) -> pd.DataFrame:
+    """`teds` of either kind, for which texts are read once."""
+    return pd.DataFrame(dict(zip(("teds", "teds_structure"), _both_teds(prediction, truth))))
+
+
 # --- METEOR -------------------------------------------------------------------------------------------
 
 
