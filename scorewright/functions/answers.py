@@ -307,18 +307,44 @@ OPTION_PATTERNS = (
 CUSHION_PATTERNS = ("([{0}]):", "([{0}])")
 
 
+#: What a text must hold for a pattern to match, longest first where one is part of another; and the patterns that match at
+#: the end alone, within so many characters. Fixed values.
+_NEEDED = ("答案应该是", "答案选项", "答案是", "答案应", "答案为", "答案选", "答案", "只有", "说法", "是正确的", "是正确答案", "所以答", "所以", "所有", "因此", "显然", "选项", "he answer is option", "he answer is", "he correct answer is option", "he correct answer is", "he correct option is", "he correct answer option is", "he answer to the question is", "选")
+_END = 16
+
+
+def _needed(pattern: str) -> str:
+    """The longest of these words that every match of the pattern holds, or an empty text."""
+    plain = re.sub(r".[?*]|\[[^]]*\][?*]?|\(\?i\).*", "\0", pattern)
+    return next((w for w in sorted(_NEEDED, key=len, reverse=True) if w in plain), "")
+
+
 def first_option(text: Column, options: str = "ABCD", cushion: bool = True) -> Column:
     """The option within what the first pattern finds that holds any, in the patterns' order; of several the first of the
     options. Empty if none. With the cushion any letter counts."""
-    patterns = [f"(?sU){p.format(options)}" for p in (*OPTION_PATTERNS, *(CUSHION_PATTERNS if cushion else ()))]
     letter = lambda x: F.coalesce(*[F.when(F.contains(x, F.lit(o)), o) for o in options])
 
+    def tried(bare: Column, end: Column, pattern: str) -> Column:
+        """What a pattern finds; only the words that it needs are looked for where they aren't there."""
+        p = f"(?sU){pattern.format(options)}"
+        where = end if pattern.endswith(("?$", "?$)")) and "*" not in pattern and not pattern.startswith(("1.", "^")) else bare
+        found = X.empty_null(F.regexp_extract(where, p, 1))
+        if "(\\s|^)" in pattern or "(.*?)" in pattern:  # the others' first group is never empty
+            found = F.coalesce(found, F.regexp_extract(where, p, 0))
+        word = "1" if pattern.startswith("1.") else _needed(pattern)
+        needs = [F.contains(where, F.lit(w)) for w in (word, *(["boxed{"] if "boxed" in pattern else [])) if w]
+        return F.when(reduce(lambda a, b: a & b, needs), found) if needs else found
+
     def first(bare: Column) -> Column:
-        # a pattern is tried where none before it holds an option
-        found = [F.coalesce(X.empty_null(F.regexp_extract(bare, p, 1)), F.regexp_extract(bare, p, 0)) for p in patterns]
-        return F.coalesce(*[X.bound(f, letter) for f in found], F.lit(""))
+        def by_end(end: Column) -> Column:
+            # a pattern is tried where none before it holds an option
+            found = [tried(bare, end, p) for p in (*OPTION_PATTERNS, *(CUSHION_PATTERNS if cushion else ()))]
+            return F.coalesce(*[X.bound(f, letter) for f in found], F.lit(""))
+
+        some = reduce(lambda a, b: a | b, [F.contains(bare, F.lit(o)) for o in options])
+        return F.when(some, X.bound(F.right(bare, F.lit(_END)), by_end)).when(bare.isNotNull(), "")
 
-    return X.bound(X.stripped(text), first)
+    return F.coalesce(X.bound(X.stripped(text), first), F.lit(""))
 
 
 #: Punctuation that Chinese answers are compared without, beside ASCII's. Fixed value.
