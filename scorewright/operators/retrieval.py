@@ -45,6 +45,8 @@ def knn(queries: DataFrame, index: DataFrame, id_col: str, vector: str, k: int,
     asked, held = rows(queries), rows(index)
     n = max(1, min(clusters, -(-held.count() // block)))
     centres = np.unique(np.array([r.v for r in held.orderBy(F.xxhash64("id"), "id").limit(n).collect()], np.float64), axis=0)
+    if not len(centres):
+        return index.sparkSession.createDataFrame([], "query_id long, rank int, neighbour_id long, score double")
     asked, held = _clustered(asked, centres), _clustered(held, centres)
     sizes = cut(held.groupBy("cluster").agg(F.count("*").alias("n"), F.max("off").alias("radius")))  # at most `clusters` rows
     near = cut(_nearest(asked, held, sizes, k, block))
@@ -83,8 +85,10 @@ def _reachable(it: Iterator[pd.DataFrame], centres: np.ndarray, radius: np.ndarr
             bound = q @ centres.T + length * radius + slack
             open_ = (radius >= 0) & ~(bound < pdf["least"].to_numpy(float)[:, None])  # without a least score, any
             open_[np.arange(len(q)), pdf["cluster"]] = False
-            i, c = np.nonzero(open_)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "v": pdf["v"].to_numpy()[i], "cluster": c.astype(np.int32)})
+            queries, clusters = np.nonzero(open_)
+            for at in range(0, len(queries), BLOCK):  # a batch of queries has up to CLUSTERS rows for each
+                i, c = queries[at : at + BLOCK], clusters[at : at + BLOCK]
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "v": pdf["v"].to_numpy()[i], "cluster": c.astype(np.int32)})
 
 
 def _nearest(asked: DataFrame, held: DataFrame, sizes: DataFrame, k: int, block: int) -> DataFrame:
