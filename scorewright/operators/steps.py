@@ -6,21 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def step_outcomes(rows: DataFrame, problem: str, steps: str, step: str, hit: str) -> DataFrame:
+#: Rows that a task groups, on average.
+ROWS = 1_000_000
+
+
+def step_outcomes(rows: DataFrame, problem: str, steps: str | None, step: str, hit: str) -> DataFrame:
     """(problem, steps, held, failed, complete, whole) of rows (problem, steps: how many it has, step, hit).
 
     step is 1 and on, and null for the whole problem. held and failed tell whether some step is right and some wrong,
     complete whether all its steps are there, whole is the whole problem's hit. Chains may be of any length, a step that
     repeats counts as right if all its rows are, unknown hits as absent, and chains without a first step are left out.
+    Without `steps` a problem has as many as its last row's step says. Problems are dealt once, to as many tasks as give
+    each about `ROWS` rows, so that a task's memory doesn't grow with them.
     """
-    known = rows.where(F.col(hit).isNotNull()).groupBy(problem, steps, step).agg(F.min(F.col(hit).cast("int")).alias("hit"))
-    single = F.col(step).isNotNull()
-    out = known.groupBy(problem, steps).agg(
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS))
+    dealt, by = rows.repartition(tasks, problem), [problem] + ([steps] if steps else [])
+    each = dealt.groupBy(*by, step).agg(F.min(F.col(hit).cast("int")).alias("hit"))
+    known = F.col("hit").isNotNull()
+    single = F.col(step).isNotNull() & known
+    length = F.first(steps) if steps else F.max(step)
+    out = each.groupBy(*by).agg(
+        *([] if steps else [length.alias("steps")]),
         F.coalesce(F.bool_or(F.when(single, F.col("hit") == 1)), F.lit(False)).alias("held"),
         F.coalesce(F.bool_or(F.when(single, F.col("hit") == 0)), F.lit(False)).alias("failed"),
-        (F.count(F.when(single, 1)) == F.col(steps)).alias("complete"),
-        (F.max(F.when(~single, F.col("hit"))) == 1).alias("whole"),
-        F.min(step).alias("__first"),
+        (F.count(F.when(single, 1)) == length).alias("complete"),
+        (F.max(F.when(F.col(step).isNull(), F.col("hit"))) == 1).alias("whole"),
+        F.min(F.when(known, F.col(step))).alias("__first"),
     )
     return out.where("__first = 1").drop("__first")
 
