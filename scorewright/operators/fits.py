@@ -209,8 +209,9 @@ def style_bradley_terry(battles: DataFrame, features: list[str], ridge: float =
     kind = dict(rows.dtypes)["model_a"]
     f = [F.col(f"f{i}") for i in range(k)]
     for _ in range(rounds if m else 0):
-        strengths = spark.createDataFrame([(x, float(beta[i])) for x, i in at.items()], f"model {kind}, s double")
-        both = rows.join(strengths.select(F.col("model").alias("model_a"), F.col("s").alias("sa")), "model_a").join(strengths.select(F.col("model").alias("model_b"), F.col("s").alias("sb")), "model_b")
+        strengths = spark.createDataFrame([(x, float(beta[i])) for x, i in at.items()], f"model {kind}, s double")  # a row a model
+        sides = [F.broadcast(strengths.select(F.col("model").alias(f"model_{x}"), F.col("s").alias(f"s{x}"))) for x in "ab"]
+        both = rows.join(sides[0], "model_a").join(sides[1], "model_b")
         p = _chance(sum((v * float(b) for v, b in zip(f, beta[m:])), alpha * (F.col("sa") - F.col("sb"))))
         error, h = F.col("c") * (p - F.col("y")), F.col("c") * p * (1 - p)
         sums = [F.sum(error), F.sum(h), *[F.sum(error * v) for v in f], *[F.sum(h * v) for v in f], *[F.sum(h * f[i] * f[j]) for i in range(k) for j in range(k)]]
