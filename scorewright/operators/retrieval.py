@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,10 @@ BLOCK = 4096
 CLUSTERS = 256
 #: Queries whose scores against a block of the index are in memory at a time.
 SCORE_ROWS = 256
-#: Documents a salt of a word's postings, on average, and tiers of weight within a salt.
-SALT_DOCS, TIERS = 65_536, 16
+#: Documents of a word from which on BM25 adds it as part of a matrix product.
+OFTEN = 65_536
+#: Characters and words of queries that a unit of documents has at most, on average.
+UNIT_CHARS, UNIT_WORDS = 1 << 24, 1 << 18
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -138,68 +142,130 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[ \\t\\n]+"), lambda w: F.length(w) > 0)
 
 
-def bm25(queries: DataFrame, index: DataFrame, query_id: str, doc_id: str, text: str, k: int, k1: float = 1.5, b: float = 0.75, rare: int = SALT_DOCS, salt_docs: int = SALT_DOCS) -> DataFrame:
+def bm25(queries: DataFrame, index: DataFrame, query_id: str, doc_id: str, text: str, k: int, k1: float = 1.5, b: float = 0.75, rare: int = OFTEN, salt_docs: int = BLOCK) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of each query by Okapi BM25, ties by id.
 
     Document frequencies and lengths cover all documents. A query word counts as often as it occurs. A null text has no
-    words.
-
-    The postings of query words are written once and fall into blocks: a word's documents by salt (about `salt_docs` documents
-    each, so that a frequent word is many rows) and tier of weight, with the block's highest weight. Words of at most
-    `rare` documents are scored first; the k-th score they give a query is a floor under its k-th score of all, and so is
-    any one word's weight that k documents reach. Frequent words whose highest contributions together stay below the floor cannot bring a document in by themselves; they are
-    looked up for the documents that other words brought, by word and document. Of the remaining frequent words only
-    blocks are read whose highest weight, with all other words at theirs, reaches the floor.
+    words. Rows that share an id are one document, whose contributions are added.
+
+    Documents are dealt once into units of about `salt_docs` (fewer where texts are long), in which their words meet those
+    of the queries; a unit's postings are one row of flat arrays, written once. Frequencies are sums over units. Each
+    block of queries then meets each unit, which scores every document that shares a word and hands on its k best a query,
+    so that no row of a word and a document, or of a query and a document, is ever shuffled. Words of more than `rare`
+    documents are added as one matrix product, others posting by posting.
     """
-    docs = index.select(F.col(doc_id).alias("d"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("w")).withColumn("len", F.size("w"))
-    salts = F.ceil(F.count("*") / salt_docs)
-    stats = F.broadcast(cut(docs.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), salts.alias("salts"))))  # one row
+    spark = index.sparkSession
+    ship(spark)
+    docs = index.select(F.col(doc_id).alias("d"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     asked = queries.select(F.col(query_id).alias("q"), F.explode(tokens(F.col(text))).alias("word")).groupBy("q", "word").agg(F.count("*").alias("qf"))
-    post = docs.select("d", "len", F.explode("w").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("word", "d", "len").agg(F.count("*").alias("tf"))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    salt = F.pmod(F.xxhash64("d"), F.col("salts"))
-    post = post.crossJoin(stats).select("word", "d", salt.alias("salt"), weight.alias("g"))
-    post = cut(post.withColumn("tier", F.floor(F.col("g") / (k1 + 1) * TIERS).cast("int")))
-    heads = post.groupBy("word", "salt", "tier").agg(F.count("*").alias("n"), F.max("g").alias("top"))  # a row a block
-    # at most TIERS rows a word: the highest tier that, with those above it, has k documents gives a weight that k documents reach
-    tiers = heads.groupBy("word", "tier").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-    above = F.sum("n").over(Window.partitionBy("word").orderBy(F.desc("tier")))
-    sure = F.max(F.when(F.col("above") >= k, F.col("tier"))) / TIERS * (k1 + 1)
-    words = tiers.withColumn("above", above).groupBy("word").agg(F.sum("n").alias("df"), F.max("top").alias("peak"), sure.alias("sure")).crossJoin(stats)
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    u, of_query = F.col("qf") * idf, Window.partitionBy("q")
-    asked = asked.join(words, "word").select("q", "word", "df", u.alias("u"), (u * F.col("peak")).alias("most"), (u * F.col("sure")).alias("sure"))
-    # floors are a little low, for the order in which floating-point sums are taken and the rounding of scores
-    asked = cut(asked.withColumn("all", F.sum("most").over(of_query)).withColumn("floor", F.max("sure").over(of_query) - 2e-6))
-    total = lambda df: df.groupBy("q", "d").agg(F.sum("part").alias("part"))
-    first = total(_scored(asked.where(F.col("df") <= rare), heads, post))
-    often = asked.where(F.col("df") > rare)
-    if not often.isEmpty():
-        first = cut(first)
-        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("part"), "d"))
-        floor = first.withColumn("__n", place).where(F.col("__n") == k).select("q", (F.col("part") - 2e-6).alias("met"))
-        often = often.join(floor, "q", "left").withColumn("floor", F.greatest("floor", "met")).drop("met")
-        so_far = F.sum("most").over(of_query.orderBy("most", "word").rowsBetween(Window.unboundedPreceding, 0))
-        often = cut(often.withColumn("optional", F.coalesce(so_far < F.col("floor"), F.lit(False))))
-        optional = often.where("optional")
-        brought = total(first.unionByName(_scored(often.where("not optional"), heads, post)))
-        spare = optional.groupBy("q").agg(F.sum("most").alias("spare"), F.first("floor").alias("floor"))
-        brought = brought.join(spare, "q", "left").where(F.coalesce(F.col("part") + F.col("spare") >= F.col("floor"), F.lit(True))).select("q", "d", "part")
-        brought = cut(brought)
-        rest = brought.select("q", "d").join(optional.select("q", "word", "u"), "q").join(post.select("word", "d", "g"), ["word", "d"]).select("q", "d", (F.col("u") * F.col("g")).alias("part"))
-        first = total(brought.unionByName(rest))
-    scored = first.withColumn("score", F.round("part", 6))
+    asked = cut(asked)
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    units = max(1, -(-size.n // salt_docs), -(-(size.chars or 0) // UNIT_CHARS))
+    words = asked.select("word").distinct()
+    slots = max(1, -(-words.count() // UNIT_WORDS))
+    blocks = max(1, -(-asked.select("q").distinct().count() // BLOCK))
+
+    def everywhere(rows: DataFrame, slot: str, n: int) -> DataFrame:
+        return rows.withColumn(slot, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def dealt(rows: DataFrame, slot: str, key: str, n: int) -> DataFrame:
+        return rows.withColumn(slot, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+
+    texts, parts = everywhere(dealt(docs, "xs", "d", units), "vs", slots), everywhere(dealt(words, "vs", "word", slots), "xs", units)
+    kind, asker = (df.schema[c].dataType.simpleString() for df, c in ((docs, "d"), (asked, "q")))
+    post = texts.groupBy("xs", "vs").cogroup(parts.groupBy("xs", "vs")).applyInArrow(_inverted, f"xs int, vs int, n long, total long, ids array<{kind}>, words array<string>, df array<long>, at array<int>, tf array<int>, len array<int>")
+    post = cut(post)
+    stats = post.where("vs = 0").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean")).first()  # two numbers
+    found = post.select(F.explode(F.arrays_zip("words", "df")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.df").alias("df"))
+    idf = F.log((F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    asked = asked.join(found, "word").select("q", "word", (F.col("qf") * idf).alias("u"), (F.col("df") > rare).alias("often"))
+    near = _scored(everywhere(dealt(asked, "qs", "q", blocks), "xs", units), everywhere(post.drop("n", "total"), "qs", blocks), k, k1, b, stats.mean, f"q {asker}, d {kind}, part double")
+    scored = near.withColumn("score", F.round("part", 6))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_id), "rank", F.col("d").alias(doc_id), "score")
 
 
-def _scored(asked: DataFrame, heads: DataFrame, post: DataFrame) -> DataFrame:
-    """(q, d, part): the contributions of words asked (q, word, u, most, all, floor) from the blocks that may matter: a
-    block's one row in heads meets the queries before its postings do."""
-    block = ["word", "salt", "tier"]
-    reach = F.col("u") * F.col("top") + F.col("all") - F.col("most")
-    blocks = asked.join(heads, "word").where(F.coalesce(reach >= F.col("floor"), F.lit(True))).select("q", "u", *block)
-    return post.select(*block, "d", "g").join(blocks, block).select("q", "d", (F.col("u") * F.col("g")).alias("part"))
+def _inverted(texts: pa.Table, words: pa.Table) -> pa.Table:
+    """One row: a unit's ids in their order and, for those of the words that occur, the documents (places of ids), counts
+    and lengths of the documents, of which rows of one id and length are one."""
+    vocabulary = words["word"].to_pylist()
+    code = {w: i for i, w in enumerate(vocabulary)}
+    entries: dict[tuple, int] = {}
+    codes, at, total = [np.zeros(0, np.int64)], [], 0
+    for d, text in zip(texts["d"].to_pylist(), texts["text"].to_pylist()):
+        split = text.replace("\t", " ").replace("\n", " ").split(" ")
+        length = len(split) - split.count("")
+        total += length
+        at.append(entries.setdefault((d, length), len(entries)))
+        found = np.fromiter(map(code.get, split, repeat(-1)), np.int64, len(split))
+        codes.append(found[found >= 0])
+    kept = sorted(entries, key=lambda e: (e[0] is not None, *(e[:1] if e[0] is not None else ()), e[1]))
+    ids = list(dict.fromkeys(d for d, _ in kept))
+    place = {d: i for i, d in enumerate(ids)}
+    order = np.zeros(len(kept), np.int64)
+    order[[entries[e] for e in kept]] = np.arange(len(kept))
+    who = np.repeat(order[at], [len(c) for c in codes[1:]]) if at else np.zeros(0, np.int64)
+    pairs, tf = np.unique(np.concatenate(codes) * max(len(kept), 1) + who, return_counts=True)
+    word, entry = np.divmod(pairs, max(len(kept), 1))
+    used, df = np.unique(word, return_counts=True)
+    values = {
+        "xs": words["xs"][0] if len(words) else texts["xs"][0], "vs": words["vs"][0] if len(words) else texts["vs"][0], "n": len(at), "total": total, "ids": ids, "words": [vocabulary[i] for i in used],
+        "df": df, "at": np.array([place[d] for d, _ in kept], np.int64)[entry], "tf": tf, "len": np.array([n for _, n in kept], np.int64)[entry],
+    }
+    kinds = {"xs": pa.int32(), "vs": pa.int32(), "n": pa.int64(), "total": pa.int64(), "ids": pa.list_(texts.schema.field("d").type), "words": pa.list_(pa.string()), "df": pa.list_(pa.int64()), "at": pa.list_(pa.int32()), "tf": pa.list_(pa.int32()), "len": pa.list_(pa.int32())}
+    out = pa.table({c: pa.array([values[c].as_py() if isinstance(values[c], pa.Scalar) else values[c]], kind) for c, kind in kinds.items()})
+    return out if len(at) else out.slice(0, 0)
+
+
+def _scored(asked: DataFrame, post: DataFrame, k: int, k1: float, b: float, mean: float, schema: str) -> DataFrame:
+    """(q, d, part): the k best scores of each query in each unit, by the words asked (q, word, u, often) and the postings."""
+
+    def weights(rows: list[dict]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        for r in rows:
+            df, at, tf, length = (np.asarray(r[c]) for c in ("df", "at", "tf", "len"))
+            g = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+            ends = np.cumsum(df)
+            for w, i, j in zip(r["words"], ends - df, ends):
+                first = np.flatnonzero(np.diff(at[i:j], prepend=-1))  # documents of one id lie side by side
+                yield w, at[i:j][first], np.add.reduceat(g[i:j], first)
+
+    def run(held: pa.Table, asking: pa.Table) -> pa.Table:
+        kinds = [asking.schema.field("q").type, held.schema.field("ids").type.value_type, pa.float64()]
+        found: list[tuple] = [([], [], np.zeros(0))]
+        if len(held) and len(asking):
+            rows = [{c: held[c][i].values.to_numpy(False) if c in ("df", "at", "tf", "len") else held[c][i].as_py() for c in held.column_names} for i in range(len(held))]
+            ids, postings = rows[0]["ids"], {w: (at, g) for w, at, g in weights(rows)}
+            by_query: dict = {}
+            for q, word, u, often in zip(*(asking[c].to_pylist() for c in ("q", "word", "u", "often"))):
+                if word in postings:
+                    by_query.setdefault(q, []).append((word, u, often))
+            names = list(by_query)
+            for start in range(0, len(names), SCORE_ROWS):
+                part = names[start : start + SCORE_ROWS]
+                scores, many, few = np.zeros((len(part), len(ids))), {}, {}
+                for i, q in enumerate(part):
+                    for word, u, often in by_query[q]:
+                        (many if often else few).setdefault(word, []).append((i, u))
+                for word, pairs in few.items():
+                    (at, g), (i, u) = postings[word], zip(*pairs)
+                    scores[np.ix_(i, at)] += np.outer(u, g)
+                if many:
+                    left, right = np.zeros((len(part), len(many))), np.zeros((len(many), len(ids)))
+                    for j, (word, pairs) in enumerate(many.items()):
+                        (at, g), (i, u) = postings[word], zip(*pairs)
+                        left[list(i), j], right[j, at] = u, g
+                    scores += left @ right
+                shares = scores > 0
+                scores = np.round(scores, 6)
+                least = np.partition(scores, -k, axis=1)[:, -k] if k < len(ids) else np.zeros(len(part))
+                i, j = np.nonzero(shares & (scores >= least[:, None]))
+                i, j, best = _top(i, j, scores[i, j], k)
+                found.append(([part[x] for x in i], [ids[x] for x in j], best))
+        columns = [[x for f in found for x in f[0]], [x for f in found for x in f[1]], np.concatenate([f[2] for f in found])]
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["q", "d", "part"])
+
+    unit = ["xs", "qs"]
+    return post.groupBy(*unit).cogroup(asked.groupBy(*unit)).applyInArrow(run, schema)
 
 
 def previous_k(rows: DataFrame, key: str, order: str, value: str, k: int) -> DataFrame:
