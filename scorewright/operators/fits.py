@@ -15,20 +15,23 @@ from scorewright.operators.irt import CLIP
 from scorewright.operators.lineage import cut
 
 _STEP = 1.5
+#: Responses, or sums to solve, of a task on average; items whose parameters are sent to every task at most.
+ROWS, SENT = 100_000, 65_536
 
 
 def _chance(z: Column) -> Column:
     return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-CLIP)), F.lit(CLIP))))
 
 
-def _newton(rows: DataFrame, key: str, at: str, x: list[Column], z: Column, mean: list[float], precision: list[float]) -> DataFrame:
+def _newton(rows: DataFrame, key: str, at: str, x: list[Column], z: Column, mean: list[float], precision: list[float], parts: int) -> DataFrame:
     """(key, at: array, moved): one penalised Newton step of each group's logistic regression of score on x, from its
-    parameters `at`; z is the linear predictor there."""
+    parameters `at`; z is the linear predictor there. The sums are solved in at most `parts` tasks."""
     k = len(x)
     p = _chance(z)
     grad = [F.sum((p - F.col("score")) * v) for v in x]
     hess = [F.sum(p * (1 - p) * x[i] * x[j]) for i in range(k) for j in range(i, k)]
-    sums = rows.groupBy(key).agg(F.first(at).alias(at), F.array(*grad).alias("g"), F.array(*hess).alias("h"))
+    now = [F.first(F.col(at)[i]) for i in range(k)]  # single numbers: with an array in it the rows would be sorted by key
+    sums = rows.groupBy(key).agg(F.array(*now).alias(at), F.array(*grad).alias("g"), F.array(*hess).alias("h")).coalesce(parts)
     prior_mean, prior = np.array(mean), np.array(precision)
     most = _STEP
 
@@ -57,6 +60,9 @@ def fit_multidim(responses: DataFrame, dims: int = 5, rounds: int = 40, toleranc
     A round is a Newton step of all items given abilities and one of all models given items, each from sums of gradients
     and Hessians; rounds end when no parameter moves by `tolerance`. Null scores are left out, scores of the same item and
     model are averaged, items and models without a score are absent, and no responses give two empty tables.
+
+    Responses are dealt by model once, to tasks of about `ROWS`, where each round finds the models' abilities beside them;
+    a round's tasks grow with the responses, not with the session's number of shuffle partitions.
     """
     data = cut(responses.where("score is not null").groupBy("item", "model").agg(F.avg("score").alias("score")))
 
@@ -66,15 +72,22 @@ def fit_multidim(responses: DataFrame, dims: int = 5, rounds: int = 40, toleranc
     share = F.least(F.greatest(F.avg("score"), F.lit(0.02)), F.lit(0.98))
     models = data.groupBy("model").agg(share.alias("p")).select("model", F.array(F.log(F.col("p") / (1 - F.col("p"))), *[noise("model", d) for d in range(1, dims)]).alias("theta"))
     items = data.select("item").distinct().select("item", F.array(F.lit(1.0), *[noise("item", d) for d in range(1, dims)], F.lit(0.0)).alias("w"))
-    models, items = cut(models), cut(items)
+    parts = max(1, -(-data.count() // ROWS))
+
+    def by_model(rows: DataFrame) -> DataFrame:
+        return cut(rows.repartition(parts, "model").sortWithinPartitions("model"))
+
+    data, models, items = by_model(data), by_model(models), cut(items)
+    n_items = items.count()
+    item_parts, small = max(1, -(-n_items // ROWS)), F.broadcast if n_items <= SENT else lambda df: df
     theta, w = ([F.col(c)[d] for d in range(dims)] for c in ("theta", "w"))
     z = sum((t * a for t, a in zip(theta, w)), F.lit(0.0)) - dims * F.col("w")[dims]
     first = [1.0] + [0.0] * dims
     for _ in range(rounds):
-        rows = data.join(models.select("model", "theta"), "model").join(items.select("item", "w"), "item")
-        items = cut(_newton(rows, "item", "w", [*theta, F.lit(-float(dims))], z, first, [1.0] * dims + [0.25]))
-        rows = data.join(models.select("model", "theta"), "model").join(items.select("item", "w"), "item")
-        models = cut(_newton(rows, "model", "theta", w, z, [0.0] * dims, [1.0] * dims))
+        rows = data.join(models.select("model", "theta"), "model").join(small(items.select("item", "w")), "item")
+        items = cut(_newton(rows, "item", "w", [*theta, F.lit(-float(dims))], z, first, [1.0] * dims + [0.25], item_parts))
+        rows = data.join(models.select("model", "theta"), "model").join(small(items.select("item", "w")), "item")
+        models = by_model(_newton(rows, "model", "theta", w, z, [0.0] * dims, [1.0] * dims, parts))
         moved = items.agg(F.max("moved").alias("m")).unionByName(models.agg(F.max("moved").alias("m"))).agg(F.max("m")).first()[0]
         if moved is None or moved < tolerance:
             break
