@@ -18,7 +18,9 @@ from scorewright.shipping import ship
 BLOCK = 4096
 #: Clusters of the index at most: their centres and radii are all that the driver holds of it.
 CLUSTERS = 256
-#: Queries whose scores against a block of the index are in memory at a time.
+#: Components of a part of the index, which one task compares with a block of queries; parts of an index of as many blocks.
+PART, PARTS = 1 << 23, 8
+#: Queries whose scores against a block or cluster of the index are in memory at a time.
 SCORE_ROWS = 256
 #: Documents of a word from which on BM25 adds it as part of a matrix product.
 OFTEN = 65_536
@@ -35,8 +37,9 @@ def knn(queries: DataFrame, index: DataFrame, id_col: str, vector: str, k: int,
 
     The index falls into at most `clusters` clusters around vectors drawn by a hash of their ids. A query meets its own
     cluster first; its k-th score there rules out every cluster whose inner products cannot reach it (that with the
-    centre, plus the query's length times the cluster's radius). Queries and index meet in blocks of about `block` rows,
-    however many a cluster has, and each block of queries keeps k rows a query of each block of the index.
+    centre, plus the query's length times the cluster's radius). Queries in blocks of about four times `block` rows meet the
+    index in parts (`PARTS` of them, more where one would exceed `PART` components), packed and written once, and a block
+    keeps k rows a query of each part: what goes to disk grows as queries and index, and as k rows a query and part.
 
     Rows without an id, and vectors that are null or hold a null or non-finite component, are left out on both sides.
     """
@@ -47,26 +50,24 @@ def knn(queries: DataFrame, index: DataFrame, id_col: str, vector: str, k: int,
         return x.where(F.col("id").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
 
     asked, held = rows(queries), rows(index)
-    n = max(1, min(clusters, -(-held.count() // block)))
-    centres = np.unique(np.array([r.v for r in held.orderBy(F.xxhash64("id"), "id").limit(n).collect()], np.float64), axis=0)
+    m, n = asked.count(), held.count()
+    blocks = max(1, -(-m // (4 * block)), min(index.sparkSession.sparkContext.defaultParallelism, -(-m // SCORE_ROWS)))
+    centres = held.orderBy(F.xxhash64("id"), "id").limit(max(1, min(clusters, -(-n // block)))).collect()
+    centres = np.unique(np.array([r.v for r in centres], np.float64), axis=0)
     if not len(centres):
         return index.sparkSession.createDataFrame([], "query_id long, rank int, neighbour_id long, score double")
     asked, held = _clustered(asked, centres), _clustered(held, centres)
-    sizes = cut(held.groupBy("cluster").agg(F.count("*").alias("n"), F.max("off").alias("radius")))  # at most `clusters` rows
-    near = cut(_nearest(asked, held, sizes, k, block))
+    held = _packed(held, max(-(-n // max(block, PART // max(1, centres.shape[1]))), min(PARTS, -(-n // block))))
+    near = cut(_nearest(asked.withColumn("least", F.lit(None).cast("double")), held, centres, k, blocks, False))
     if len(centres) > 1:
-        radius = np.full(len(centres), -1.0)
-        for r in sizes.collect():
-            radius[r.cluster] = r.radius
         least = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
         far = asked.join(least, asked["id"] == least["query_id"], "left").select("id", "v", "cluster", "least")
-        far = far.mapInPandas(lambda it: _reachable(it, centres, radius), "id long, v array<double>, cluster int")
-        near = _ranked(near.drop("rank").unionByName(_nearest(far, held, sizes, k, block).drop("rank")), k)
+        near = _ranked(near.drop("rank").unionByName(_nearest(far, held, centres, k, blocks, True).drop("rank")), k)
     return near.select("query_id", "rank", "neighbour_id", "score")
 
 
 def _clustered(rows: DataFrame, centres: np.ndarray) -> DataFrame:
-    """rows (id, v) with their nearest centre and their distance from it."""
+    """rows (id, v) with their nearest centre."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -74,9 +75,28 @@ def _clustered(rows: DataFrame, centres: np.ndarray) -> DataFrame:
                 x = np.stack(pdf["v"].to_numpy())
                 # einsum, not BLAS: a vector's cluster is the same in whichever batch it is
                 at = ((centres**2).sum(1) - 2 * np.einsum("ij,kj->ik", x, centres)).argmin(1)
-                yield pdf.assign(cluster=at.astype(np.int32), off=np.sqrt(((x - centres[at]) ** 2).sum(1)))
+                yield pdf.assign(cluster=at.astype(np.int32))
 
-    return rows.mapInPandas(run, "id long, v array<double>, cluster int, off double")
+    return rows.mapInPandas(run, "id long, v array<double>, cluster int")
+
+
+def _packed(rows: DataFrame, parts: int) -> DataFrame:
+    """One row for each of the parts that rows (id, v, cluster, and least of queries) are dealt to by id, written once: ids,
+    clusters, vectors and least scores as bytes, by cluster. Vectors are of single precision where that changes none."""
+    asked = "least" in rows.columns
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # batches become arrays as they come: lists of a whole part's vectors would be many times as large
+        held = [(np.stack(pdf["v"].to_numpy()), pdf.drop(columns="v")) for pdf in it if len(pdf)]
+        if held:
+            x, rest = np.concatenate([v for v, _ in held]), pd.concat([r for _, r in held])
+            order = np.lexsort((rest["id"], rest["cluster"]))
+            single = x.astype(np.float32)
+            x, rest = (single if (single == x).all() else x)[order], rest.iloc[order]
+            out = {"ids": rest["id"].to_numpy(np.int64), "clusters": rest["cluster"].to_numpy(np.int32), "vectors": x}
+            yield pd.DataFrame({c: [v.tobytes()] for c, v in (out | ({"least": rest["least"].to_numpy(float)} if asked else {})).items()})
+
+    return cut(rows.repartition(parts, "id").mapInPandas(run, "ids binary, clusters binary, vectors binary" + ", least binary" * asked))
 
 
 def _reachable(it: Iterator[pd.DataFrame], centres: np.ndarray, radius: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -95,33 +115,56 @@ def _reachable(it: Iterator[pd.DataFrame], centres: np.ndarray, radius: np.ndarr
                 yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "v": pdf["v"].to_numpy()[i], "cluster": c.astype(np.int32)})
 
 
-def _nearest(asked: DataFrame, held: DataFrame, sizes: DataFrame, k: int, block: int) -> DataFrame:
-    """The k best rows of held for each row of asked among those of its clusters, block by block."""
-    slots = lambda n: F.ceil(F.col(n) / block).cast("int")
-    both = sizes.join(asked.groupBy("cluster").agg(F.count("*").alias("m")), "cluster").select("cluster", slots("m").alias("a"), slots("n").alias("b"))
-    unit = ["cluster", "qs", "xs"]
+def _nearest(asked: DataFrame, held: DataFrame, centres: np.ndarray, k: int, blocks: int, others: bool) -> DataFrame:
+    """The k best rows of held (packed) for each row of asked in its own cluster or, of those of its `least` score or
+    more, in all others. Every block of queries meets every part of the index; both are read where they were written, so
+    that no vector is shuffled for it."""
+    units = _packed(asked, blocks).hint("shuffle_replicate_nl").crossJoin(held.toDF("held_ids", "held_clusters", "held_vectors"))
 
-    def dealt(rows: DataFrame, own: str, slots: str, other: str, other_slots: str) -> DataFrame:
-        at = F.pmod(F.xxhash64("id"), F.col(slots)).cast("int").alias(own)
-        # one row a cluster, at most CLUSTERS of them, is broadcast
-        return rows.join(F.broadcast(both), "cluster").select("cluster", "id", "v", at, F.explode(F.sequence(F.lit(0), F.col(other_slots) - 1)).alias(other))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if len(a) and len(b):
-            q_ids, own = a["id"].to_numpy(), b["id"].to_numpy()
-            q, x = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-            for at in range(0, len(q), SCORE_ROWS):
-                scores = np.round(q[at : at + SCORE_ROWS] @ x.T, 9)
-                scores[q_ids[at : at + SCORE_ROWS, None] == own] = -np.inf
-                least = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.full(len(scores), -np.inf)
-                i, j = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-                found.append(_top(q_ids[at + i], own[j], scores[i, j], k))
-        query, neighbour, score = (np.concatenate(c) for c in zip(*found))
-        return pd.DataFrame({"query_id": query, "neighbour_id": neighbour, "score": score})
-
-    pairs = dealt(asked, "qs", "a", "xs", "b").groupBy(*unit).cogroup(dealt(held, "xs", "b", "qs", "a").groupBy(*unit))
-    return _ranked(pairs.applyInPandas(run, "query_id long, neighbour_id long, score double"), k)
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for r in pdf.itertuples(index=False):
+                q_ids, ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.held_ids, np.int64)
+                q, x = (np.frombuffer(v, f"f{len(v) // (n * centres.shape[1])}").reshape(n, -1).astype(float) for v, n in ((r.vectors, len(q_ids)), (r.held_vectors, len(ids))))
+                own, cluster, least = np.frombuffer(r.clusters, np.int32), np.frombuffer(r.held_clusters, np.int32), np.frombuffer(r.least)
+                ends = np.searchsorted(cluster, np.arange(len(centres) + 1))
+                radius = np.array([np.sqrt(((x[i:j] - c) ** 2).sum(1).max()) if i < j else -1.0 for c, i, j in zip(centres, ends, ends[1:])])
+                for at in range(0, len(q), SCORE_ROWS):
+                    some = slice(at, at + SCORE_ROWS)
+                    pairs = pd.DataFrame({"id": np.arange(len(q[some])), "v": list(q[some]), "cluster": own[some], "least": least[some]})
+                    pairs = [p[["id", "cluster"]].to_numpy() for p in (_reachable(iter([pairs]), centres, radius) if others else [pairs])]
+                    if pairs:
+                        i, neighbour, score = _met(np.concatenate(pairs), q_ids[some], q[some], least[some], ids, x, ends, k)
+                        yield pd.DataFrame({"query_id": q_ids[some][i], "neighbour_id": neighbour, "score": score})
+
+    return _ranked(units.mapInPandas(run, "query_id long, neighbour_id long, score double"), k)
+
+
+def _met(pairs: np.ndarray, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.ndarray, x: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, neighbour, score): the k best of each query among the clusters that it is paired with. A query's bar is
+    its least score, then the k-th of those found; what is under it is left out before it is sorted."""
+    bar = np.where(np.isnan(least), -np.inf, least)
+    found, waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+    pairs = pairs[np.argsort(pairs[:, 1], kind="stable")]
+    for rows in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 1])) + 1):
+        i, own = rows[:, 0], slice(*ends[rows[0, 1] : rows[0, 1] + 2]) if len(rows) else slice(0, 0)
+        if own.start == own.stop:
+            continue
+        scores = q[i] @ x[own].T
+        scores[q_ids[i, None] == ids[own]] = -np.inf
+        over = bar[i]
+        if k < scores.shape[1] and np.isinf(over).any():
+            over = np.maximum(over, np.partition(scores, -k, axis=1)[:, -k])
+        a, b = np.nonzero((scores >= over[:, None] - 1e-9) & (scores > -np.inf))  # scores count by their ninth place
+        found.append((i[a], ids[own][b], np.round(scores[a, b], 9)))
+        waiting += len(a)
+        if waiting > 4 * k * len(q):
+            who, _, score = best = _top(*(np.concatenate(c) for c in zip(*found)), k)
+            found, waiting = [best], 0
+            last = np.searchsorted(who, np.arange(len(q)), "right") - 1
+            full = np.bincount(who, minlength=len(q)) >= k
+            bar[full] = np.maximum(bar[full], score[last[full]])
+    return _top(*(np.concatenate(c) for c in zip(*found)), k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -325,7 +368,7 @@ def vote_k(neighbours: DataFrame, items: DataFrame, item: str, select: int, thre
     neighbours: (query_id, neighbour_id), a vote each; rows that repeat are one vote. items: all that can be chosen. Since
     every earlier item counts, an item is judged by itself: it meets others only through the few votes of each voter it has.
     """
-    votes = neighbours.select("query_id", "neighbour_id").distinct()
+    votes = cut(neighbours.select("query_id", "neighbour_id").distinct())  # retrieval runs once, however often votes are read
     many = votes.groupBy("neighbour_id").agg(F.count("*").alias("voters"))
     own = votes.join(many, "neighbour_id")
     # a voter's votes, each with the items voted for more often; their number is what retrieval gave a query
@@ -335,7 +378,7 @@ def vote_k(neighbours: DataFrame, items: DataFrame, item: str, select: int, thre
     shared = shared.groupBy("neighbour_id", "before.neighbour_id").count().toDF("item", "before", "shared")
     most = shared.groupBy("item").agg(F.max("shared").alias("shared"))
     voted = many.withColumnRenamed("neighbour_id", "item").join(most, "item", "left")
-    taken = voted.where(F.coalesce("shared", F.lit(0)) < threshold * F.col("voters")).orderBy(F.desc("voters"), "item").limit(select)
+    taken = cut(voted.where(F.coalesce("shared", F.lit(0)) < threshold * F.col("voters")).orderBy(F.desc("voters"), "item").limit(select))
     # at most `select` rows of either kind: the drawn ones take the ranks after the last
     rest = items.select(F.col(item).cast("long").alias("item")).distinct().join(taken.select("item"), "item", "left_anti")
     rest = rest.orderBy(F.xxhash64(F.lit(seed), "item"), "item").limit(select)
