@@ -58,10 +58,15 @@ def uniform_bin(accuracy: Column, bins: int, low: float = 0.0, high: float = 1.0
 
 
 def merge_intervals(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """(key, start, end): overlapping or touching intervals of a key joined."""
-    w = Window.partitionBy(key).orderBy(start, end)
+    """(key, start, end): overlapping or touching intervals of a key joined.
+
+    Rows without start and end fall to the last interval of their key; if it has none, each stays by itself, as nulls.
+    """
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = rows.withColumn("__new", F.when(far.isNull() | (F.col(start) > far), 1).otherwise(0)).withColumn("__island", F.sum("__new").over(w))
+    new = rows.withColumn("__new", F.when(far.isNull() | (F.col(start) > far), 1).otherwise(0))
+    # both windows go over one sort of the rows, so of equal rows the first is new in either
+    island = new.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return island.groupBy(key, "__island").agg(F.min(start).alias("start"), F.max(end).alias("end")).drop("__island")
 
 
