@@ -71,11 +71,11 @@ def merge_intervals(rows: DataFrame, key: str, start: str, end: str) -> DataFram
 
 
 def interval_iou(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """(key, iou) of two merged interval lists (key, start, end), keys of either."""
+    """(key, iou) of two merged interval lists (key, start, end), keys of either; null for a key of nulls."""
     a, b = left.alias("a"), right.alias("b")
     cut = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")))
     inter = cut.groupBy(F.col(f"a.{key}").alias(key)).agg(F.sum(F.least("a.end", "b.end") - F.greatest("a.start", "b.start")).alias("inter"))
     size = left.unionByName(right).groupBy(key).agg(F.sum(F.col("end") - F.col("start")).alias("total"))
     out = size.join(inter, key, "left").withColumn("inter", F.coalesce("inter", F.lit(0.0)))
     union = F.col("total") - F.col("inter")
-    return out.select(key, F.when(union > 0, F.col("inter") / union).otherwise(0.0).alias("iou"))
+    return out.select(key, F.when(union > 0, F.col("inter") / union).when(union.isNotNull(), 0.0).alias("iou"))
