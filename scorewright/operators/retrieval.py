@@ -16,9 +16,10 @@ from scorewright.shipping import ship
 
 #: Rows of a block of queries or of the index, on average; a unit compares one block of each.
 BLOCK = 4096
-#: Clusters of the index at most: their centres and radii are all that the driver holds of it.
+#: Clusters of the index at most: their centres are all that the driver holds of it.
 CLUSTERS = 256
-#: Components of a part of the index, which one task compares with a block of queries; parts of an index of as many blocks.
+#: Components of a part of the index, which one task compares with a block of queries; parts of
+#: an index at least, unless they would be smaller than SCORE_ROWS.
 PART, PARTS = 1 << 23, 8
 #: Queries whose scores against a block or cluster of the index are in memory at a time.
 SCORE_ROWS = 256
@@ -57,7 +58,7 @@ def knn(queries: DataFrame, index: DataFrame, id_col: str, vector: str, k: int,
     if not len(centres):
         return index.sparkSession.createDataFrame([], "query_id long, rank int, neighbour_id long, score double")
     asked, held = _clustered(asked, centres), _clustered(held, centres)
-    held = _packed(held, max(-(-n // max(block, PART // max(1, centres.shape[1]))), min(PARTS, -(-n // block))))
+    held = _packed(held, max(-(-n // max(block, PART // max(1, centres.shape[1]))), min(PARTS, -(-n // SCORE_ROWS))))
     near = cut(_nearest(asked.withColumn("least", F.lit(None).cast("double")), held, centres, k, blocks, False))
     if len(centres) > 1:
         least = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
@@ -81,7 +82,7 @@ def _clustered(rows: DataFrame, centres: np.ndarray) -> DataFrame:
 
 
 def _packed(rows: DataFrame, parts: int) -> DataFrame:
-    """One row for each of the parts that rows (id, v, cluster, and least of queries) are dealt to by id, written once: ids,
+    """One row for each of the parts that rows (id, v, cluster, and least of queries) are dealt to in turn, written once: ids,
     clusters, vectors and least scores as bytes, by cluster. Vectors are of single precision where that changes none."""
     asked = "least" in rows.columns
 
@@ -96,7 +97,7 @@ def _packed(rows: DataFrame, parts: int) -> DataFrame:
             out = {"ids": rest["id"].to_numpy(np.int64), "clusters": rest["cluster"].to_numpy(np.int32), "vectors": x}
             yield pd.DataFrame({c: [v.tobytes()] for c, v in (out | ({"least": rest["least"].to_numpy(float)} if asked else {})).items()})
 
-    return cut(rows.repartition(parts, "id").mapInPandas(run, "ids binary, clusters binary, vectors binary" + ", least binary" * asked))
+    return cut(rows.repartition(parts).mapInPandas(run, "ids binary, clusters binary, vectors binary" + ", least binary" * asked))
 
 
 def _reachable(it: Iterator[pd.DataFrame], centres: np.ndarray, radius: np.ndarray) -> Iterator[pd.DataFrame]:
